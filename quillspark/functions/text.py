@@ -41,7 +41,7 @@ def md5int(c) -> Column:
 
 def has(lower_text, kw: str) -> Column:
     """Substring test on already lower-cased text."""
-    return F.instr(col_(lower_text), kw) > 0
+    return col_(lower_text).contains(kw)
 
 
 def any_contains(lower_text, keywords: Sequence[str]) -> Column:

@@ -19,16 +19,6 @@ from . import label as L
 ROW_ID = ["source_ord", "seq"]
 
 
-def first_per(df: DataFrame, group: list[str], order: list[str], row_id: list[str] = ROW_ID) -> DataFrame:
-    """Rows of ``df`` that come first in ``order`` within ``group`` (keep-first
-    dedup). Aggregation + semi-join: skew-safe, unlike a window over ``group``."""
-    firsts = (df.groupBy(*group)
-                .agg(F.min(F.struct(*order)).alias("_f"))
-                .select(*[F.col(f"_f.{c}").alias(c) for c in order], *group))
-    keys = list(dict.fromkeys(group + order))
-    return df.join(firsts.select(*keys), keys, "left_semi")
-
-
 def first_n_per(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
     """First ``n`` rows per group. ``row_number() <= n`` plans as a
     WindowGroupLimit (partial top-n before the shuffle), so a huge group only
@@ -46,21 +36,88 @@ def harvest_prompts(raw: DataFrame, *, per_source_limit: int | None = None, mode
           -> too long dropped (a too-long first copy shadows later copies)
           -> first N per source -> keep-first across sources (source order).
     lite: key recorded before both length tests.
+
+    Plan: one narrow scan (row id, key, length) -> hash aggregate per
+    (source, key) carrying the first copy's seq and length -> hash aggregate
+    per key picking the lowest source -> one semi-join of the wide rows on the
+    unique row id. Both aggregates combine map-side, so a key holding a third
+    of all rows ships one row per map task; (source, seq) is unique, so the
+    final join has no hot key.
     """
     base = (raw.withColumn("prompt_text", strip_ws(F.col("text")))
                .withColumn("prompt_length", F.length("prompt_text").cast("bigint"))
                .withColumn("prompt_id", norm_key(F.col("text") if mode == "lite" else F.col("prompt_text"))))
     narrow = base.select("source", *ROW_ID, "prompt_id", "prompt_length")
-    if mode == "full":
-        narrow = narrow.filter(F.col("prompt_length") >= min_len)
-    else:
-        narrow = narrow.filter(F.col("prompt_length") > 0)
-    narrow = first_per(narrow, ["source", "prompt_id"], ["seq"], ROW_ID)
-    narrow = narrow.filter(F.col("prompt_length").between(min_len, max_len))
+    narrow = narrow.filter(F.col("prompt_length") >= (min_len if mode == "full" else 1))
+    # keep-first per (source, key): the first copy's seq and its length
+    w1 = (narrow.groupBy("source", "source_ord", "prompt_id")
+                .agg(F.min("seq").alias("seq"), F.min_by("prompt_length", "seq").alias("prompt_length")))
+    w1 = w1.filter(F.col("prompt_length").between(min_len, max_len))
     if per_source_limit is not None:
-        narrow = first_n_per(narrow, "source", ["seq"], per_source_limit)
-    narrow = first_per(narrow, ["prompt_id"], ROW_ID)
-    return base.drop("text").join(narrow.select(*ROW_ID), ROW_ID, "left_semi")
+        w1 = first_n_per(w1, "source", ["seq"], per_source_limit)
+    # keep-first across sources: a key occurs once per source here, so the
+    # lowest source_ord identifies the kept copy
+    w2 = w1.groupBy("prompt_id").agg(F.min("source_ord").alias("source_ord"),
+                                     F.min_by("seq", "source_ord").alias("seq"))
+    return base.drop("text").join(w2.select(*ROW_ID), ROW_ID, "left_semi")
+
+
+def dedup_report(raw: DataFrame, *, min_len: int = 15, max_len: int = 5000) -> DataFrame:
+    """Per source: rows read, dropped as too short, removed as in-source copies,
+    dropped as too long, removed as cross-source copies, kept (full mode)."""
+    narrow = (raw.select("source", *ROW_ID, strip_ws(F.col("text")).alias("p"))
+                 .select("source", *ROW_ID, F.length("p").cast("bigint").alias("len"),
+                         norm_key(F.col("p")).alias("prompt_id")))
+    read = narrow.groupBy("source").agg(F.count(F.lit(1)).alias("n_read"),
+                                        F.count_if(F.coalesce(F.col("len"), F.lit(0)) < min_len).alias("n_short"))
+    w1 = (narrow.filter(F.col("len") >= min_len).groupBy("source", "source_ord", "prompt_id")
+                .agg(F.min("seq").alias("seq"), F.min_by("len", "seq").alias("len")))
+    firsts = w1.groupBy("source").agg(F.count(F.lit(1)).alias("n_first"),
+                                      F.count_if(F.col("len") > max_len).alias("n_long"))
+    ok = w1.filter(F.col("len") <= max_len)
+    kept = (ok.groupBy("prompt_id").agg(F.min("source_ord").alias("source_ord"))
+              .join(ok.select("source", "source_ord").distinct(), "source_ord")
+              .groupBy("source").agg(F.count(F.lit(1)).alias("n_kept")))
+    out = read.join(firsts, "source", "left").join(kept, "source", "left").na.fill(0)
+    return out.select(
+        "source", "n_read", "n_short",
+        (F.col("n_read") - F.col("n_short") - F.col("n_first")).alias("n_copy_in_source"),
+        "n_long",
+        (F.col("n_first") - F.col("n_long") - F.col("n_kept")).alias("n_copy_across"),
+        "n_kept")
+
+
+def first_turn_prompts(conv: DataFrame, *, role: str = "user", min_len: int = 10,
+                       context_min: int = 5) -> DataFrame:
+    """Conversation table (conv_id, turn, role, text) -> one prompt per
+    conversation: its first user message; a leading system message longer than
+    ``context_min`` after stripping is appended as labelled context; prompts of
+    ``min_len`` characters or less are dropped."""
+    first = conv.groupBy("conv_id").agg(
+        F.min_by(F.struct("role", "text"), "turn").alias("first"),
+        F.min_by("text", F.when(F.col("role") == role, F.col("turn"))).alias("user_text"))
+    ctx = strip_ws(F.col("first.text"))
+    prompt = F.when((F.col("first.role") == "system") & (F.length(ctx) > context_min),
+                    F.concat(F.col("user_text"), F.lit("\n\nContext: "), ctx)).otherwise(F.col("user_text"))
+    out = first.select("conv_id", F.col("first.role").alias("first_role"),
+                       strip_ws(prompt).alias("prompt_text"))
+    return (out.filter(F.length("prompt_text") > min_len)
+               .withColumn("prompt_length", F.length("prompt_text").cast("bigint")))
+
+
+def incremental_append(incoming: DataFrame, loaded: DataFrame, *, min_len: int = 10,
+                       run_date: str = "2026-01-06", source: str = "LMSYS_Arena") -> DataFrame:
+    """Rows to append: stripped prompt longer than ``min_len``, not already
+    loaded, first copy within the batch (by seq). Columns in sink order."""
+    inc = (incoming.select("seq", strip_ws(F.col("text")).alias("Prompt"), F.col("language").alias("Language"))
+                   .filter(F.length("Prompt") > min_len))
+    firsts = inc.groupBy("Prompt").agg(F.min("seq").alias("seq"))
+    have = loaded.select(strip_ws(F.col("text")).alias("Prompt")).distinct()
+    new = firsts.join(have, "Prompt", "left_anti")
+    rows = inc.join(new.select("seq"), "seq", "left_semi")
+    rows = L.label_intent_rules(L.with_lower(rows, "Prompt"), out="Intent").drop(L.LOWER)
+    return rows.select(F.lit(run_date).alias("Date Added"), F.lit(source).alias("Source"), "Intent", "Prompt",
+                       F.coalesce("Language", F.lit("unknown")).alias("Language"), "seq")
 
 
 def label_prompts(df: DataFrame, *, mode: str = "full", run_date: str = "2026-01-06") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 from ..operators import harvest as HV
 from ..operators import label as L
+from ..functions import text as T
 from ..sources import fixtures as FX
 from . import sqlgen as S
 
@@ -42,7 +43,7 @@ def q_harvest_summary(spark, sf):
 
 
 def _docs_lower(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    d = FX.documents(spark, sf).select("doc_id", "text")
     return L.with_lower(d, "text")
 
 
@@ -96,7 +97,29 @@ def q_language_lite(spark, sf):
     return d.select("doc_id", L.language_expr("text", "lite").alias("language"))
 
 
+def q_prompt_key(spark, sf):
+    d = FX.documents(spark, sf)
+    return d.select("doc_id", T.norm_key("text").alias("prompt_key"), F.md5(F.lower("text")).alias("text_md5"))
+
+
+def q_dedup_report(spark, sf):
+    return HV.dedup_report(FX.raw_prompts(spark, sf))
+
+
+def q_first_turn_prompts(spark, sf):
+    return HV.first_turn_prompts(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
+def q_incremental_append(spark, sf):
+    d = FX.documents(spark, sf).select(F.col("doc_id").alias("seq"), "text", F.col("lang").alias("language"))
+    return HV.incremental_append(d.filter(F.col("seq") % 2 == 1), d.filter(F.col("seq") % 2 == 0))
+
+
 QUERIES = {
+    "prompt_key": q_prompt_key,
+    "dedup_report": q_dedup_report,
+    "first_turn_prompts": q_first_turn_prompts,
+    "incremental_append": q_incremental_append,
     "harvest_prompts": q_harvest_prompts,
     "harvest_labelled": q_harvest_labelled,
     "harvest_summary": q_harvest_summary,
@@ -168,7 +191,40 @@ def _docs(extra_cols: list[str], spec_cols: str = "") -> str:
     return f"SELECT doc_id, {', '.join(extra_cols)} FROM (SELECT doc_id, text, lower(text) AS lt{spec_cols} FROM documents)"
 
 
+DEDUP_REPORT_SQL = f"""WITH raw AS ({S.RAW_PROMPTS}),
+n AS (SELECT source, source_ord, seq, length(p)::BIGINT AS len, {S.norm_key('p')} AS prompt_id
+      FROM (SELECT *, {S.strip('text')} AS p FROM raw)),
+rd AS (SELECT source, count(*) AS n_read, count(*) FILTER (WHERE coalesce(len, 0) < 15) AS n_short FROM n GROUP BY source),
+w1 AS (SELECT * FROM n WHERE len >= 15 QUALIFY row_number() OVER (PARTITION BY source, prompt_id ORDER BY seq) = 1),
+fs AS (SELECT source, count(*) AS n_first, count(*) FILTER (WHERE len > 5000) AS n_long FROM w1 GROUP BY source),
+w2 AS (SELECT * FROM w1 WHERE len <= 5000 QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY source_ord, seq) = 1),
+kp AS (SELECT source, count(*) AS n_kept FROM w2 GROUP BY source)
+SELECT rd.source, n_read::BIGINT AS n_read, n_short::BIGINT AS n_short,
+  (n_read - n_short - coalesce(n_first, 0))::BIGINT AS n_copy_in_source, coalesce(n_long, 0)::BIGINT AS n_long,
+  (coalesce(n_first, 0) - coalesce(n_long, 0) - coalesce(n_kept, 0))::BIGINT AS n_copy_across, coalesce(n_kept, 0)::BIGINT AS n_kept
+FROM rd LEFT JOIN fs USING (source) LEFT JOIN kp USING (source)"""
+
+FIRST_TURN_SQL = f"""WITH f AS (
+  SELECT conv_id, arg_min({{'role': role, 'text': text}}, turn) AS first,
+         arg_min(text, turn) FILTER (WHERE role = 'user') AS user_text
+  FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, first.role AS first_role,
+  {S.strip("CASE WHEN first.role = 'system' AND length(" + S.strip('first.text') + ") > 5 THEN user_text || chr(10) || chr(10) || 'Context: ' || " + S.strip('first.text') + " ELSE user_text END")} AS prompt_text FROM f)
+SELECT conv_id, first_role, prompt_text, length(prompt_text)::BIGINT AS prompt_length FROM p WHERE length(prompt_text) > 10"""
+
+INCREMENTAL_SQL = f"""WITH d AS (SELECT doc_id AS seq, {S.strip('text')} AS Prompt, lang AS Language FROM documents),
+inc AS (SELECT * FROM d WHERE seq % 2 = 1 AND length(Prompt) > 10),
+have AS (SELECT DISTINCT Prompt FROM d WHERE seq % 2 = 0),
+firsts AS (SELECT * FROM inc QUALIFY row_number() OVER (PARTITION BY Prompt ORDER BY seq) = 1),
+new AS (SELECT * FROM firsts WHERE Prompt NOT IN (SELECT Prompt FROM have WHERE Prompt IS NOT NULL))
+SELECT '{RUN_DATE}' AS "Date Added", 'LMSYS_Arena' AS "Source", {S.intent_rules('lower(Prompt)')} AS "Intent", Prompt,
+  coalesce(Language, 'unknown') AS Language, seq FROM new"""
+
 ORACLE = {
+    "prompt_key": f"SELECT doc_id, {S.norm_key('text')} AS prompt_key, md5(lower(text)) AS text_md5 FROM documents",
+    "dedup_report": DEDUP_REPORT_SQL,
+    "first_turn_prompts": FIRST_TURN_SQL,
+    "incremental_append": INCREMENTAL_SQL,
     "harvest_prompts": _harvest_sql(PER_SOURCE) + " SELECT prompt_id, source, seq, prompt_text, prompt_length FROM s4",
     "harvest_labelled": _labelled_sql(),
     "harvest_summary": _summary_sql(),

@@ -47,3 +47,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread CPU-heavy text work over all cores when the scan yields fewer
+    splits than the cluster has slots (one large row group, few files).
+    On a big input the scan already has thousands of splits and this adds
+    no shuffle."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df

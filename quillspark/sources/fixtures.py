@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import md5int
-from ..session import table
+from ..session import balanced, table
 
 
 def raw_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-source prompt records: (source, source_ord, seq, text, language).
     ``source_ord, seq`` carry the order that keep-first and first-N rely on;
     a third of the rows carry a source-provided language."""
-    d = table(spark, sf_dir, "documents")
+    d = balanced(table(spark, sf_dir, "documents"))
     return d.select(
         "source",
         F.col("doc_id").alias("seq"),
@@ -26,3 +26,7 @@ def raw_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def H(c) -> "F.Column":
     return md5int(c)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced(table(spark, sf_dir, "documents"))
