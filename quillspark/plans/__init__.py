@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import harvest_plans
+from . import generate_plans, harvest_plans
 
-_MODULES = [harvest_plans]
+_MODULES = [harvest_plans, generate_plans]
 
 
 def all_queries() -> dict:

@@ -30,3 +30,56 @@ def H(c) -> "F.Column":
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced(table(spark, sf_dir, "documents"))
+
+
+def intents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intent rows as all-string columns (as read from a header CSV), derived
+    from ``part``: placeholders, blanks, redundant outputs, an unknown action,
+    and metric text that exercises every cast rule."""
+    p = table(spark, sf_dir, "part")
+    k, sz = F.col("p_partkey"), F.col("p_size")
+    def case(e, values, other=None):
+        out = None
+        for i, v in enumerate(values):
+            out = F.when(e == i, v) if out is None else out.when(e == i, v)
+        return out.otherwise(other) if other is not None else out
+    L = F.lit
+    return p.select(
+        k.alias("intent_id"),
+        case(k % 8, [L("SUMMARIZE"), L("CREATE"), L("FIND"), L("EXPLAIN"), L("COMPARE"), L("PLAN"), L("SCHEDULE")], L("ZIP")).alias("action"),
+        case(sz % 6, [L("EMAIL"), L("MEETING"), L("DOCUMENT"), L("?"), L("DATA")], F.upper("p_type")).alias("object"),
+        case(k % 5, [L("?"), L(""), L("N/A")], F.col("p_name")).alias("subject"),
+        case(k % 4, [L("TABLE"), L("EMAIL")], L("")).alias("output"),
+        F.when(k % 11 == 0, L("")).otherwise(sz.cast("string")).alias("action_rank"),
+        (k % 10).cast("string").alias("rank_in_action"),
+        case(k % 4, [L("TRUE"), L("true"), L("FALSE")], L("")).alias("reliable"),
+        case(k % 5, [L(""), L("12"), L(" 5 "), L("1,234")], L("3.0")).alias("feedback_count"),
+        F.when(k % 2 == 0, F.concat(sz.cast("string"), L(".5%"))).otherwise(L("")).alias("sat_rate"),
+        F.when(k % 3 == 0, L("0%")).otherwise(F.concat((sz % 7).cast("string"), L("%"))).alias("apology_rate"),
+        F.when(k % 6 == 0, L("")).otherwise(L("12%")).alias("no_citation_rate"),
+        F.concat((sz % 10).cast("string"), L(".25%")).alias("pct_users"),
+        F.when(k % 2 == 0, L(" 1,234 ")).otherwise(F.concat(L(" "), (sz * 100).cast("string"), L(" "))).alias("user_count"),
+        sz.cast("string").alias("tenant_count"),
+        case(k % 3, [L(""), L("0")], L("2.5")).alias("active_weeks_p75"),
+    )
+
+
+INTENTS_TEXT_SQL = """SELECT p_partkey AS intent_id,
+  CASE p_partkey % 8 WHEN 0 THEN 'SUMMARIZE' WHEN 1 THEN 'CREATE' WHEN 2 THEN 'FIND' WHEN 3 THEN 'EXPLAIN'
+    WHEN 4 THEN 'COMPARE' WHEN 5 THEN 'PLAN' WHEN 6 THEN 'SCHEDULE' ELSE 'ZIP' END AS action,
+  CASE p_size % 6 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'MEETING' WHEN 2 THEN 'DOCUMENT' WHEN 3 THEN '?'
+    WHEN 4 THEN 'DATA' ELSE upper(p_type) END AS object,
+  CASE p_partkey % 5 WHEN 0 THEN '?' WHEN 1 THEN '' WHEN 2 THEN 'N/A' ELSE p_name END AS subject,
+  CASE p_partkey % 4 WHEN 0 THEN 'TABLE' WHEN 1 THEN 'EMAIL' ELSE '' END AS output,
+  CASE WHEN p_partkey % 11 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END AS action_rank,
+  CAST(p_partkey % 10 AS VARCHAR) AS rank_in_action,
+  CASE p_partkey % 4 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'true' WHEN 2 THEN 'FALSE' ELSE '' END AS reliable,
+  CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '12' WHEN 2 THEN ' 5 ' WHEN 3 THEN '1,234' ELSE '3.0' END AS feedback_count,
+  CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) || '.5%' ELSE '' END AS sat_rate,
+  CASE WHEN p_partkey % 3 = 0 THEN '0%' ELSE CAST(p_size % 7 AS VARCHAR) || '%' END AS apology_rate,
+  CASE WHEN p_partkey % 6 = 0 THEN '' ELSE '12%' END AS no_citation_rate,
+  CAST(p_size % 10 AS VARCHAR) || '.25%' AS pct_users,
+  CASE WHEN p_partkey % 2 = 0 THEN ' 1,234 ' ELSE ' ' || CAST(p_size * 100 AS VARCHAR) || ' ' END AS user_count,
+  CAST(p_size AS VARCHAR) AS tenant_count,
+  CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '0' ELSE '2.5' END AS active_weeks_p75
+FROM part"""
