@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import generate_plans, harvest_plans
+from . import context_plans, generate_plans, harvest_plans
 
-_MODULES = [harvest_plans, generate_plans]
+_MODULES = [harvest_plans, generate_plans, context_plans]
 
 
 def all_queries() -> dict:
