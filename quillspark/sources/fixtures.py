@@ -83,3 +83,83 @@ INTENTS_TEXT_SQL = """SELECT p_partkey AS intent_id,
   CAST(p_size AS VARCHAR) AS tenant_count,
   CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '0' ELSE '2.5' END AS active_weeks_p75
 FROM part"""
+
+
+SYSTEMS = ["sys_a", "sys_b", "sys_c"]
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long response fact (prompt_id, system, attempt, response, blocked,
+    latency_s): attempt n exists only when every earlier attempt of the cell
+    was blocked. Built in-row (explode of literal systems and attempts), no
+    join and no window."""
+    d = documents(spark, sf_dir).select("doc_id", "text")
+    d = d.select("doc_id", "text", F.explode(F.array(*[F.lit(s) for s in SYSTEMS])).alias("system"))
+    d = d.select("*", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("attempt"))
+
+    def h(tag, att):
+        return md5int(F.concat(F.lit(tag), F.col("doc_id").cast("string"), F.lit("|"), F.col("system"),
+                               F.lit("|"), att.cast("string")))
+    blocked_at = {i: (h("st|", F.lit(i)) % 20 == 1) for i in (1, 2, 3)}
+    keep = ((F.col("attempt") == 1) | ((F.col("attempt") == 2) & blocked_at[1])
+            | ((F.col("attempt") == 3) & blocked_at[1] & blocked_at[2])
+            | ((F.col("attempt") == 4) & blocked_at[1] & blocked_at[2] & blocked_at[3]))
+    k = h("st|", F.col("attempt")) % 20
+    return d.filter(keep).select(
+        F.col("doc_id").alias("prompt_id"), "system", F.col("attempt").cast("bigint").alias("attempt"),
+        F.when(k == 0, F.lit("ERROR: Timeout waiting for response"))
+         .when(k == 1, F.lit("ERROR: Bot detected - human verification required")).otherwise(F.col("text")).alias("response"),
+        (k == 1).alias("blocked"),
+        ((h("lat|", F.col("attempt")) % 12000).cast("double") / 100.0).alias("latency_s"))
+
+
+def _h_sql(x):
+    return f"('0x' || substr(md5({x}), 1, 8))::BIGINT"
+
+
+_K = "'st|' || CAST(doc_id AS VARCHAR) || '|' || system || '|' || CAST(attempt AS VARCHAR)"
+_L = "'lat|' || CAST(doc_id AS VARCHAR) || '|' || system || '|' || CAST(attempt AS VARCHAR)"
+ATTEMPTS_SQL = f"""SELECT prompt_id, system, attempt, response, blocked, latency_s FROM (
+  SELECT doc_id AS prompt_id, system, attempt::BIGINT AS attempt,
+    CASE WHEN {_h_sql(_K)} % 20 = 0 THEN 'ERROR: Timeout waiting for response'
+         WHEN {_h_sql(_K)} % 20 = 1 THEN 'ERROR: Bot detected - human verification required' ELSE text END AS response,
+    ({_h_sql(_K)} % 20 = 1) AS blocked, CAST({_h_sql(_L)} % 12000 AS DOUBLE) / 100.0 AS latency_s,
+    coalesce(min(CASE WHEN {_h_sql(_K)} % 20 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, system ORDER BY attempt
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS prev_all_blocked
+  FROM documents CROSS JOIN (VALUES ('sys_a'), ('sys_b'), ('sys_c')) AS v(system)
+  CROSS JOIN (VALUES (1), (2), (3), (4)) AS a(attempt)) WHERE prev_all_blocked = 1"""
+
+
+def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations per cell; 'error' events act as the in-progress marker."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("cell"), F.col("ts").cast("timestamp").alias("ts"),
+                    F.col("event_id").alias("seq"),
+                    F.when(F.col("event_type") == "error", F.lit("Thinking"))
+                     .otherwise(F.concat(F.col("event_type"), F.lit("x" * 30))).alias("text"))
+
+
+POLLS_SQL = """SELECT user_id AS cell, ts, event_id AS seq,
+  CASE WHEN event_type = 'error' THEN 'Thinking' ELSE event_type || repeat('x', 30) END AS text FROM events"""
+
+
+def model_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model responses in four shapes: clean array, array inside prose, fenced
+    array, no array."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 4
+    L = F.lit
+    content = (F.when(k == 0, F.concat(L('[{"prompt":"'), F.col("p_name"),
+                                       L('","variant_type":"direct_request","evaluation_dimensions":["accuracy"]}]')))
+                .when(k == 1, F.concat(L('Sure: [{"prompt":"'), F.col("p_name"), L('"},{"prompt":"'), F.col("p_brand"),
+                                       L('","complexity_level":"expert"}] done')))
+                .when(k == 2, F.concat(L("```json\n"), L('[{"prompt":"'), F.col("p_type"), L('"}]'), L("\n```")))
+                .otherwise(F.concat(L("no json for "), F.col("p_name"))))
+    return p.select(F.col("p_partkey").alias("intent_id"), content.alias("content"))
+
+
+MODEL_OUTPUT_SQL = """SELECT p_partkey AS intent_id, CASE p_partkey % 4
+  WHEN 0 THEN '[{"prompt":"' || p_name || '","variant_type":"direct_request","evaluation_dimensions":["accuracy"]}]'
+  WHEN 1 THEN 'Sure: [{"prompt":"' || p_name || '"},{"prompt":"' || p_brand || '","complexity_level":"expert"}] done'
+  WHEN 2 THEN '```json' || chr(10) || '[{"prompt":"' || p_type || '"}]' || chr(10) || '```'
+  ELSE 'no json for ' || p_name END AS content FROM part"""
