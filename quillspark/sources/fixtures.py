@@ -163,3 +163,26 @@ MODEL_OUTPUT_SQL = """SELECT p_partkey AS intent_id, CASE p_partkey % 4
   WHEN 1 THEN 'Sure: [{"prompt":"' || p_name || '"},{"prompt":"' || p_brand || '","complexity_level":"expert"}] done'
   WHEN 2 THEN '```json' || chr(10) || '[{"prompt":"' || p_type || '"}]' || chr(10) || '```'
   ELSE 'no json for ' || p_name END AS content FROM part"""
+
+
+CRITERIA = ["accuracy", "helpfulness", "completeness", "clarity", "safety", "efficiency"]
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents x 3 systems x 3 raters x 6 criteria, rating 1..5 by hash
+    (expanded in-row with explode; no join)."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    d = d.select("doc_id", F.explode(F.array(*[F.lit(s) for s in SYSTEMS])).alias("system"))
+    d = d.select("*", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rater"))
+    d = d.select("*", F.explode(F.array(*[F.lit(c) for c in CRITERIA])).alias("criterion"))
+    key = F.concat_ws("|", F.lit("rt"), F.col("doc_id").cast("string"), F.col("system"),
+                      F.col("rater").cast("string"), F.col("criterion"))
+    return d.select(F.col("doc_id").alias("prompt_id"), "system", F.col("rater").cast("bigint").alias("rater"),
+                    "criterion", (F.lit(1) + md5int(key) % 5).cast("int").alias("rating"))
+
+
+RATINGS_SQL = f"""SELECT doc_id AS prompt_id, v.system, r.rater::BIGINT AS rater, k.criterion,
+  CAST(1 + {_h_sql("concat_ws('|', 'rt', CAST(doc_id AS VARCHAR), v.system, CAST(r.rater AS VARCHAR), k.criterion)")} % 5 AS INT) AS rating
+FROM documents CROSS JOIN (VALUES ('sys_a'), ('sys_b'), ('sys_c')) AS v(system)
+  CROSS JOIN (VALUES (1), (2), (3)) AS r(rater)
+  CROSS JOIN (VALUES ('accuracy'), ('helpfulness'), ('completeness'), ('clarity'), ('safety'), ('efficiency')) AS k(criterion)"""
