@@ -135,8 +135,13 @@ def retry_queue(attempts: DataFrame, max_attempts: int = 4) -> DataFrame:
                .select("prompt_id", "system", (F.col("attempt") + 1).alias("next_attempt"))
 
 
+def _slim(attempts: DataFrame) -> DataFrame:
+    """Status computed row-wise first, so the text never crosses a shuffle."""
+    return with_status(attempts).select("prompt_id", "system", "attempt", "status", "latency_s")
+
+
 def system_success(attempts: DataFrame) -> DataFrame:
-    last = with_status(latest_attempt(attempts))
+    last = latest_attempt(_slim(attempts))
     return last.groupBy("system").agg(F.count_if(F.col("status") == "ok").cast("bigint").alias("ok"),
                                       F.count(F.lit(1)).cast("bigint").alias("cells"))
 
@@ -144,7 +149,7 @@ def system_success(attempts: DataFrame) -> DataFrame:
 def attempt_stats(attempts: DataFrame) -> DataFrame:
     """Attempt-level counts (retries raise the denominator) and the
     cell-level success rate over latest attempts."""
-    a = with_status(attempts)
+    a = _slim(attempts)
     per = a.groupBy("system").agg(
         F.count(F.lit(1)).cast("bigint").alias("queries"),
         F.count_if(F.col("status") == "ok").cast("bigint").alias("ok"),
@@ -152,14 +157,14 @@ def attempt_stats(attempts: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "error").cast("bigint").alias("errors"),
         F.round(F.avg(F.col("latency_s")), 4).alias("avg_latency_s"))
     per = per.withColumn("success_rate", F.round(F.col("ok") / F.col("queries") * 100, 2))
-    cell = with_status(latest_attempt(attempts)).groupBy("system").agg(
+    cell = latest_attempt(_slim(attempts)).groupBy("system").agg(
         F.round(F.avg((F.col("status") == "ok").cast("int")) * 100, 2).alias("cell_success_rate"))
     return per.join(cell, "system")
 
 
 def completion_progress(attempts: DataFrame) -> DataFrame:
     """Prompts with at least one usable answer, and the truncated percent."""
-    last = with_status(latest_attempt(attempts))
+    last = latest_attempt(_slim(attempts))
     per = last.groupBy("prompt_id").agg(F.max((F.col("status") == "ok").cast("int")).alias("done"))
     return per.agg(F.count(F.lit(1)).cast("bigint").alias("total"),
                    F.sum("done").cast("bigint").alias("completed")) \

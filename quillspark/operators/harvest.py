@@ -48,11 +48,15 @@ def harvest_prompts(raw: DataFrame, *, per_source_limit: int | None = None, mode
                .withColumn("prompt_length", F.length("prompt_text").cast("bigint"))
                .withColumn("prompt_id", norm_key(F.col("text") if mode == "lite" else F.col("prompt_text"))))
     narrow = base.select("source", *ROW_ID, "prompt_id", "prompt_length")
-    narrow = narrow.filter(F.col("prompt_length") >= (min_len if mode == "full" else 1))
-    # keep-first per (source, key): the first copy's seq and its length
+    # keep-first per (source, key) among rows long enough to record a key:
+    # the first copy's seq and its length. The length test sits inside the
+    # aggregate (not a filter under it) so the text work runs after the
+    # scan's split, in parallel, instead of being pushed into the scan task.
+    counted = F.col("prompt_length") >= (min_len if mode == "full" else 1)
+    first_seq = F.when(counted, F.col("seq"))
     w1 = (narrow.groupBy("source", "source_ord", "prompt_id")
-                .agg(F.min("seq").alias("seq"), F.min_by("prompt_length", "seq").alias("prompt_length")))
-    w1 = w1.filter(F.col("prompt_length").between(min_len, max_len))
+                .agg(F.min(first_seq).alias("seq"), F.min_by("prompt_length", first_seq).alias("prompt_length")))
+    w1 = w1.filter(F.col("seq").isNotNull() & F.col("prompt_length").between(min_len, max_len))
     if per_source_limit is not None:
         w1 = first_n_per(w1, "source", ["seq"], per_source_limit)
     # keep-first across sources: a key occurs once per source here, so the

@@ -127,15 +127,18 @@ def label_difficulty_patterns(df: DataFrame, spec=V.DIFFICULTY_PATTERNS, text: s
 
 def label_products(df: DataFrame, vocabulary=V.PRODUCTS_FULL, *, codes: bool = True) -> DataFrame:
     lower = F.col(LOWER)
-    names = F.array_compact(F.array(*[F.when(any_contains(lower, kws), F.lit(name))
-                                      for name, kws, _ in vocabulary]))
-    df = df.withColumn("_prod", names)
+    # one presence test per product, shared by the name and code lists
+    hits = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(code).cast("string").alias("code"))
+                     .alias(f"p{i}") for i, (name, kws, code) in enumerate(vocabulary)])
+    flags = F.array(*[any_contains(lower, kws) for _, kws, _ in vocabulary])
+    df = df.withColumn("_pf", flags)
+    found = F.filter(F.arrays_zip(hits.alias("h"), F.col("_pf").alias("f")), lambda x: x["f"])
+    df = df.withColumn("_prod", found)
     cols = {"is_microsoft_related": F.size("_prod") > 0,
-            "microsoft_products": F.array_join("_prod", "|")}
+            "microsoft_products": F.array_join(F.transform("_prod", lambda x: x["h"]["name"]), "|")}
     if codes:
-        cols["microsoft_product_codes"] = F.array_join(F.array_compact(F.array(
-            *[F.when(any_contains(lower, kws), F.lit(code)) for _, kws, code in vocabulary])), "|")
-    return df.withColumns(cols).drop("_prod")
+        cols["microsoft_product_codes"] = F.array_join(F.transform("_prod", lambda x: x["h"]["code"]), "|")
+    return df.withColumns(cols).drop("_prod", "_pf")
 
 
 def label_capabilities(df: DataFrame, flags=V.CAPABILITIES_FULL) -> DataFrame:

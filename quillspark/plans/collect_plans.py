@@ -31,8 +31,8 @@ def q_block_pages(spark, sf):
 
 
 def q_latest_attempt(spark, sf):
-    return CO.with_status(CO.latest_attempt(FX.attempts(spark, sf))) \
-             .select("prompt_id", "system", "attempt", "status", "latency_s")
+    a = CO.with_status(FX.attempts(spark, sf)).select("prompt_id", "system", "attempt", "status", "latency_s")
+    return CO.latest_attempt(a)
 
 
 ROUNDS_DONE = 1  # queue as it stands after the first collection round

@@ -25,8 +25,15 @@ def prompt_attrs(spark, sf):
                     F.element_at(cx, i).alias("complexity"), (F.col("doc_id") / 10).cast("bigint").alias("family"))
 
 
+def slim_cells(spark, sf):
+    """Latest attempt per cell carrying only status and latency: the response
+    text is reduced to its status before the shuffle."""
+    a = CO.with_status(FX.attempts(spark, sf)).select("prompt_id", "system", "attempt", "status", "latency_s")
+    return CO.latest_attempt(a)
+
+
 def usable(spark, sf):
-    return CO.with_status(CO.latest_attempt(FX.attempts(spark, sf))).filter(F.col("status") == "ok")
+    return slim_cells(spark, sf).filter(F.col("status") == "ok")
 
 
 def q_scores(spark, sf):
@@ -66,7 +73,7 @@ def q_blind_labels(spark, sf):
 
 
 def q_latency_profile(spark, sf):
-    return E.latency_profile(CO.with_status(CO.latest_attempt(FX.attempts(spark, sf))))
+    return E.latency_profile(slim_cells(spark, sf))
 
 
 def q_robustness(spark, sf):

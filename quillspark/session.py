@@ -56,5 +56,5 @@ def balanced(df: DataFrame) -> DataFrame:
     no shuffle."""
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
+        return df.repartition(slots * 2)
     return df
