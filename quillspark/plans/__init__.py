@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import collect_plans, context_plans, evaluate_plans, generate_plans, harvest_plans, stream_plans
+from . import (collect_plans, context_plans, evaluate_plans, generate_plans, harvest_plans, io_plans,
+               stream_plans)
 
-_MODULES = [harvest_plans, generate_plans, context_plans, collect_plans, evaluate_plans, stream_plans]
+_MODULES = [harvest_plans, generate_plans, context_plans, collect_plans, evaluate_plans, stream_plans, io_plans]
 
 
 def all_queries() -> dict:
