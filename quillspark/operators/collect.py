@@ -24,6 +24,8 @@ ITEM = T.ArrayType(T.StructType([
     T.StructField("evaluation_dimensions", T.ArrayType(T.StringType())),
 ]))
 
+WRAPPED = T.StructType([T.StructField("v", ITEM)])
+
 # FIXED VALUES: answer markers, end markers, loading markers, placeholders
 SPEAKER_MARKER = "Copilot said"
 END_MARKERS = ["You said", "Smart", "Today", "Message Copilot"]
@@ -36,9 +38,13 @@ PLACEHOLDERS = ["API_NOT_AVAILABLE", "API_ERROR", "MANUAL_EVALUATION_REQUIRED"]
 def parse_items(content: Column) -> Column:
     """Recover a JSON array: the whole text, else the greedy [...] span, else a
     fenced block; null when none parses."""
-    whole = F.from_json(content, ITEM)
-    greedy = F.from_json(F.regexp_extract(content, r"\[[\s\S]*\]", 0), ITEM)
-    fenced = F.from_json(F.regexp_extract(content, r"```(?:json)?\s*([\s\S]*?)\s*```", 1), ITEM)
+    def strict(text: Column) -> Column:
+        # wrapped in an object so the parser must consume the whole candidate:
+        # trailing text after the array is an error, as in a strict JSON load
+        return F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), WRAPPED).getField("v")
+    whole = strict(content)
+    greedy = strict(F.regexp_extract(content, r"\[[\s\S]*\]", 0))
+    fenced = strict(F.regexp_extract(content, r"```(?:json)?\s*([\s\S]*?)\s*```", 1))
     return F.coalesce(whole, greedy, fenced)
 
 
