@@ -126,6 +126,22 @@ def with_status(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("status", status(F.col("response"), F.col("blocked")))
 
 
+STATUS_CODES = ["ok", "blocked", "error", "placeholder"]
+
+
+def latest_status(slim: DataFrame) -> DataFrame:
+    """Latest attempt per cell over (prompt_id, system, attempt, status,
+    latency_s). Status travels as a small int so every aggregate buffer is
+    fixed-width (hash aggregate with map-side combine, no sort)."""
+    code = F.array_position(F.array(*[F.lit(x) for x in STATUS_CODES]), F.col("status")).cast("int")
+    agg = (slim.withColumn("_code", code).groupBy("prompt_id", "system")
+               .agg(F.max("attempt").alias("attempt"), F.max_by("_code", "attempt").alias("_code"),
+                    F.max_by("latency_s", "attempt").alias("latency_s")))
+    return agg.select("prompt_id", "system", "attempt",
+                      F.element_at(F.array(*[F.lit(x) for x in STATUS_CODES]), F.col("_code")).alias("status"),
+                      "latency_s")
+
+
 def latest_attempt(attempts: DataFrame) -> DataFrame:
     """One row per (prompt, system): the highest attempt wins (keyed update)."""
     cols = [c for c in attempts.columns if c not in ("prompt_id", "system")]
@@ -136,7 +152,8 @@ def latest_attempt(attempts: DataFrame) -> DataFrame:
 
 def retry_queue(attempts: DataFrame, max_attempts: int = 4) -> DataFrame:
     """Cells to send again: latest attempt blocked and the attempt budget left."""
-    last = latest_attempt(attempts.select("prompt_id", "system", "attempt", "blocked"))
+    last = (attempts.groupBy("prompt_id", "system")
+                    .agg(F.max("attempt").alias("attempt"), F.max_by("blocked", "attempt").alias("blocked")))
     return last.filter(F.col("blocked") & (F.col("attempt") < max_attempts)) \
                .select("prompt_id", "system", (F.col("attempt") + 1).alias("next_attempt"))
 
@@ -147,7 +164,7 @@ def _slim(attempts: DataFrame) -> DataFrame:
 
 
 def system_success(attempts: DataFrame) -> DataFrame:
-    last = latest_attempt(_slim(attempts))
+    last = latest_status(_slim(attempts))
     return last.groupBy("system").agg(F.count_if(F.col("status") == "ok").cast("bigint").alias("ok"),
                                       F.count(F.lit(1)).cast("bigint").alias("cells"))
 
@@ -163,14 +180,14 @@ def attempt_stats(attempts: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "error").cast("bigint").alias("errors"),
         F.round(F.avg(F.col("latency_s")), 4).alias("avg_latency_s"))
     per = per.withColumn("success_rate", F.round(F.col("ok") / F.col("queries") * 100, 2))
-    cell = latest_attempt(_slim(attempts)).groupBy("system").agg(
+    cell = latest_status(_slim(attempts)).groupBy("system").agg(
         F.round(F.avg((F.col("status") == "ok").cast("int")) * 100, 2).alias("cell_success_rate"))
     return per.join(cell, "system")
 
 
 def completion_progress(attempts: DataFrame) -> DataFrame:
     """Prompts with at least one usable answer, and the truncated percent."""
-    last = latest_attempt(_slim(attempts))
+    last = latest_status(_slim(attempts))
     per = last.groupBy("prompt_id").agg(F.max((F.col("status") == "ok").cast("int")).alias("done"))
     return per.agg(F.count(F.lit(1)).cast("bigint").alias("total"),
                    F.sum("done").cast("bigint").alias("completed")) \

@@ -54,16 +54,16 @@ def score_by(sc: DataFrame, attrs: DataFrame, key: str) -> DataFrame:
 
 
 def winners(sc: DataFrame, usable: DataFrame | None = None) -> DataFrame:
-    """Per prompt: the unique best system (null on a tie), and whether judged."""
+    """Per prompt: the unique best system (null on a tie), and whether judged.
+    One aggregate: a prompt has one row per system, so the two best scores
+    per prompt are a bounded list (no self-join)."""
     s = sc if usable is None else sc.join(usable.select("prompt_id", "system"), ["prompt_id", "system"], "left_semi")
     s = s.withColumn("rs", F.round("score", 6))
-    per = s.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n_sys"), F.max("rs").alias("best"),
-                                     F.max_by("system", "rs").alias("cand"))
-    top = s.join(per.select("prompt_id", "best"), "prompt_id").filter(F.col("rs") == F.col("best")) \
-           .groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n_top"))
-    return (per.join(top, "prompt_id")
-               .select("prompt_id", (F.col("n_sys") >= 2).alias("judged"),
-                       F.when((F.col("n_sys") >= 2) & (F.col("n_top") == 1), F.col("cand")).alias("winner")))
+    per = s.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n_sys"), F.max_by("system", "rs").alias("cand"),
+                                     F.slice(F.sort_array(F.collect_list("rs"), asc=False), 1, 2).alias("top2"))
+    tie = (F.size("top2") == 2) & (F.element_at("top2", 1) == F.element_at("top2", 2))
+    return per.select("prompt_id", (F.col("n_sys") >= 2).alias("judged"),
+                      F.when((F.col("n_sys") >= 2) & ~tie, F.col("cand")).alias("winner"))
 
 
 def leaderboard(sc: DataFrame, usable: DataFrame | None = None) -> DataFrame:

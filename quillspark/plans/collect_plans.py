@@ -32,7 +32,7 @@ def q_block_pages(spark, sf):
 
 def q_latest_attempt(spark, sf):
     a = CO.with_status(FX.attempts(spark, sf)).select("prompt_id", "system", "attempt", "status", "latency_s")
-    return CO.latest_attempt(a)
+    return CO.latest_status(a)
 
 
 ROUNDS_DONE = 1  # queue as it stands after the first collection round

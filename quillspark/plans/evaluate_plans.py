@@ -29,7 +29,7 @@ def slim_cells(spark, sf):
     """Latest attempt per cell carrying only status and latency: the response
     text is reduced to its status before the shuffle."""
     a = CO.with_status(FX.attempts(spark, sf)).select("prompt_id", "system", "attempt", "status", "latency_s")
-    return CO.latest_attempt(a)
+    return CO.latest_status(a)
 
 
 def usable(spark, sf):
@@ -55,7 +55,10 @@ def q_by_variant(spark, sf):
 
 
 def q_leaderboard(spark, sf):
-    return E.leaderboard(E.scores(FX.ratings(spark, sf)), usable(spark, sf))
+    # scores feed three aggregates (winners, averages, judged count): cut the
+    # lineage once in the shared checkpoint folder instead of recomputing
+    sc = E.scores(FX.ratings(spark, sf)).checkpoint()
+    return E.leaderboard(sc, usable(spark, sf))
 
 
 def q_kappa(spark, sf):

@@ -36,7 +36,7 @@ def intents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intent rows as all-string columns (as read from a header CSV), derived
     from ``part``: placeholders, blanks, redundant outputs, an unknown action,
     and metric text that exercises every cast rule."""
-    p = table(spark, sf_dir, "part")
+    p = balanced(table(spark, sf_dir, "part"))
     k, sz = F.col("p_partkey"), F.col("p_size")
     def case(e, values, other=None):
         out = None
@@ -53,7 +53,7 @@ def intents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 11 == 0, L("")).otherwise(sz.cast("string")).alias("action_rank"),
         (k % 10).cast("string").alias("rank_in_action"),
         case(k % 4, [L("TRUE"), L("true"), L("FALSE")], L("")).alias("reliable"),
-        case(k % 5, [L(""), L("12"), L(" 5 "), L("1,234")], L("3.0")).alias("feedback_count"),
+        case(sz % 5, [L(""), L("12"), L(" 5 "), L("1,234")], L("3.0")).alias("feedback_count"),
         F.when(k % 2 == 0, F.concat(sz.cast("string"), L(".5%"))).otherwise(L("")).alias("sat_rate"),
         F.when(k % 3 == 0, L("0%")).otherwise(F.concat((sz % 7).cast("string"), L("%"))).alias("apology_rate"),
         F.when(k % 6 == 0, L("")).otherwise(L("12%")).alias("no_citation_rate"),
@@ -74,7 +74,7 @@ INTENTS_TEXT_SQL = """SELECT p_partkey AS intent_id,
   CASE WHEN p_partkey % 11 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END AS action_rank,
   CAST(p_partkey % 10 AS VARCHAR) AS rank_in_action,
   CASE p_partkey % 4 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'true' WHEN 2 THEN 'FALSE' ELSE '' END AS reliable,
-  CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '12' WHEN 2 THEN ' 5 ' WHEN 3 THEN '1,234' ELSE '3.0' END AS feedback_count,
+  CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN '12' WHEN 2 THEN ' 5 ' WHEN 3 THEN '1,234' ELSE '3.0' END AS feedback_count,
   CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) || '.5%' ELSE '' END AS sat_rate,
   CASE WHEN p_partkey % 3 = 0 THEN '0%' ELSE CAST(p_size % 7 AS VARCHAR) || '%' END AS apology_rate,
   CASE WHEN p_partkey % 6 = 0 THEN '' ELSE '12%' END AS no_citation_rate,
@@ -132,7 +132,7 @@ ATTEMPTS_SQL = f"""SELECT prompt_id, system, attempt, response, blocked, latency
 
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations per cell; 'error' events act as the in-progress marker."""
-    e = table(spark, sf_dir, "events")
+    e = balanced(table(spark, sf_dir, "events"))
     return e.select(F.col("user_id").alias("cell"), F.col("ts").cast("timestamp").alias("ts"),
                     F.col("event_id").alias("seq"),
                     F.when(F.col("event_type") == "error", F.lit("Thinking"))
@@ -146,7 +146,7 @@ POLLS_SQL = """SELECT user_id AS cell, ts, event_id AS seq,
 def model_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model responses in four shapes: clean array, array inside prose, fenced
     array, no array."""
-    p = table(spark, sf_dir, "part")
+    p = balanced(table(spark, sf_dir, "part"))
     k = F.col("p_partkey") % 4
     L = F.lit
     content = (F.when(k == 0, F.concat(L('[{"prompt":"'), F.col("p_name"),
@@ -171,7 +171,7 @@ CRITERIA = ["accuracy", "helpfulness", "completeness", "clarity", "safety", "eff
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents x 3 systems x 3 raters x 6 criteria, rating 1..5 by hash
     (expanded in-row with explode; no join)."""
-    d = table(spark, sf_dir, "documents").select("doc_id")
+    d = balanced(table(spark, sf_dir, "documents")).select("doc_id")
     d = d.select("doc_id", F.explode(F.array(*[F.lit(s) for s in SYSTEMS])).alias("system"))
     d = d.select("*", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rater"))
     d = d.select("*", F.explode(F.array(*[F.lit(c) for c in CRITERIA])).alias("criterion"))
