@@ -306,7 +306,7 @@ def v2_candidates(intents: DataFrame) -> DataFrame:
                      "source_intent", "cand", "text", F.md5(F.lower("text")).alias("h"))
 
 
-def dedup_proposals(cands: DataFrame, *, max_rounds: int = 10_000) -> DataFrame:
+def dedup_proposals(cands: DataFrame, *, max_rounds: int = 10_000, stats: dict | None = None) -> DataFrame:
     """Exact parallel form of "each row, in seq order, takes its first
     candidate whose hash no earlier row took; if all are taken it keeps the
     last one": deferred acceptance with one common priority (seq).
@@ -317,10 +317,11 @@ def dedup_proposals(cands: DataFrame, *, max_rounds: int = 10_000) -> DataFrame:
     duplicate. Holders only ever move to lower seqs, so the result equals the
     serial one. State is checkpointed each round (cluster checkpoint dir)."""
     n_c = len(TP.CANDIDATE_OFFSETS)
+    cands = cands.checkpoint()  # read by every round and by the final pick
     hashes = (cands.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("cand", "h"))).alias("_hs"))
                    .select("seq", F.transform("_hs", lambda x: x["h"]).alias("hs")))
     state = hashes.select("seq", "hs", F.lit(0).alias("p"), F.lit(False).alias("dup")).checkpoint()
-    for _ in range(max_rounds):
+    for rnd in range(max_rounds):
         live = state.filter(~F.col("dup")).withColumn("h", F.element_at("hs", (F.col("p") + 1).cast("int")))
         win = live.groupBy("h").agg(F.min("seq").alias("_win"))
         judged = live.join(win, "h").withColumn("_lost", F.col("seq") != F.col("_win"))
@@ -329,9 +330,13 @@ def dedup_proposals(cands: DataFrame, *, max_rounds: int = 10_000) -> DataFrame:
                             (F.col("_lost") & (F.col("p") == n_c - 1)).alias("dup"),
                             F.col("_lost").alias("_moved"))
         new = new.unionByName(state.filter(F.col("dup")).select("seq", "hs", "p", "dup", F.lit(False).alias("_moved")))
-        new = new.checkpoint()
+        # reliable checkpoint every other round bounds the lineage; in between
+        # the round result is cached (recomputable from the last checkpoint)
+        new = new.checkpoint() if rnd % 2 == 1 else new.cache()
         moved = new.filter(F.col("_moved") & ~F.col("dup")).count()
         state = new.drop("_moved")
+        if stats is not None:
+            stats.setdefault("moved", []).append(moved)
         if moved == 0:
             break
     chosen = state.select("seq", F.col("p").alias("cand"), "dup")
