@@ -39,12 +39,54 @@ def md5int(c) -> Column:
     return F.conv(F.substring(F.md5(col_(c)), 1, 8), 16, 10).cast("bigint")
 
 
+class KeywordFlags:
+    """Presence of every distinct keyword, tested once per row into one
+    boolean array column; label expressions read array elements instead of
+    scanning the text again for keywords shared between vocabularies."""
+
+    def __init__(self, lower_col: str, keywords, out: str = "_kw"):
+        self.lower, self.out = lower_col, out
+        self.pos = {k: i + 1 for i, k in enumerate(dict.fromkeys(keywords))}
+
+    def column(self) -> Column:
+        return F.array(*[F.col(self.lower).contains(k) for k in self.pos])
+
+    def has(self, kw: str) -> Column:
+        if kw in self.pos:
+            return F.element_at(F.col(self.out), self.pos[kw])
+        return F.col(self.lower).contains(kw)
+
+    # compact forms: one small lambda over literal positions instead of one
+    # generated branch per keyword (keeps the generated code far below the
+    # JVM method limit, so the stage stays whole-stage compiled)
+    def _ready(self, kws) -> bool:
+        return all(k in self.pos for k in kws)
+
+    def count(self, kws) -> Column:
+        flags = F.col(self.out)
+        idx = F.array(*[F.lit(self.pos[k]) for k in kws])
+        return F.aggregate(idx, F.lit(0), lambda acc, i: acc + F.element_at(flags, i).cast("int"))
+
+    def length(self, kws) -> Column:
+        flags = F.col(self.out)
+        pairs = F.array(*[F.struct(F.lit(self.pos[k]).alias("i"), F.lit(len(k)).alias("n")) for k in kws])
+        return F.aggregate(pairs, F.lit(0), lambda acc, x: acc + F.when(F.element_at(flags, x["i"]), x["n"]).otherwise(0))
+
+    def any(self, kws) -> Column:
+        flags = F.col(self.out)
+        return F.exists(F.array(*[F.lit(self.pos[k]) for k in kws]), lambda i: F.element_at(flags, i))
+
+
 def has(lower_text, kw: str) -> Column:
-    """Substring test on already lower-cased text."""
+    """Substring test on already lower-cased text (or a keyword-flag lookup)."""
+    if isinstance(lower_text, KeywordFlags):
+        return lower_text.has(kw)
     return col_(lower_text).contains(kw)
 
 
 def any_contains(lower_text, keywords: Sequence[str]) -> Column:
+    if isinstance(lower_text, KeywordFlags) and keywords and lower_text._ready(keywords):
+        return lower_text.any(keywords)
     expr = F.lit(False)
     for kw in keywords:
         expr = expr | has(lower_text, kw)
@@ -53,12 +95,16 @@ def any_contains(lower_text, keywords: Sequence[str]) -> Column:
 
 def count_contains(lower_text, keywords: Sequence[str]) -> Column:
     """Number of list entries present (a keyword counts once however often it occurs)."""
+    if isinstance(lower_text, KeywordFlags) and keywords and lower_text._ready(keywords):
+        return lower_text.count(keywords)
     terms = [has(lower_text, kw).cast("int") for kw in keywords]
     return sum(terms[1:], terms[0]) if terms else F.lit(0)
 
 
 def matched_length(lower_text, keywords: Sequence[str]) -> Column:
     """Sum of the lengths of the keywords present."""
+    if isinstance(lower_text, KeywordFlags) and keywords and lower_text._ready(keywords):
+        return lower_text.length(keywords)
     terms = [F.when(has(lower_text, kw), F.lit(len(kw))).otherwise(F.lit(0)) for kw in keywords]
     return sum(terms[1:], terms[0]) if terms else F.lit(0)
 

@@ -127,19 +127,23 @@ def incremental_append(incoming: DataFrame, loaded: DataFrame, *, min_len: int =
 def label_prompts(df: DataFrame, *, mode: str = "full", run_date: str = "2026-01-06") -> DataFrame:
     """All row labels of the harvested record (no shuffle)."""
     full = mode == "full"
+    vocabs = ([V.INTENT_FULL, V.DIFFICULTY_FULL, V.PRODUCTS_FULL, V.CAPABILITIES_FULL, V.EXPECTED_RESPONSE_FLAGS]
+              if full else [V.INTENT_LITE, V.DIFFICULTY_LITE, V.PRODUCTS_LITE, V.CAPABILITIES_LITE])
     df = L.with_lower(df, "prompt_text")
-    df = L.label_intent(df, V.INTENT_FULL if full else V.INTENT_LITE, subcategory=full)
-    df = L.label_difficulty(df, V.DIFFICULTY_FULL if full else V.DIFFICULTY_LITE)
-    df = L.label_products(df, V.PRODUCTS_FULL if full else V.PRODUCTS_LITE, codes=full)
-    df = L.label_capabilities(df, V.CAPABILITIES_FULL if full else V.CAPABILITIES_LITE)
+    # every distinct keyword is tested once per row; all labels read the flags
+    df, kw = L.with_keyword_flags(df, L.vocabulary_keywords(*vocabs))
+    df = L.label_intent(df, V.INTENT_FULL if full else V.INTENT_LITE, subcategory=full, kw=kw)
+    df = L.label_difficulty(df, V.DIFFICULTY_FULL if full else V.DIFFICULTY_LITE, kw=kw)
+    df = L.label_products(df, V.PRODUCTS_FULL if full else V.PRODUCTS_LITE, codes=full, kw=kw)
+    df = L.label_capabilities(df, V.CAPABILITIES_FULL if full else V.CAPABILITIES_LITE, kw=kw)
     if full:
-        df = L.label_expected_response(df)
+        df = L.label_expected_response(df, kw=kw)
         lang = F.coalesce(F.nullif(F.col("language"), F.lit("")), L.language_expr("prompt_text", "cascade"))
     else:
         lang = L.language_expr("prompt_text", "lite")
     df = df.withColumns({"language": lang,
                          "date_harvested": F.to_date(F.lit(run_date))})
-    return df.drop(L.LOWER)
+    return df.drop(L.LOWER, kw.out)
 
 
 EVAL_COLUMNS = ["copilot_rating", "chatgpt_rating", "gemini_rating", "claude_rating", "winner", "evaluation_notes"]

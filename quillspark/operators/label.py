@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
-from ..functions.text import any_contains, char_count, col_, count_contains, has, matched_length
+from ..functions.text import KeywordFlags, any_contains, char_count, col_, count_contains, has, matched_length
 
 LOWER = "_text_lower"
 
@@ -18,6 +18,27 @@ def with_lower(df: DataFrame, text: str = "prompt_text") -> DataFrame:
     return df.withColumn(LOWER, F.lower(F.col(text)))
 
 
+def vocabulary_keywords(*vocabs) -> list[str]:
+    """All keywords of the given vocabularies (label lists, flag lists or a
+    difficulty spec), in first-seen order."""
+    out = []
+    for v in vocabs:
+        if isinstance(v, dict):
+            for _, kws, _ in v["terms"]:
+                out += kws
+            if v.get("code"):
+                out += v["code"][1]
+        else:
+            for entry in v:
+                out += entry[1]
+    return list(dict.fromkeys(out))
+
+
+def with_keyword_flags(df: DataFrame, keywords, lower: str = LOWER) -> tuple[DataFrame, KeywordFlags]:
+    kw = KeywordFlags(lower, keywords)
+    return df.withColumn(kw.out, kw.column()), kw
+
+
 # -- intent ------------------------------------------------------------------
 
 def intent_struct(lower, vocabulary) -> Column:
@@ -34,9 +55,13 @@ def intent_struct(lower, vocabulary) -> Column:
 
 
 def label_intent(df: DataFrame, vocabulary=V.INTENT_FULL, *, subcategory: bool = True,
-                 fallback=("General/Uncategorized", "General", 0.3)) -> DataFrame:
-    lower = F.col(LOWER)
-    df = df.withColumn("_intent", intent_struct(lower, vocabulary))
+                 fallback=("General/Uncategorized", "General", 0.3), kw: KeywordFlags | None = None) -> DataFrame:
+    own = kw is None
+    if own:  # test each keyword once, then count and measure from the flags
+        df, kw = with_keyword_flags(df, vocabulary_keywords(vocabulary))
+    df = df.withColumn("_intent", intent_struct(kw, vocabulary))
+    if own:
+        df = df.drop(kw.out)
     hit = F.col("_intent.n") > 0
     cols = {
         "primary_intent": F.when(hit, F.col("_intent.label")).otherwise(F.lit(fallback[0])),
@@ -61,9 +86,10 @@ def label_intent_rules(df: DataFrame, rules=V.INTENT_RULES, default=V.INTENT_RUL
 
 # -- difficulty --------------------------------------------------------------
 
-def label_difficulty(df: DataFrame, spec=V.DIFFICULTY_FULL, text: str = "prompt_text") -> DataFrame:
+def label_difficulty(df: DataFrame, spec=V.DIFFICULTY_FULL, text: str = "prompt_text",
+                     kw: KeywordFlags | None = None) -> DataFrame:
     """Additive score clamped to 1..5, its level and '; '-joined reasons."""
-    lower = F.col(LOWER)
+    lower = kw if kw is not None else F.col(LOWER)
     n = F.length(F.col(text))
     L = spec["lengths"]
     length_term = (F.when(n < L["short_lt"], F.lit(-1)).when(n > L["long_gt"], F.lit(2))
@@ -125,8 +151,9 @@ def label_difficulty_patterns(df: DataFrame, spec=V.DIFFICULTY_PATTERNS, text: s
 
 # -- products, capabilities, expected response ----------------------------------
 
-def label_products(df: DataFrame, vocabulary=V.PRODUCTS_FULL, *, codes: bool = True) -> DataFrame:
-    lower = F.col(LOWER)
+def label_products(df: DataFrame, vocabulary=V.PRODUCTS_FULL, *, codes: bool = True,
+                   kw: KeywordFlags | None = None) -> DataFrame:
+    lower = kw if kw is not None else F.col(LOWER)
     # one presence test per product, shared by the name and code lists
     hits = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(code).cast("string").alias("code"))
                      .alias(f"p{i}") for i, (name, kws, code) in enumerate(vocabulary)])
@@ -141,14 +168,14 @@ def label_products(df: DataFrame, vocabulary=V.PRODUCTS_FULL, *, codes: bool = T
     return df.withColumns(cols).drop("_prod", "_pf")
 
 
-def label_capabilities(df: DataFrame, flags=V.CAPABILITIES_FULL) -> DataFrame:
-    lower = F.col(LOWER)
+def label_capabilities(df: DataFrame, flags=V.CAPABILITIES_FULL, kw: KeywordFlags | None = None) -> DataFrame:
+    lower = kw if kw is not None else F.col(LOWER)
     return df.withColumns({name: any_contains(lower, kws) for name, kws in flags})
 
 
 def label_expected_response(df: DataFrame, flags=V.EXPECTED_RESPONSE_FLAGS,
-                            score: str = "difficulty_score") -> DataFrame:
-    lower = F.col(LOWER)
+                            score: str = "difficulty_score", kw: KeywordFlags | None = None) -> DataFrame:
+    lower = kw if kw is not None else F.col(LOWER)
     s = F.col(score)
     cols = {"expected_response_length": F.when(s >= 4, "long").when(s >= 2, "medium").otherwise("short")}
     cols.update({name: any_contains(lower, kws) for name, kws in flags})
