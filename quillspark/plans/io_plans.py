@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions.text import WS_CLASS
+from ..operators import evaluate as E
+from ..operators import harvest as HV
 from ..operators import label as L
 from ..sources import fixtures as FX
 from ..sources import io as IO
@@ -30,6 +32,9 @@ def q_sinks_roundtrip(spark, sf):
     IO.write_partitioned(lab, f"{base}/by_level", "difficulty_level")
     IO.write_subset(lab, F.col("is_microsoft_related"), f"{base}/product_related")
     IO.write_latest_and_snapshot(lab, f"{base}/results", "20260106_000000")
+    # summary and rubric tables next to the data (JSON lines)
+    HV.harvest_summary(lab).coalesce(1).write.mode("overwrite").json(f"{base}/summary")
+    E.weights_frame(spark).coalesce(1).write.mode("overwrite").json(f"{base}/rubric")
     return spark.read.parquet(f"{base}/by_level")
 
 
