@@ -32,7 +32,12 @@ def q_stream_stats(spark, sf):
     return J.stream_stats(spark, FX.attempts(spark, sf))
 
 
+def q_stream_quiescence(spark, sf):
+    return J.stream_quiescence(spark, FX.polls(spark, sf), gap_s=CP.GAP_S, timeout_s=CP.TIMEOUT_S)
+
+
 QUERIES = {
+    "stream_quiescence": q_stream_quiescence,
     "stream_harvest": q_stream_harvest,
     "stream_sessions": q_stream_sessions,
     "stream_append": q_stream_append,
@@ -47,6 +52,7 @@ ss AS (SELECT cell, min(epoch(ts)) AS session_start, max(epoch(ts)) + 43200 AS s
 SELECT * FROM ss WHERE session_end <= (SELECT max(epoch(ts)) FROM pl) - 3600"""
 
 ORACLE = {
+    "stream_quiescence": CP.quiescence_sql(CP.TIMEOUT_S).replace("SELECT * FROM o ", "SELECT * FROM o WHERE status = 'complete'"),
     "stream_harvest": f"""SELECT DISTINCT prompt_id FROM (SELECT {S.norm_key('p')} AS prompt_id, length(p) AS n
   FROM (SELECT {S.strip('text')} AS p FROM documents)) WHERE n BETWEEN 15 AND 5000""",
     "stream_sessions": SESSIONS_SQL,

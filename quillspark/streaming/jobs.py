@@ -142,3 +142,64 @@ def stream_stats(spark: SparkSession, attempts: DataFrame, *, parts: int = 4) ->
             .trigger(availableNow=True).start())
     _await(q)
     return spark.read.parquet(out)
+
+
+# -- R2 / R3 / R5 exact: per-cell completion state machine --------------------------------
+
+QUIET_OUT = "cell long, status string, response string, latency_s double, done_at double"
+QUIET_STATE = "remembered string, run_start double, start double, done boolean"
+
+
+def _quiet_fn(gap_s: float, timeout_s: float, min_len: int, markers):
+    import pandas as pd
+
+    def fn(key, pdfs, state):
+        if state.exists:
+            rem, run_start, start, done = state.get
+        else:
+            rem, run_start, start, done = None, None, None, False
+        if done:
+            return
+        rows = pd.concat(list(pdfs)).sort_values(["t", "seq"])
+        out = []
+        for t, text in zip(rows["t"], rows["text"]):
+            if start is None:
+                start = t
+            if t - start >= timeout_s:
+                break
+            if any(m in text for m in markers):
+                rem, run_start = "", None
+                continue
+            if len(text) < min_len:
+                continue
+            if rem is not None and rem != "" and text == rem:
+                if t - run_start >= gap_s:
+                    out.append((key[0], "complete", text, run_start - start, t))
+                    done = True
+                    break
+            else:
+                rem, run_start = text, t
+        state.update((rem, run_start, start, done))
+        if out:
+            yield pd.DataFrame(out, columns=["cell", "status", "response", "latency_s", "done_at"])
+    return fn
+
+
+def stream_quiescence(spark: SparkSession, polls: DataFrame, *, gap_s: float, timeout_s: float,
+                      parts: int = 4, min_len: int = 30, markers=("Thinking", "Generating")) -> DataFrame:
+    """Exact completion detection on a stream: the change flag needs the
+    previous poll of the same cell, which a stream can only keep as state
+    (applyInPandasWithState keyed by cell; rows of one cell are ordered by
+    (ts, seq) inside each micro-batch and files arrive in time order).
+    Completed cells are emitted once."""
+    base = run_dir(spark, "quiet")
+    src, out, ck = f"{base}/in", f"{base}/out", f"{base}/ck"
+    stage_files(polls.select("cell", "ts", "seq", "text"), src, "ts", parts)
+    s = spark.readStream.schema("cell long, ts timestamp, seq long, text string").option("maxFilesPerTrigger", 1).parquet(src)
+    s = s.select("cell", "seq", "text", F.col("ts").cast("double").alias("t"))
+    res = s.groupBy("cell").applyInPandasWithState(_quiet_fn(gap_s, timeout_s, min_len, list(markers)),
+                                                   QUIET_OUT, QUIET_STATE, "append", "NoTimeout")
+    q = (res.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+            .outputMode("append").trigger(availableNow=True).start())
+    _await(q)
+    return spark.read.parquet(out)
