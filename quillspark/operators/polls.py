@@ -1,10 +1,11 @@
 """Completion detection over ordered poll observations (cell, ts, seq, text).
 
-Batch form of the polling loops: a change flag from ``lag``, runs from a
-running sum (gaps and islands), and per-run measures; the first completing
-poll per cell is picked with a grouped ``min(struct)``. Windows are
-partitioned by cell and ordered by (ts, seq) so equal timestamps are
-deterministic.
+Batch form of the polling loops: a change flag from the previous poll, runs
+(gaps and islands) with their start and row number, and per-run measures; the
+first completing poll per cell is picked with a grouped ``min(struct)``.
+Order is (ts, seq) so equal timestamps are deterministic. Runs are computed
+on range partitions of (cell, ts, seq) with carry-in summaries, so a cell
+holding a large share of all polls is split over many tasks.
 """
 
 from __future__ import annotations
@@ -25,25 +26,64 @@ def _epoch(c: Column) -> Column:
     return c.cast("timestamp").cast("double")
 
 
+def ordered_runs(df: DataFrame, key: str, order: list[str], value, is_start, *, parts: int | None = None) -> DataFrame:
+    """Gaps-and-islands per ``key`` in ``order`` that stays balanced when one
+    key holds a large share of the rows.
+
+    Rows are range-partitioned on (key, order) - a hot key spans several
+    ranges - and checkpointed so range ids stay fixed. Within a range the
+    previous value, row numbers and the last run start come from windows over
+    (range, key); across ranges each (range, key) group takes its carry-in
+    (previous group's last value, rows before it, last run start before it)
+    from one summary row per group, computed with windows over the summary
+    (at most one row per range per key).
+
+    ``value`` is the value compared with the next row; ``is_start(prev)``
+    returns the run-start flag given the previous value. Adds _prev, start,
+    run_start_seq (order of the run's first row as a struct), run_rn."""
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rp = (df.repartitionByRange(parts, key, *order).withColumn("_pid", F.spark_partition_id())
+            .withColumn("_val", value).checkpoint())
+    g = Window.partitionBy("_pid", key).orderBy(*order)
+    x = rp.withColumn("_lprev", F.lag("_val").over(g)).withColumn("_lrn", F.row_number().over(g))
+    c = Window.partitionBy(key).orderBy("_pid")
+    s1 = (x.groupBy("_pid", key).agg(F.max_by("_val", F.struct(*order)).alias("_last"), F.count(F.lit(1)).alias("_n"))
+           .withColumn("_prev_in", F.lag("_last").over(c))
+           .withColumn("_before", F.coalesce(F.sum("_n").over(c.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    x = x.join(s1.select("_pid", key, "_prev_in", "_before"), ["_pid", key])
+    prev = F.when(F.col("_lrn") == 1, F.col("_prev_in")).otherwise(F.col("_lprev"))
+    x = x.withColumn("_prev", prev).withColumn("start", is_start(F.col("_prev")))
+    x = x.withColumn("_idx", F.col("_lrn") + F.col("_before"))
+    st = F.struct(F.col("_idx").alias("i"), *[F.col(o) for o in order])
+    upto = g.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("_ls", F.last(F.when(F.col("start"), st), ignorenulls=True).over(upto))
+    s2 = (x.groupBy("_pid", key).agg(F.max(F.when(F.col("start"), st)).alias("_gs"))
+           .withColumn("_carry", F.last("_gs", ignorenulls=True).over(c.rowsBetween(Window.unboundedPreceding, -1))))
+    x = x.join(s2.select("_pid", key, "_carry"), ["_pid", key])
+    x = x.withColumn("_rs", F.coalesce(F.col("_ls"), F.col("_carry")))
+    return (x.withColumn("run_rn", F.col("_idx") - F.col("_rs.i") + 1)
+             .withColumn("run_start_at", F.col("_rs"))
+             .drop("_pid", "_val", "_lprev", "_lrn", "_prev_in", "_before", "_idx", "_ls", "_carry", "_rs"))
+
+
 def runs(polls: DataFrame, *, min_len: int = MIN_LEN, markers=MARKERS) -> DataFrame:
     """Marker rows reset the remembered text; rows shorter than ``min_len`` are
     ignored; every other row either repeats the remembered text or starts a
-    run. Adds is_marker, change, run, run_start (epoch s), t (epoch s),
+    run. Adds is_marker, change, run_start (epoch s), t (epoch s), run_rn,
     prev_len."""
-    w = Window.partitionBy("cell").orderBy("ts", "seq")
     start = polls.groupBy("cell").agg(F.min(_epoch(F.col("ts"))).alias("start"))
     is_marker = any_contains(F.col("text"), markers)
-    v = polls.withColumn("is_marker", is_marker).filter(F.col("is_marker") | (F.length("text") >= min_len))
-    prev = F.lag(F.when(F.col("is_marker"), F.lit("")).otherwise(F.col("text"))).over(w)
-    v = v.withColumn("_prev", prev)
-    v = v.withColumn("change", ~F.col("is_marker") & (F.col("_prev").isNull() | (F.col("text") != F.col("_prev"))))
-    v = v.withColumn("run", F.sum((F.col("is_marker") | F.col("change")).cast("int"))
-                     .over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    v = v.withColumn("t", _epoch(F.col("ts")))
-    rw = Window.partitionBy("cell", "run").orderBy("ts", "seq")
-    v = v.withColumn("run_start", F.first("t").over(rw)).withColumn("run_rn", F.row_number().over(rw))
-    v = v.withColumn("prev_len", F.length(F.coalesce(F.col("_prev"), F.lit(""))))
-    return v.drop("_prev").join(start, "cell")
+    v = (polls.withColumn("is_marker", is_marker).filter(F.col("is_marker") | (F.length("text") >= min_len))
+              .withColumn("t", _epoch(F.col("ts"))))
+    eff = F.when(F.col("is_marker"), F.lit("")).otherwise(F.col("text"))
+    r = ordered_runs(v, "cell", ["t", "seq"], eff,
+                     lambda prev: F.col("is_marker") | prev.isNull() | (F.col("text") != prev))
+    r = (r.withColumn("change", F.col("start") & ~F.col("is_marker"))
+          .withColumn("run_start", F.col("run_start_at.t"))
+          .withColumn("prev_len", F.length(F.coalesce(F.col("_prev"), F.lit(""))))
+          .drop("_prev", "start", "run_start_at"))
+    return r.join(start, "cell")
 
 
 def quiescence(polls: DataFrame, *, gap_s: float, timeout_s: float) -> DataFrame:
@@ -79,14 +119,11 @@ def growth(polls: DataFrame) -> DataFrame:
 
 def stable_polls(polls: DataFrame, *, n: int = STABLE_POLLS, min_len: int = STABLE_MIN_LEN) -> DataFrame:
     """Complete at the poll where the same text (longer than ``min_len``) has
-    been seen ``n`` more times in a row; else the last text seen, or an error."""
-    w = Window.partitionBy("cell").orderBy("ts", "seq")
-    p = polls.withColumn("same", (F.col("text") == F.lag("text").over(w)) & (F.length("text") > min_len))
-    p = p.withColumn("run", F.sum((~F.coalesce(F.col("same"), F.lit(False))).cast("int"))
-                     .over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rw = Window.partitionBy("cell", "run").orderBy("ts", "seq")
-    p = p.withColumn("rn", F.row_number().over(rw)).withColumn("t", _epoch(F.col("ts")))
-    done = p.filter(F.col("rn") > n).groupBy("cell").agg(F.min(F.struct("t", "seq", "text")).alias("d"))
+    been seen ``n`` more times in a row; else the last text seen."""
+    p = polls.withColumn("t", _epoch(F.col("ts")))
+    p = ordered_runs(p, "cell", ["t", "seq"], F.col("text"),
+                     lambda prev: ~F.coalesce((F.col("text") == prev) & (F.length("text") > min_len), F.lit(False)))
+    done = p.filter(F.col("run_rn") > n).groupBy("cell").agg(F.min(F.struct("t", "seq", "text")).alias("d"))
     last = p.groupBy("cell").agg(F.max(F.struct("t", "seq", "text")).alias("l"))
     j = last.join(done, "cell", "left")
     complete = F.col("d").isNotNull()
