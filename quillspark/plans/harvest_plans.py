@@ -38,6 +38,18 @@ def q_harvest_labelled(spark, sf):
     return harvest_labelled_df(spark, sf)
 
 
+PER_SOURCE_LITE = 300  # lite per-source cap (the first-N feature itself)
+LITE_COLS = (["prompt_id", "date_harvested", "source", "prompt_text", "prompt_length", "language",
+              "primary_intent", "intent_confidence", "difficulty_level", "difficulty_score", "difficulty_reasons",
+              "is_microsoft_related", "microsoft_products"] + [c for c, _ in V.CAPABILITIES_LITE] + HV.EVAL_COLUMNS)
+
+
+def q_harvest_lite(spark, sf):
+    h = HV.harvest_prompts(FX.raw_prompts(spark, sf), per_source_limit=PER_SOURCE_LITE, mode="lite")
+    lab = HV.add_eval_columns(HV.label_prompts(h, mode="lite", run_date=RUN_DATE))
+    return lab.withColumn("date_harvested", F.date_format("date_harvested", "yyyy-MM-dd")).select(*LITE_COLS)
+
+
 def q_harvest_summary(spark, sf):
     return HV.harvest_summary(harvest_labelled_df(spark, sf))
 
@@ -116,6 +128,7 @@ def q_incremental_append(spark, sf):
 
 
 QUERIES = {
+    "harvest_lite": q_harvest_lite,
     "prompt_key": q_prompt_key,
     "dedup_report": q_dedup_report,
     "first_turn_prompts": q_first_turn_prompts,
@@ -220,7 +233,30 @@ new AS (SELECT * FROM firsts WHERE Prompt NOT IN (SELECT Prompt FROM have WHERE
 SELECT '{RUN_DATE}' AS "Date Added", 'LMSYS_Arena' AS "Source", {S.intent_rules('lower(Prompt)')} AS "Intent", Prompt,
   coalesce(Language, 'unknown') AS Language, seq FROM new"""
 
+def _lite_sql() -> str:
+    lt = "lt"
+    cols = ["prompt_id", f"'{RUN_DATE}' AS date_harvested", "source", "prompt_text", "prompt_length",
+            f"{S.language('prompt_text', 'lite')} AS language"]
+    cols += S.intent_cols("_intent", subcategory=False)
+    cols += ["difficulty_level", "difficulty_score", "difficulty_reasons"]
+    cols += S.products_cols(lt, V.PRODUCTS_LITE, codes=False)
+    cols += S.flag_cols(lt, V.CAPABILITIES_LITE)
+    cols += [f"NULL::VARCHAR AS {c}" for c in HV.EVAL_COLUMNS]
+    return f"""WITH raw AS ({S.RAW_PROMPTS}),
+b1 AS (SELECT source, source_ord, seq, {S.strip('text')} AS prompt_text, {S.norm_key('text')} AS prompt_id FROM raw),
+b2 AS (SELECT *, length(prompt_text)::BIGINT AS prompt_length FROM b1),
+s1 AS (SELECT * FROM b2 WHERE prompt_length >= 1
+       QUALIFY row_number() OVER (PARTITION BY source, prompt_id ORDER BY seq) = 1),
+s2 AS (SELECT * FROM s1 WHERE prompt_length BETWEEN 15 AND 5000),
+s3 AS (SELECT * FROM s2 QUALIFY row_number() OVER (PARTITION BY source ORDER BY seq) <= {PER_SOURCE_LITE}),
+s4 AS (SELECT * FROM s3 QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY source_ord, seq) = 1),
+l1 AS (SELECT *, lower(prompt_text) AS lt FROM s4),
+l2 AS (SELECT *, {S.intent_struct(lt, V.INTENT_LITE)} AS _intent, {', '.join(S.difficulty_cols('prompt_text', lt, V.DIFFICULTY_LITE))} FROM l1)
+SELECT {', '.join(cols)} FROM l2"""
+
+
 ORACLE = {
+    "harvest_lite": _lite_sql(),
     "prompt_key": f"SELECT doc_id, {S.norm_key('text')} AS prompt_key, md5(lower(text)) AS text_md5 FROM documents",
     "dedup_report": DEDUP_REPORT_SQL,
     "first_turn_prompts": FIRST_TURN_SQL,
