@@ -36,7 +36,12 @@ def q_stream_quiescence(spark, sf):
     return J.stream_quiescence(spark, FX.polls(spark, sf), gap_s=CP.GAP_S, timeout_s=CP.TIMEOUT_S)
 
 
+def q_stream_stable_polls(spark, sf):
+    return J.stream_stable_polls(spark, FX.polls(spark, sf))
+
+
 QUERIES = {
+    "stream_stable_polls": q_stream_stable_polls,
     "stream_quiescence": q_stream_quiescence,
     "stream_harvest": q_stream_harvest,
     "stream_sessions": q_stream_sessions,
@@ -52,6 +57,7 @@ ss AS (SELECT cell, min(epoch(ts)) AS session_start, max(epoch(ts)) + 43200 AS s
 SELECT * FROM ss WHERE session_end <= (SELECT max(epoch(ts)) FROM pl) - 3600"""
 
 ORACLE = {
+    "stream_stable_polls": CP.stable_sql().replace("FROM l LEFT JOIN d USING (cell)", "FROM l JOIN d USING (cell)"),
     "stream_quiescence": CP.quiescence_sql(CP.TIMEOUT_S).replace("SELECT * FROM o ", "SELECT * FROM o WHERE status = 'complete'"),
     "stream_harvest": f"""SELECT DISTINCT prompt_id FROM (SELECT {S.norm_key('p')} AS prompt_id, length(p) AS n
   FROM (SELECT {S.strip('text')} AS p FROM documents)) WHERE n BETWEEN 15 AND 5000""",

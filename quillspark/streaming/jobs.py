@@ -203,3 +203,49 @@ def stream_quiescence(spark: SparkSession, polls: DataFrame, *, gap_s: float, ti
             .outputMode("append").trigger(availableNow=True).start())
     _await(q)
     return spark.read.parquet(out)
+
+
+# -- R4: stable polls on a stream ------------------------------------------------------------
+
+STABLE_OUT = "cell long, status string, response string, done_seq long"
+STABLE_STATE = "last string, count long, done boolean"
+
+
+def _stable_fn(n: int, min_len: int):
+    import pandas as pd
+
+    def fn(key, pdfs, state):
+        last, count, done = state.get if state.exists else (None, 0, False)
+        if done:
+            return
+        rows = pd.concat(list(pdfs)).sort_values(["t", "seq"])
+        out = []
+        for seq, text in zip(rows["seq"], rows["text"]):
+            if text == last and len(text) > min_len:
+                count += 1
+                if count >= n:
+                    out.append((key[0], "complete", text, int(seq)))
+                    done = True
+                    break
+            else:
+                last, count = text, 0
+        state.update((last, count, done))
+        if out:
+            yield pd.DataFrame(out, columns=["cell", "status", "response", "done_seq"])
+    return fn
+
+
+def stream_stable_polls(spark: SparkSession, polls: DataFrame, *, n: int = 3, min_len: int = 20,
+                        parts: int = 4) -> DataFrame:
+    """Completion after ``n`` repeats of the same text, kept as per-cell state;
+    completed cells are emitted once."""
+    base = run_dir(spark, "stable")
+    src, out, ck = f"{base}/in", f"{base}/out", f"{base}/ck"
+    stage_files(polls.select("cell", "ts", "seq", "text"), src, "ts", parts)
+    s = spark.readStream.schema("cell long, ts timestamp, seq long, text string").option("maxFilesPerTrigger", 1).parquet(src)
+    s = s.select("cell", "seq", "text", F.col("ts").cast("double").alias("t"))
+    res = s.groupBy("cell").applyInPandasWithState(_stable_fn(n, min_len), STABLE_OUT, STABLE_STATE, "append", "NoTimeout")
+    q = (res.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+            .outputMode("append").trigger(availableNow=True).start())
+    _await(q)
+    return spark.read.parquet(out)
