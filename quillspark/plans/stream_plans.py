@@ -40,7 +40,12 @@ def q_stream_stable_polls(spark, sf):
     return J.stream_stable_polls(spark, FX.polls(spark, sf))
 
 
+def q_stream_timeouts(spark, sf):
+    return J.stream_timeouts(spark, FX.polls(spark, sf), gap_s=CP.GAP_S, timeout_s=CP.SHORT_TIMEOUT_S, delay=DELAY)
+
+
 QUERIES = {
+    "stream_timeouts": q_stream_timeouts,
     "stream_stable_polls": q_stream_stable_polls,
     "stream_quiescence": q_stream_quiescence,
     "stream_harvest": q_stream_harvest,
@@ -57,6 +62,9 @@ ss AS (SELECT cell, min(epoch(ts)) AS session_start, max(epoch(ts)) + 43200 AS s
 SELECT * FROM ss WHERE session_end <= (SELECT max(epoch(ts)) FROM pl) - 3600"""
 
 ORACLE = {
+    "stream_timeouts": "SELECT cell, status, response, latency_s FROM (" + CP.quiescence_sql(CP.SHORT_TIMEOUT_S, only_incomplete=True)
+    + ") q WHERE cell IN (SELECT cell FROM (" + FX.POLLS_SQL + ") GROUP BY cell HAVING min(epoch(ts)) + "
+    + str(CP.SHORT_TIMEOUT_S) + " < (SELECT max(epoch(ts)) - 3600 FROM events))",
     "stream_stable_polls": CP.stable_sql().replace("FROM l LEFT JOIN d USING (cell)", "FROM l JOIN d USING (cell)"),
     "stream_quiescence": CP.quiescence_sql(CP.TIMEOUT_S).replace("SELECT * FROM o ", "SELECT * FROM o WHERE status = 'complete'"),
     "stream_harvest": f"""SELECT DISTINCT prompt_id FROM (SELECT {S.norm_key('p')} AS prompt_id, length(p) AS n

@@ -249,3 +249,83 @@ def stream_stable_polls(spark: SparkSession, polls: DataFrame, *, n: int = 3, mi
             .outputMode("append").trigger(availableNow=True).start())
     _await(q)
     return spark.read.parquet(out)
+
+
+# -- R8: timeouts on a stream (event-time state timeout) ---------------------------------------
+
+TIMEOUT_OUT = "cell long, status string, response string, latency_s double"
+TIMEOUT_STATE = "remembered string, run_start double, start double, repeated boolean, last_marker boolean, closed boolean"
+
+
+def _timeout_fn(gap_s: float, timeout_s: float, min_len: int, markers):
+    import pandas as pd
+
+    def verdict(cell, rem, run_start, start, repeated, last_marker):
+        if last_marker or rem is None or rem == "":
+            return (cell, "error", "ERROR: Timeout waiting for response", 0.0)
+        return (cell, "partial", rem, (run_start - start) if repeated else float(timeout_s))
+
+    def fn(key, pdfs, state):
+        cell = key[0]
+        if state.hasTimedOut:
+            rem, run_start, start, repeated, last_marker, closed = state.get
+            state.update((rem, run_start, start, repeated, last_marker, True))  # tombstone: no late restart
+            if not closed:
+                yield pd.DataFrame([verdict(cell, rem, run_start, start, repeated, last_marker)],
+                                   columns=["cell", "status", "response", "latency_s"])
+            return
+        if state.exists:
+            rem, run_start, start, repeated, last_marker, closed = state.get
+        else:
+            rem, run_start, start, repeated, last_marker, closed = None, None, None, False, False, False
+        if closed:
+            return
+        rows = pd.concat(list(pdfs)).sort_values(["t", "seq"])
+        for t, text in zip(rows["t"], rows["text"]):
+            if start is None:
+                start = t
+            if t - start >= timeout_s:
+                break
+            if any(m in text for m in markers):
+                rem, run_start, repeated, last_marker = "", None, False, True
+                continue
+            if len(text) < min_len:
+                continue
+            last_marker = False
+            if rem and text == rem:
+                repeated = True
+                if t - run_start >= gap_s:
+                    closed = True  # completed: not a timeout
+                    break
+            else:
+                rem, run_start, repeated = text, t, False
+        deadline = int((start + timeout_s) * 1000)
+        if not closed and deadline <= state.getCurrentWatermarkMs():
+            # the deadline passed while this cell still had rows in flight
+            state.update((rem, run_start, start, repeated, last_marker, True))
+            yield pd.DataFrame([verdict(cell, rem, run_start, start, repeated, last_marker)],
+                               columns=["cell", "status", "response", "latency_s"])
+            return
+        state.update((rem, run_start, start, repeated, last_marker, closed))
+        if not closed:
+            state.setTimeoutTimestamp(deadline)
+    return fn
+
+
+def stream_timeouts(spark: SparkSession, polls: DataFrame, *, gap_s: float, timeout_s: float,
+                    delay: str = "1 hour", parts: int = 4, min_len: int = 30,
+                    markers=("Thinking", "Generating")) -> DataFrame:
+    """Cells with no completion within ``timeout_s`` of their first poll get a
+    partial or error verdict when the watermark passes the deadline
+    (event-time state timeout); completed cells emit nothing here."""
+    base = run_dir(spark, "timeouts")
+    src, out, ck = f"{base}/in", f"{base}/out", f"{base}/ck"
+    stage_files(polls.select("cell", "ts", "seq", "text"), src, "ts", parts)
+    s = spark.readStream.schema("cell long, ts timestamp, seq long, text string").option("maxFilesPerTrigger", 1).parquet(src)
+    s = s.withWatermark("ts", delay).select("cell", "seq", "text", "ts", F.col("ts").cast("double").alias("t"))
+    res = s.groupBy("cell").applyInPandasWithState(_timeout_fn(gap_s, timeout_s, min_len, list(markers)),
+                                                   TIMEOUT_OUT, TIMEOUT_STATE, "append", "EventTimeTimeout")
+    q = (res.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+            .outputMode("append").trigger(availableNow=True).start())
+    _await(q)
+    return spark.read.parquet(out)

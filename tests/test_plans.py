@@ -8,7 +8,7 @@ import __spark_entry__ as E
 from conftest import SF001
 
 SKIP = {"gen_v2_dedup", "sinks_roundtrip", "latest_file", "stream_harvest", "stream_sessions", "stream_append",
-        "stream_stats", "stream_quiescence", "stream_stable_polls"}
+        "stream_stats", "stream_quiescence", "stream_stable_polls", "stream_timeouts"}
 
 
 def plan(spark, key):
