@@ -44,10 +44,9 @@ def harvest_prompts(raw: DataFrame, *, per_source_limit: int | None = None, mode
     of all rows ships one row per map task; (source, seq) is unique, so the
     final join has no hot key.
     """
-    base = (raw.withColumn("prompt_text", strip_ws(F.col("text")))
-               .withColumn("prompt_length", F.length("prompt_text").cast("bigint"))
-               .withColumn("prompt_id", norm_key(F.col("text") if mode == "lite" else F.col("prompt_text"))))
-    narrow = base.select("source", *ROW_ID, "prompt_id", "prompt_length")
+    narrow = raw.select("source", *ROW_ID, strip_ws(F.col("text")).alias("_p"), "text")
+    narrow = narrow.select("source", *ROW_ID, F.length("_p").cast("bigint").alias("prompt_length"),
+                           norm_key(F.col("text") if mode == "lite" else F.col("_p")).alias("prompt_id"))
     # keep-first per (source, key) among rows long enough to record a key:
     # the first copy's seq and its length. The length test sits inside the
     # aggregate (not a filter under it) so the text work runs after the
@@ -62,8 +61,11 @@ def harvest_prompts(raw: DataFrame, *, per_source_limit: int | None = None, mode
     # keep-first across sources: a key occurs once per source here, so the
     # lowest source_ord identifies the kept copy
     w2 = w1.groupBy("prompt_id").agg(F.min("source_ord").alias("source_ord"),
-                                     F.min_by("seq", "source_ord").alias("seq"))
-    return base.drop("text").join(w2.select(*ROW_ID), ROW_ID, "left_semi")
+                                     F.min_by("seq", "source_ord").alias("seq"),
+                                     F.min_by("prompt_length", "source_ord").alias("prompt_length"))
+    # the winners carry key and length; only their text is stripped again
+    kept = w2.join(raw, ROW_ID)
+    return kept.withColumn("prompt_text", strip_ws(F.col("text"))).drop("text")
 
 
 def dedup_report(raw: DataFrame, *, min_len: int = 15, max_len: int = 5000) -> DataFrame:
