@@ -133,7 +133,10 @@ ATTEMPTS_SQL = f"""SELECT prompt_id, system, attempt, response, blocked, latency
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations per cell; 'error' events act as the in-progress marker."""
     e = balanced(table(spark, sf_dir, "events"))
-    return e.select(F.col("user_id").alias("cell"), F.col("ts").cast("timestamp").alias("ts"),
+    # the wall-clock (timestamp_ntz) is read as UTC whatever the session zone
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    ts = F.timestamp_seconds(F.timestamp_diff("MICROSECOND", epoch, F.col("ts")) / 1e6)
+    return e.select(F.col("user_id").alias("cell"), ts.alias("ts"),
                     F.col("event_id").alias("seq"),
                     F.when(F.col("event_type") == "error", F.lit("Thinking"))
                      .otherwise(F.concat(F.col("event_type"), F.lit("x" * 30))).alias("text"))
