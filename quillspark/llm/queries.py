@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_rules, sharding, url_filter
+from . import chat_format, near_dup, quality_mil, quality_rules, sharding, url_filter
 from .common import table
 
 #: Rules of the URL query.
@@ -15,12 +15,25 @@ URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/"
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality_mil.held_out(F.col("doc_id"), 5)
+    labels = table(spark, sf_dir, "labels").where(~out)
+    model = quality_mil.fit(docs, labels, "quality")
+    scored = quality_mil.score(docs, model)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     index = url_filter.build_index(spark, URL_RULES)
     return url_filter.judge_urls(pages, index).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -42,6 +55,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_failed_lines", "loss")
 
 
-QUERIES = {f.__name__: f for f in (op6_url_filter, op8_sharding, op9_chat_format, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_quality_mil, op6_url_filter, op7_near_dup, op8_sharding, op9_chat_format, op10_quality_rules)}
 
 ORACLE: dict[str, str] = {}
