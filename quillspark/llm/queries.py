@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, near_dup, quality_mil, quality_rules, sharding, url_filter
-from .common import table
+from . import chat_format, decontaminate, lattice_lm, near_dup, quality_mil, quality_rules, sharding, sp_codec, token_rollup, url_filter
+from .common import scratch_path, table, written
+from .pieces import Pieces
+
+#: Folder of the public tokenizers' files.
+TOKENIZERS = "/opt/tokenizers"
+
+#: How the byte-level vocabularies split a text (a fixed value).
+TOKEN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Rules of the URL query.
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -24,6 +31,53 @@ def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that leaks into it."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                    table(spark, sf_dir, "benchmark"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over all documents: load them; withdraw every exact copy but
+    the first; recount the texts that repeat lines without the repetitions.
+    The second is sent twice and counts once."""
+    versions = {"bpe50k": f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "multi50k": f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"}
+    lines = F.split("text", "\n", -1)
+    docs = (table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+            .withColumn("digest", F.md5("text")).withColumn("repeats", F.size(F.array_distinct(lines)) < F.size(lines)))
+    ledger = written(token_rollup.count_tokens(docs, versions, TOKEN_PATTERN), "ledger")
+    recounted = docs.where("repeats").withColumn("text", F.concat_ws("\n", F.array_distinct(lines)))
+    first = ledger.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copies = ledger.join(first, "digest")
+    fresh = token_rollup.count_tokens(recounted, versions, TOKEN_PATTERN).join(first, "digest").where("doc_id = first")
+    names = list(versions)
+    store = token_rollup.Rollup(spark, scratch_path(spark, "rollup"))
+    store.commit("load", token_rollup.signed(ledger, names, 1))
+    withdrawn = token_rollup.signed(copies.where("doc_id > first"), names, -1)
+    store.commit("withdraw", withdrawn)
+    store.commit("recount", token_rollup.signed(copies.where("doc_id = first and repeats"), names, -1)
+                 .unionByName(token_rollup.signed(fresh, names, 1)))
+    store.commit("withdraw", withdrawn)
+    return store.totals()
+
+
+def op2_sp_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether they decode to it."""
+    pieces = Pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = sp_codec.decode(sp_codec.encode(docs, pieces), pieces)
+    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"),
+                       (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = Pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lattice_lm.score_documents(docs, ~quality_mil.held_out(F.col("doc_id"), 10), pieces)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     index = url_filter.build_index(spark, URL_RULES)
@@ -55,6 +109,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_failed_lines", "loss")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_mil, op6_url_filter, op7_near_dup, op8_sharding, op9_chat_format, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sp_codec, op3_quality_mil, op4_token_counts, op5_lattice_lm, op6_url_filter, op7_near_dup, op8_sharding, op9_chat_format, op10_quality_rules)}
 
 ORACLE: dict[str, str] = {}
