@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import quality_rules
+from quillspark.llm import decontaminate, near_dup, quality_mil, quality_rules, sp_codec
 from quillspark.llm.common import scratch_path, table
+from quillspark.llm.pieces import Pieces
+from quillspark.llm.queries import TOKENIZERS
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,8 +26,46 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "n_chars": F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))}))
 
 
-STAGES = [("quality_rules", rules_stage)]
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: learns from the labelled documents of the whole table, judges
+    what the rules left; documents with a score below 0.3 go."""
+    corpus = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~quality_mil.held_out(F.col("doc_id"), 5))
+    model = quality_mil.fit(corpus, labels, "quality")
+    return _documents(quality_mil.score(docs, model).where("score >= 0.3"))
 
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near duplicates: of each group the document with the smallest id stays, and one of
+    the rows that share an id; rows without an id are left alone."""
+    kept = near_dup.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return _documents(named).unionByName(_documents(docs.where("doc_id is null")))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Decontamination: documents that hold a benchmark item go."""
+    leaks = decontaminate.find_leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return _documents(docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of what is left, decoded again to tell whether they give the text back."""
+    pieces = Pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model")
+    both = sp_codec.decode(sp_codec.encode(_documents(docs), pieces), pieces)
+    return both.select(*COLUMNS, "ids", F.size("ids").cast("long").alias("n_ids"),
+                       (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
+STAGES = [
+    ("quality_rules", rules_stage),
+    ("quality_classifier", classifier_stage),
+    ("near_dedup", dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("sentencepiece", encoding_stage),
+]
+
+#: The classifier and the Viterbi segmentation can't be put in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
