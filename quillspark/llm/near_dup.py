@@ -4,12 +4,13 @@ A text's set holds its distinct five-word shingles. Texts with equal sets
 collapse to the smallest id before anything else. For the others, 200
 universal hash minima are cut into 40 bands of five; texts that share a band
 are candidates. Inside a band's bucket every member is paired with two hubs
-only (the smallest id, and one that differs from band to band), never with
-every other member. Pairs whose signatures agree too little are dropped
+only (the smallest id, and the least in one of four other orders of the ids,
+by band), never with every other member. Pairs whose signatures agree too little are dropped
 (more than five standard errors below the threshold), the rest is decided on
 the full sets. Buckets that still hold members of several components get a
-second round with pairs of bands as keys, which splits a crowd that merely
-shares a passage into buckets of its true near-duplicates.
+second round: hubs that differ from bucket to bucket, and pairs of bands as
+further keys, which split a crowd that merely shares a passage into buckets
+of its true near-duplicates. Only pairs of different components go on.
 
 Components come from alternating large-star and small-star over the
 confirmed links, each step an aggregate and a join, until nothing changes.
@@ -40,6 +41,7 @@ from .common import written
 WORDS = 5
 ROWS, BANDS = 5, 40
 SLACK = 0.17  # of the signature's estimate: 5.5 standard errors at 200 minima
+TURNS = tuple(int(t) for t in np.random.default_rng(77).integers(1, 1 << 62, 4))  # orders of ids for second hubs
 BAND_PAIRS = 4  # each band is joined with this many next ones in the second round
 
 _rng = np.random.default_rng(20240)
@@ -106,13 +108,21 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return rows.mapInPandas(run, "id long, n long, same binary, sig binary, bands array<long>")
 
 
+def keyed(rows: DataFrame, keys, turns: tuple[int, ...] = ()) -> DataFrame:
+    """(id, key, turn): one row per key; ``turn`` sets the order in which the second
+    hub is least. Without ``turns`` every key has an order of its own."""
+    each = rows.select("id", F.posexplode(keys).alias("at", "key"))
+    if not turns:
+        return each.select("id", "key", F.col("key").bitwiseAND((1 << 62) - 1).alias("turn"))
+    return each.select("id", "key", F.get(F.array(*[F.lit(t) for t in turns]), F.col("at") % len(turns)).alias("turn"))
+
+
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of members of a bucket and its two hubs. rows: key, id."""
-    turned = F.col("id").bitwiseXOR(F.col("key").bitwiseAND((1 << 62) - 1))
-    hubs = (rows.groupBy("key").agg(F.min("id").alias("h1"), F.min(turned).alias("h2"), F.max("id").alias("top"))
-            .where("h1 < top")
-            .select("key", F.array("h1", F.col("h2").bitwiseXOR(F.col("key").bitwiseAND((1 << 62) - 1))).alias("hubs")))
-    met = rows.join(hubs, "key").select("id", F.explode(F.array_distinct("hubs")).alias("hub")).where("id <> hub")
+    """Distinct pairs (a < b) of members of a bucket and its two hubs. rows: id, key, turn."""
+    hubs = (rows.groupBy("key", "turn").agg(F.min("id").alias("h1"), F.max("id").alias("top"),
+                                            F.min(F.col("id").bitwiseXOR(F.col("turn"))).alias("h2"))
+            .where("h1 < top").select("key", "turn", F.array("h1", F.col("h2").bitwiseXOR(F.col("turn"))).alias("hubs")))
+    met = rows.join(hubs, ["key", "turn"]).select("id", F.explode(F.array_distinct("hubs")).alias("hub")).where("id <> hub")
     return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
@@ -183,7 +193,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     firsts = written(prints.select("id", "same", "sig", "bands").join(alike, ["id", "same"])
                      .groupBy("id").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "firsts")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").cast("binary").alias("t")).where("id is not null")
-    banded = firsts.select("id", F.explode("bands").alias("key"))
+    banded = keyed(firsts, F.col("bands"), TURNS)
     pairs = written(likely(star_pairs(banded), firsts, num / den), "pairs")
     links = written(confirmed(pairs, texts, num, den), "links")
     parts = written(components(links), "parts")
@@ -196,7 +206,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     both = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.transform(
         F.sequence(F.lit(1), F.lit(BAND_PAIRS)),
         lambda k: F.xxhash64(F.get("bands", i), F.get("bands", (i + k) % BANDS), k))))
-    finer = firsts.join(crowd, "id").select("id", F.explode(both).alias("key"))
+    finer = keyed(firsts.join(crowd, "id"), F.concat("bands", both))
     apart = (star_pairs(finer).join(pairs, ["a", "b"], "left_anti")
              .join(parts.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
              .join(parts.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
