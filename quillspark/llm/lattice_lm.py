@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .pieces import Pieces
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 SMOOTH = 0.1  # of a base count
 PRIOR = 1000.0  # expected pieces that the vocabulary's scores are worth
 
