@@ -164,12 +164,12 @@ def components(edges: DataFrame) -> DataFrame:
         r = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return r[0], r[1]
 
-    def large(e: DataFrame) -> DataFrame:
+    def large(e: DataFrame) -> DataFrame:  # edges point from the smaller (a) to the larger (b)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        return (both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct())
+        return e.join(least, "a").select(F.col("m").alias("a"), "b").distinct()  # e holds every neighbour above a
 
-    def small(e: DataFrame) -> DataFrame:  # edges point from the smaller (a) to the larger (b)
+    def small(e: DataFrame) -> DataFrame:
         least = e.groupBy("b").agg(F.min("a").alias("m"))
         met = e.join(least, "b")
         return (met.select(F.col("m").alias("x"), F.col("a").alias("y"))
