@@ -49,7 +49,8 @@ class Pieces:
         if len(byte_ids) != 256:
             raise ValueError("the vocabulary has no byte pieces")
         total = sum(weights.values())
-        return Pieces.of({i: log(w / total) for i, w in weights.items()}, tuple(spell),
+        # multiples of 2 ** -20 add up without rounding, so that equal paths tie wherever they stand
+        return Pieces.of({i: round(log(w / total) * (1 << 20)) / (1 << 20) for i, w in weights.items()}, tuple(spell),
                          tuple(byte_ids[b] for b in range(256)))
 
     @staticmethod
