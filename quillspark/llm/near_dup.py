@@ -6,7 +6,7 @@ universal hash minima are cut into 40 bands of five; texts that share a band
 are candidates. Inside a band's bucket every member is paired with two hubs
 only (the smallest id, and the least in one of four other orders of the ids,
 by band), never with every other member. Pairs whose signatures agree too little are dropped
-(more than five standard errors below the threshold), the rest is decided on
+(more than 4.5 standard errors below the threshold), the rest is decided on
 the full sets. Buckets that still hold members of several components get a
 second round: hubs that differ from bucket to bucket, and pairs of bands as
 further keys, which split a crowd that merely shares a passage into buckets
@@ -40,7 +40,7 @@ from .common import written
 
 WORDS = 5
 ROWS, BANDS = 5, 40
-SLACK = 0.17  # of the signature's estimate: 5.5 standard errors at 200 minima
+SLACK = 0.14  # of the signature's estimate: 4.5 standard errors at 200 minima
 TURNS = tuple(int(t) for t in np.random.default_rng(77).integers(1, 1 << 62, 4))  # orders of ids for second hubs
 BAND_PAIRS = 4  # each band is joined with this many next ones in the second round
 
@@ -194,7 +194,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
                      .groupBy("id").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "firsts")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").cast("binary").alias("t")).where("id is not null")
     banded = keyed(firsts, F.col("bands"), TURNS)
-    pairs = written(likely(star_pairs(banded), firsts, num / den), "pairs")
+    tried = written(star_pairs(banded), "tried")
+    pairs = written(likely(tried, firsts, num / den), "pairs")
     links = written(confirmed(pairs, texts, num, den), "links")
     parts = written(components(links), "parts")
 
@@ -207,7 +208,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
         F.sequence(F.lit(1), F.lit(BAND_PAIRS)),
         lambda k: F.xxhash64(F.get("bands", i), F.get("bands", (i + k) % BANDS), k))))
     finer = keyed(firsts.join(crowd, "id"), F.concat("bands", both))
-    apart = (star_pairs(finer).join(pairs, ["a", "b"], "left_anti")
+    apart = (star_pairs(finer).join(tried, ["a", "b"], "left_anti")
              .join(parts.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
              .join(parts.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
              .where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
