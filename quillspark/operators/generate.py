@@ -9,6 +9,8 @@ range-partitioned pass) and text dedup (proposal rounds) shuffle.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -306,7 +308,7 @@ def v2_candidates(intents: DataFrame) -> DataFrame:
                      "source_intent", "cand", "text", F.md5(F.lower("text")).alias("h"))
 
 
-def dedup_proposals(cands: DataFrame, *, max_rounds: int = 10_000, stats: dict | None = None) -> DataFrame:
+def dedup_proposals(cands: DataFrame, *, stats: dict | None = None) -> DataFrame:
     """Exact parallel form of "each row, in seq order, takes its first
     candidate whose hash no earlier row took; if all are taken it keeps the
     last one": deferred acceptance with one common priority (seq).
@@ -321,7 +323,7 @@ def dedup_proposals(cands: DataFrame, *, max_rounds: int = 10_000, stats: dict |
     hashes = (cands.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("cand", "h"))).alias("_hs"))
                    .select("seq", F.transform("_hs", lambda x: x["h"]).alias("hs")))
     state = hashes.select("seq", "hs", F.lit(0).alias("p"), F.lit(False).alias("dup")).checkpoint()
-    for rnd in range(max_rounds):
+    for rnd in count():  # holders only move down: ends by itself
         live = state.filter(~F.col("dup")).withColumn("h", F.element_at("hs", (F.col("p") + 1).cast("int")))
         win = live.groupBy("h").agg(F.min("seq").alias("_win"))
         judged = live.join(win, "h").withColumn("_lost", F.col("seq") != F.col("_win"))

@@ -79,7 +79,7 @@ SAMPLE_POSITIONS = (1, 5, 10, 100, 500)
 
 
 def q_gen_summary(spark, sf):
-    g = G.gen_v2(clean(spark, sf)).withColumn("_pos", F.substring("synthetic_prompt_id", 4, 6).cast("bigint"))
+    g = G.gen_v2(clean(spark, sf)).withColumn("_pos", F.expr("substring(synthetic_prompt_id, 4)").cast("bigint"))
     return G.gen_summary(g, sample_positions=SAMPLE_POSITIONS)
 
 

@@ -38,6 +38,8 @@ def stage_files(df: DataFrame, path: str, order: str, parts: int) -> None:
             cond = cond & (F.col(order) > lo)
         if hi is not None:
             cond = cond & (F.col(order) <= hi)
+        if lo is None:  # rows without an order value come first
+            cond = cond | F.col(order).isNull()
         df.filter(cond).coalesce(1).write.mode("append").parquet(path)
 
 
