@@ -111,4 +111,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sp_codec, op3_quality_mil, op4_token_counts, op5_lattice_lm, op6_url_filter, op7_near_dup, op8_sharding, op9_chat_format, op10_quality_rules)}
 
-ORACLE: dict[str, str] = {}
+_CONVERSATIONS = f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '{CONTROL_TEXT}' union all select -1, 1, 'assistant', '{CONTROL_TEXT}')
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(length('<|im_start|>') + length(role) + 1 + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|'))
+      + length('<|im_end|>') + 1)::bigint as formatted_chars,
+  regexp_full_match(string_agg(role, ' ' order by turn, role, text),
+                    '(system )?user( assistant user)*( assistant)?') as legal
+from t group by conv_id"""
+
+_RULES = ", ".join(f"('{r}', '{r.split('/')[0]}', '/{r.split('/', 1)[1]}', '{v}')" for r, v in URL_RULES)
+
+_PAGES = f"""
+with rules(rule, h, p, v) as (values {_RULES}),
+rest as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as r from pages),
+host as (select page_id, r, lower(regexp_extract(r, '^[^/?#]*')) as host from rest),
+parts as (select page_id, host, regexp_extract(substr(r, length(host) + 1), '^[^?#]*') as path from host)
+select page_id, host, path, arg_max(rule, length(rule)) as rule, coalesce(arg_max(v, length(rule)), 'allow') as verdict
+from parts left join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+group by page_id, host, path"""
+
+ORACLE: dict[str, str] = {"op6_url_filter": _PAGES, "op9_chat_format": _CONVERSATIONS}
