@@ -70,7 +70,7 @@ CONTEXT_HELPFUL = ["CREATE", "WRITE", "DRAFT", "PREPARE", "COMPOSE", "GENERATE",
                    "PLAN", "ORGANIZE", "SCHEDULE", "PRIORITIZE"]
 EXISTING_MIN = 500
 
-# generated context by action group (our wording): 8 branches onto 7 documents
+# FIXED VALUES: generated context kind by action group (the bodies below are ours)
 GENERATED_KINDS = [
     (["SUMMARIZE", "REVIEW", "ANALYZE"], "analysis"),
     (["EXPLAIN", "DESCRIBE"], "explainer"),
@@ -91,8 +91,7 @@ GENERATED_BODIES = {
     "business": "Business context for {obj} at {company} during {scenario}.",
 }
 COMPANIES = ["Northwind", "Contoso Labs", "Globex", "Initech", "Umbrella Works"]
-REFERENCE_TEMPLATE = ("REFERENCE DOCUMENT\nDocument: {description}\nType: {doc_type}\nIndustry: {industry}\n\n"
-                      "Link:\n{url}\n\nUse the document at the link above as context for this task.")
+REFERENCE_TEMPLATE = "[{doc_type}, {industry}] {description}\nSource: {url}\n\nTreat this source as background."
 
 
 def catalog_frame(spark: SparkSession, rows=CATALOG) -> DataFrame:

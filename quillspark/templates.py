@@ -48,16 +48,17 @@ CREATIVE = ["a short story", "a catchy headline", "a one-line pitch"]
 
 # per slot: (templates, object shift, context list name, subject clause, output clause)
 V2_SLOTS = [
-    (["Can you {verb} {obj}?", "Please {verb} {obj}.", "I need you to {verb} {obj}.",
-      "Would you {verb} {obj} for me?"], 0, None, " about {subject}.", " Return it as {output}."),
-    (["{Action} {obj} for me.", "Help me {verb} {obj}.", "I want to {verb} {obj}.",
-      "{Action} {obj}."], 1, None, " on {subject}.", " I need it as {output}."),
-    (["I'm getting ready for {ctx} and must {verb} {obj}.", "For {ctx}, could you {verb} {obj}?",
-      "Ahead of {ctx}, {verb} {obj} please."], 0, "WORK_CONTEXTS", " Focus on {subject}.",
-     " Format it as {output}."),
-    (["Can you {verb} {obj} {ctx}?", "I need to {verb} {obj} {ctx} for an update.",
-      "Please {verb} {obj} {ctx} and keep it short."], 2, "TIME_CONTEXTS", " Keep to {subject}.",
-     " Output as {output}."),
+    (["{Action} {obj}, if you would.", "Time to {verb} {obj}, so go ahead.",
+      "The task today: {verb} {obj}.", "Somebody has to {verb} {obj}; take it on."], 0, None,
+     " The topic is {subject}.", " Wanted: {output}."),
+    (["Take {obj} and {verb} it.", "Our goal is to {verb} {obj}.", "Let us {verb} {obj} together.",
+      "Next on the list: {verb} {obj}."], 1, None, " Topic: {subject}.", " Hand over {output}."),
+    (["With {ctx} in view, {verb} {obj}.", "People at {ctx} expect {obj}: {verb} it.",
+      "{Action} {obj} so that {ctx} runs smoothly."], 0, "WORK_CONTEXTS", " Stress {subject}.",
+     " Shape: {output}."),
+    (["{Action} {obj} {ctx}, nothing older.", "What changed {ctx}? {Action} {obj}.",
+      "Go through {obj} {ctx} and {verb} what counts."], 2, "TIME_CONTEXTS",
+     " Leave out all but {subject}.", " Put it into {output}."),
     (["{Action} {obj} {ctx}.", "Could you {verb} {obj}, {ctx}?"], 0, "CONDITIONS",
      " Limit it to {subject}.", " Give it as {output}."),
     (["First {verb} {obj}, {ctx}.", "Start by asking me to {verb} {obj}, {ctx}."], 1, "SECOND_STEPS",
@@ -138,7 +139,7 @@ V3_VALUES = {
     "regulation": ["GDPR", "SOX", "HIPAA", "ISO 27001"],
     "deadline": ["Friday", "month end", "the next sprint", "Q3"],
 }
-# context document kinds (v3 rule): ordered tests on the object words, then on the slot
+# FIXED VALUES: context document kinds (v3 rule): ordered tests on the object words, then on the slot
 V3_CONTEXT_RULES = [
     ("meeting_notes", ["MEETING", "NOTES"], 3),
     ("email_thread", ["EMAIL", "MESSAGE"], 5),
@@ -153,52 +154,53 @@ CONTEXT_BODIES = {
     "policy_document": "{obj} guidelines: scope, roles, approvals and exceptions for {team}.",
     "technical_document": "{project} - {obj} technical notes: inputs, outputs, limits and owners.",
 }
+# FIXED VALUES: actions that need a context document
 ACTIONS_NEEDING_CONTEXT = ["SUMMARIZE", "EXPLAIN", "REVIEW", "ANALYZE", "ASSESS", "EVALUATE",
                            "PROOFREAD", "EDIT", "TRANSLATE", "REWRITE"]
 
 # offline templates: (variant, template, needs) with needs in {None, 'subject', 'nosubject', 'output'}
 OFFLINE = [
-    ("direct_request", "Can you {verb} {obj} from {subject}?", "subject"),
-    ("direct_request", "Please {verb} the {obj} on {subject}.", "subject"),
-    ("direct_request", "Can you {verb} {obj}?", "nosubject"),
-    ("direct_request", "I have to {verb} {obj}.", "nosubject"),
-    ("contextual", "I'm on a project and have to {verb} {obj}. Any help?", None),
-    ("contextual", "Before my next meeting I should {verb} {obj}.", None),
-    ("conditional", "If you can, {verb} {obj} as a list.", None),
-    ("conditional", "{Action} {obj} only if it is from last week.", None),
-    ("analytical", "Can you {verb} {obj} and point out the main themes?", None),
-    ("multi_step", "First {verb} {obj}, then give the key points.", None),
-    ("output_specific", "{Action} {obj} and present it as {output}.", "output"),
+    ("direct_request", "{Action} {obj}, limited to {subject}.", "subject"),
+    ("direct_request", "The subject is {subject}; {verb} whatever {obj} says on it.", "subject"),
+    ("direct_request", "{Action} {obj}, all of it.", "nosubject"),
+    ("contextual", "An audit starts soon; {verb} {obj} with that in mind.", None),
+    ("conditional", "Should {obj} be empty, say so; otherwise {verb} it.", None),
+    ("analytical", "{Action} {obj}, naming the evidence behind every claim.", None),
+    ("multi_step", "Gather what concerns {obj}, {verb} it, and check the outcome twice.", None),
+    ("output_specific", "The deliverable is {output}: {verb} {obj} to get there.", "output"),
 ]
 
-# rubric (our wording): action groups, output line, variant lines, dimensions
+# FIXED VALUES: the action groups; the lines are ours
 RUBRIC_GROUPS = [
     ("generative", ["CREATE", "WRITE", "GENERATE", "DRAFT"],
-     ["Produces usable {obj} content", "Well structured and professional", "Tone fits the request"]),
+     ["The {obj} could be handed over without edits", "Sections come in the order a reader expects"]),
     ("retrieval", ["FIND", "GET", "LOCATE", "SEARCH"],
-     ["Surfaces the relevant {obj}", "Facts are correct and sourced", "Results are easy to scan"]),
+     ["Each hit names its origin", "Nothing outside the asked scope is returned",
+      "Missing {obj} are reported as missing"]),
     ("synthesis", ["SUMMARIZE", "RECAP"],
-     ["Captures every key point", "Omits nothing important", "Ends with clear takeaways"]),
+     ["Far shorter than its source", "No statement that the source lacks"]),
     ("explanation", ["EXPLAIN", "DEFINE", "DESCRIBE"],
-     ["Easy to follow", "Breaks hard ideas into steps", "Defines jargon"]),
+     ["Starts from what a newcomer knows", "Contains a worked example"]),
     ("enumeration", ["LIST", "ENUMERATE"],
-     ["Lists all {obj}", "Orders items sensibly", "Describes each item"]),
+     ["One entry per line", "No entry occurs twice", "States how many {obj} there are"]),
     ("recommendation", ["SUGGEST", "RECOMMEND", "PROPOSE"],
-     ["Ideas are relevant and doable", "Offers options", "Gives reasons"]),
+     ["Ranks the proposals", "Names the cost of every proposal"]),
     ("analysis", ["ANALYZE", "EVALUATE", "ASSESS", "REVIEW"],
-     ["Finds real insight", "Backs claims with evidence", "Actions are practical"]),
+     ["States the question before the answer", "Separates measurement from opinion",
+      "Says what would change the verdict"]),
     ("comparison", ["COMPARE", "CONTRAST"],
-     ["Even-handed", "Shows differences and overlaps", "Helps decide"]),
+     ["Uses one yardstick for all sides", "Ends in a table or a ranking"]),
 ]
-RUBRIC_DEFAULT = ["Handles the {action} request", "Complete and useful", "Accurate and tidy"]
-RUBRIC_OUTPUT = "Delivered as {output}"
+RUBRIC_DEFAULT = ["Carries the {action} request to its end", "Reads without spelling slips"]
+RUBRIC_OUTPUT = "The answer arrives as {output}"
 RUBRIC_VARIANT = {
-    "multi_step": "Every step is handled in order",
-    "analytical": "Includes insights to act on",
-    "comparative": "Comparison is balanced",
-    "hypothetical": "Fits the stated scenario",
-    "creative": "Shows originality",
+    "multi_step": "Intermediate results are shown",
+    "analytical": "Numbers carry their units",
+    "comparative": "Names a winner or a tie",
+    "hypothetical": "Assumptions are spelled out",
+    "creative": "Avoids stock phrases",
 }
+# FIXED VALUES: dimensions and the actions that add one
 BASE_DIMENSIONS = ["accuracy", "completeness", "relevance", "clarity", "helpfulness"]
 CREATIVITY_ACTIONS = ["CREATE", "WRITE", "SUGGEST", "DRAFT"]
 ACTIONABILITY_ACTIONS = ["SUGGEST", "RECOMMEND", "ANALYZE"]
@@ -209,13 +211,13 @@ ACTION_TYPE_CRITERIA = {
     "ANALYZE": "insight",
 }
 ACTION_TYPE_DEFAULT = "helpfulness"
-# capability-specific extra criteria (declared, long form)
+# extra criteria by capability: the flags are fixed values, the criteria ours
 CAPABILITY_CRITERIA = [
-    ("coding", "requires_code_execution", ["Code correctness", "Best practices", "Explanation quality"]),
-    ("creative_writing", "requires_creativity", ["Creativity", "Engagement", "Style adherence"]),
-    ("image_creation", "requires_image_creation", ["Prompt adherence", "Aesthetic quality", "Technical quality"]),
-    ("web_search", "requires_web_search", ["Source quality", "Recency", "Relevance"]),
-    ("analysis", "requires_reasoning", ["Insight depth", "Methodology", "Actionability"]),
+    ("coding", "requires_code_execution", ["Runs as given", "Handles empty input", "Names tell their purpose"]),
+    ("creative_writing", "requires_creativity", ["Surprising turns", "One consistent voice"]),
+    ("image_creation", "requires_image_creation", ["Every requested element is visible", "No garbled lettering"]),
+    ("web_search", "requires_web_search", ["Links resolve", "Dates are given", "Answers the query asked"]),
+    ("analysis", "requires_reasoning", ["Each step follows from the last", "Limits are admitted"]),
 ]
 
 # FIXED VALUES: complexity word ranges and the requested mix per intent
@@ -263,19 +265,19 @@ OBJECT_CATEGORIES = [
 ]
 TRANSFORM_ACTIONS = ["CONVERT", "TRANSFORM", "MODIFY"]
 
-# generation flags -> instruction line (12 of 13 flags carry a line), our wording
+# generation flags -> instruction line: the names are fixed values, the lines ours
 GENERATION_FLAGS = [
-    ("must_include_action_verb", "- Use an action verb that matches the intent"),
-    ("preserve_intent_semantics", "- Keep the meaning of the intent"),
-    ("natural_language_style", "- Sound like a real person"),
-    ("avoid_ambiguity", "- Be specific"),
-    ("enterprise_context", "- Set it at work"),
-    ("professional_tone", "- Keep a professional tone"),
-    ("realistic_scenario", "- Describe situations people really face"),
-    ("vary_sentence_structure", "- Vary sentence shapes"),
-    ("include_context_details", "- Add useful detail where it helps"),
+    ("must_include_action_verb", "- One imperative per request, taken from the action"),
+    ("preserve_intent_semantics", "- Action and object may not change"),
+    ("natural_language_style", "- Write as in a chat with a colleague"),
+    ("avoid_ambiguity", "- A reader must see exactly one task"),
+    ("enterprise_context", "- Office settings only"),
+    ("professional_tone", "- No slang"),
+    ("realistic_scenario", "- Nothing that could not happen this week"),
+    ("vary_sentence_structure", "- No two requests start alike"),
+    ("include_context_details", "- Some requests mention who, when or why"),
     ("multiple_phrasings", None),
-    ("grammatically_correct", "- Write correct grammar"),
-    ("clear_expected_output", "- Make the wanted output obvious"),
-    ("testable_by_llm_judge", "- Make quality easy to judge"),
+    ("grammatically_correct", "- Proofread spelling and punctuation"),
+    ("clear_expected_output", "- Name the deliverable"),
+    ("testable_by_llm_judge", "- A grader must be able to say pass or fail"),
 ]
