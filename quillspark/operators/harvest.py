@@ -3,8 +3,8 @@ labelled prompts, plus summary tables.
 
 Dedup is computed on a narrow projection (row id, key, length) with
 aggregations (partial aggregation on the map side, so a hot key costs one
-row per map task), then the wide rows are picked with one semi-join on the
-unique row id. Text crosses the network once.
+row per map task), then the wide rows are picked with one join on the unique row
+id. Copies are told by the full md5; ``prompt_id`` prints its first 12 digits. Text crosses the network once.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from ..functions.text import norm_key, strip_ws
 from . import label as L
 
 ROW_ID = ["source_ord", "seq"]
+FULL = 32  # hex digits of the key that decides which rows are copies
 
 
 def first_n_per(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
@@ -39,33 +40,34 @@ def harvest_prompts(raw: DataFrame, *, per_source_limit: int | None = None, mode
 
     Plan: one narrow scan (row id, key, length) -> hash aggregate per
     (source, key) carrying the first copy's seq and length -> hash aggregate
-    per key picking the lowest source -> one semi-join of the wide rows on the
+    per key picking the lowest source -> one join of the wide rows on the
     unique row id. Both aggregates combine map-side, so a key holding a third
     of all rows ships one row per map task; (source, seq) is unique, so the
     final join has no hot key.
     """
     narrow = raw.select("source", *ROW_ID, strip_ws(F.col("text")).alias("_p"), "text")
     narrow = narrow.select("source", *ROW_ID, F.length("_p").cast("bigint").alias("prompt_length"),
-                           norm_key(F.col("text") if mode == "lite" else F.col("_p")).alias("prompt_id"))
+                           norm_key(F.col("text") if mode == "lite" else F.col("_p"), FULL).alias("_key"))
     # keep-first per (source, key) among rows long enough to record a key:
     # the first copy's seq and its length. The length test sits inside the
     # aggregate (not a filter under it) so the text work runs after the
     # scan's split, in parallel, instead of being pushed into the scan task.
     counted = F.col("prompt_length") >= (min_len if mode == "full" else 1)
     first_seq = F.when(counted, F.col("seq"))
-    w1 = (narrow.groupBy("source", "source_ord", "prompt_id")
+    w1 = (narrow.groupBy("source", "source_ord", "_key")
                 .agg(F.min(first_seq).alias("seq"), F.min_by("prompt_length", first_seq).alias("prompt_length")))
     w1 = w1.filter(F.col("seq").isNotNull() & F.col("prompt_length").between(min_len, max_len))
     if per_source_limit is not None:
         w1 = first_n_per(w1, "source", ["seq"], per_source_limit)
     # keep-first across sources: a key occurs once per source here, so the
     # lowest source_ord identifies the kept copy
-    w2 = w1.groupBy("prompt_id").agg(F.min("source_ord").alias("source_ord"),
+    w2 = w1.groupBy("_key").agg(F.min("source_ord").alias("source_ord"),
                                      F.min_by("seq", "source_ord").alias("seq"),
                                      F.min_by("prompt_length", "source_ord").alias("prompt_length"))
-    # the winners carry key and length; only their text is stripped again
-    kept = w2.join(raw, ROW_ID)
-    return kept.withColumn("prompt_text", strip_ws(F.col("text"))).drop("text")
+    # texts that cannot win for their length stay out of the join
+    wide = (raw.filter(F.length("text") >= min_len).withColumn("prompt_text", strip_ws(F.col("text"))).drop("text")
+               .filter(F.length("prompt_text").between(min_len, max_len)))
+    return w2.join(wide, ROW_ID).withColumn("prompt_id", F.substring("_key", 1, 12)).drop("_key")
 
 
 def dedup_report(raw: DataFrame, *, min_len: int = 15, max_len: int = 5000) -> DataFrame:
@@ -73,15 +75,15 @@ def dedup_report(raw: DataFrame, *, min_len: int = 15, max_len: int = 5000) -> D
     dropped as too long, removed as cross-source copies, kept (full mode)."""
     narrow = (raw.select("source", *ROW_ID, strip_ws(F.col("text")).alias("p"))
                  .select("source", *ROW_ID, F.length("p").cast("bigint").alias("len"),
-                         norm_key(F.col("p")).alias("prompt_id")))
+                         norm_key(F.col("p"), FULL).alias("_key")))
     read = narrow.groupBy("source").agg(F.count(F.lit(1)).alias("n_read"),
                                         F.count_if(F.coalesce(F.col("len"), F.lit(0)) < min_len).alias("n_short"))
-    w1 = (narrow.filter(F.col("len") >= min_len).groupBy("source", "source_ord", "prompt_id")
+    w1 = (narrow.filter(F.col("len") >= min_len).groupBy("source", "source_ord", "_key")
                 .agg(F.min("seq").alias("seq"), F.min_by("len", "seq").alias("len")))
     firsts = w1.groupBy("source").agg(F.count(F.lit(1)).alias("n_first"),
                                       F.count_if(F.col("len") > max_len).alias("n_long"))
     ok = w1.filter(F.col("len") <= max_len)
-    kept = (ok.groupBy("prompt_id").agg(F.min("source_ord").alias("source_ord"))
+    kept = (ok.groupBy("_key").agg(F.min("source_ord").alias("source_ord"))
               .join(ok.select("source", "source_ord").distinct(), "source_ord")
               .groupBy("source").agg(F.count(F.lit(1)).alias("n_kept")))
     out = read.join(firsts, "source", "left").join(kept, "source", "left").na.fill(0)

@@ -158,11 +158,11 @@ def _harvest_sql(limit: int | None) -> str:
            if limit else ", s3 AS (SELECT * FROM s2)")
     return f"""WITH raw AS ({S.RAW_PROMPTS}),
 b1 AS (SELECT source, source_ord, seq, language, {S.strip('text')} AS prompt_text FROM raw),
-b2 AS (SELECT *, length(prompt_text)::BIGINT AS prompt_length, {S.norm_key('prompt_text')} AS prompt_id FROM b1),
+b2 AS (SELECT *, length(prompt_text)::BIGINT AS prompt_length, {S.norm_key('prompt_text', 32)} AS k, substr(k, 1, 12) AS prompt_id FROM b1),
 s1 AS (SELECT * FROM b2 WHERE prompt_length >= 15
-       QUALIFY row_number() OVER (PARTITION BY source, prompt_id ORDER BY seq) = 1),
+       QUALIFY row_number() OVER (PARTITION BY source, k ORDER BY seq) = 1),
 s2 AS (SELECT * FROM s1 WHERE prompt_length <= 5000){lim},
-s4 AS (SELECT * FROM s3 QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY source_ord, seq) = 1)"""
+s4 AS (SELECT * FROM s3 QUALIFY row_number() OVER (PARTITION BY k ORDER BY source_ord, seq) = 1)"""
 
 
 def _labelled_sql() -> str:
@@ -205,12 +205,12 @@ def _docs(extra_cols: list[str], spec_cols: str = "") -> str:
 
 
 DEDUP_REPORT_SQL = f"""WITH raw AS ({S.RAW_PROMPTS}),
-n AS (SELECT source, source_ord, seq, length(p)::BIGINT AS len, {S.norm_key('p')} AS prompt_id
+n AS (SELECT source, source_ord, seq, length(p)::BIGINT AS len, {S.norm_key('p', 32)} AS k
       FROM (SELECT *, {S.strip('text')} AS p FROM raw)),
 rd AS (SELECT source, count(*) AS n_read, count(*) FILTER (WHERE coalesce(len, 0) < 15) AS n_short FROM n GROUP BY source),
-w1 AS (SELECT * FROM n WHERE len >= 15 QUALIFY row_number() OVER (PARTITION BY source, prompt_id ORDER BY seq) = 1),
+w1 AS (SELECT * FROM n WHERE len >= 15 QUALIFY row_number() OVER (PARTITION BY source, k ORDER BY seq) = 1),
 fs AS (SELECT source, count(*) AS n_first, count(*) FILTER (WHERE len > 5000) AS n_long FROM w1 GROUP BY source),
-w2 AS (SELECT * FROM w1 WHERE len <= 5000 QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY source_ord, seq) = 1),
+w2 AS (SELECT * FROM w1 WHERE len <= 5000 QUALIFY row_number() OVER (PARTITION BY k ORDER BY source_ord, seq) = 1),
 kp AS (SELECT source, count(*) AS n_kept FROM w2 GROUP BY source)
 SELECT rd.source, n_read::BIGINT AS n_read, n_short::BIGINT AS n_short,
   (n_read - n_short - coalesce(n_first, 0))::BIGINT AS n_copy_in_source, coalesce(n_long, 0)::BIGINT AS n_long,
@@ -243,13 +243,13 @@ def _lite_sql() -> str:
     cols += S.flag_cols(lt, V.CAPABILITIES_LITE)
     cols += [f"NULL::VARCHAR AS {c}" for c in HV.EVAL_COLUMNS]
     return f"""WITH raw AS ({S.RAW_PROMPTS}),
-b1 AS (SELECT source, source_ord, seq, {S.strip('text')} AS prompt_text, {S.norm_key('text')} AS prompt_id FROM raw),
+b1 AS (SELECT source, source_ord, seq, {S.strip('text')} AS prompt_text, {S.norm_key('text', 32)} AS k, substr(k, 1, 12) AS prompt_id FROM raw),
 b2 AS (SELECT *, length(prompt_text)::BIGINT AS prompt_length FROM b1),
 s1 AS (SELECT * FROM b2 WHERE prompt_length >= 1
-       QUALIFY row_number() OVER (PARTITION BY source, prompt_id ORDER BY seq) = 1),
+       QUALIFY row_number() OVER (PARTITION BY source, k ORDER BY seq) = 1),
 s2 AS (SELECT * FROM s1 WHERE prompt_length BETWEEN 15 AND 5000),
 s3 AS (SELECT * FROM s2 QUALIFY row_number() OVER (PARTITION BY source ORDER BY seq) <= {PER_SOURCE_LITE}),
-s4 AS (SELECT * FROM s3 QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY source_ord, seq) = 1),
+s4 AS (SELECT * FROM s3 QUALIFY row_number() OVER (PARTITION BY k ORDER BY source_ord, seq) = 1),
 l1 AS (SELECT *, lower(prompt_text) AS lt FROM s4),
 l2 AS (SELECT *, {S.intent_struct(lt, V.INTENT_LITE)} AS _intent, {', '.join(S.difficulty_cols('prompt_text', lt, V.DIFFICULTY_LITE))} FROM l1)
 SELECT {', '.join(cols)} FROM l2"""

@@ -67,8 +67,8 @@ ORACLE = {
     + str(CP.SHORT_TIMEOUT_S) + " < (SELECT max(epoch(ts)) - 3600 FROM events))",
     "stream_stable_polls": CP.stable_sql().replace("FROM l LEFT JOIN d USING (cell)", "FROM l JOIN d USING (cell)"),
     "stream_quiescence": CP.quiescence_sql(CP.TIMEOUT_S).replace("SELECT * FROM o ", "SELECT * FROM o WHERE status = 'complete'"),
-    "stream_harvest": f"""SELECT DISTINCT prompt_id FROM (SELECT {S.norm_key('p')} AS prompt_id, length(p) AS n
-  FROM (SELECT {S.strip('text')} AS p FROM documents)) WHERE n BETWEEN 15 AND 5000""",
+    "stream_harvest": f"""SELECT substr(k, 1, 12) AS prompt_id FROM (SELECT DISTINCT {S.norm_key('p', 32)} AS k
+  FROM (SELECT {S.strip('text')} AS p FROM documents) WHERE length(p) BETWEEN 15 AND 5000)""",
     "stream_sessions": SESSIONS_SQL,
     "stream_append": HP.INCREMENTAL_SQL,
     "stream_stats": f"""WITH {CP.ATT}, a AS (SELECT *, {CP.status_sql()} AS status FROM att)

@@ -61,8 +61,8 @@ def stream_harvest(spark: SparkSession, docs: DataFrame, *, parts: int = 4, min_
     stage_files(docs.select("doc_id", "source", "text"), src, "doc_id", parts)
     s = spark.readStream.schema("doc_id long, source string, text string").option("maxFilesPerTrigger", 1).parquet(src)
     s = s.withColumn("prompt_text", strip_ws(F.col("text"))).withColumn("prompt_length", F.length("prompt_text"))
-    s = s.filter(F.col("prompt_length").between(min_len, max_len)).withColumn("prompt_id", norm_key(F.col("prompt_text")))
-    s = s.dropDuplicates(["prompt_id"])
+    s = s.filter(F.col("prompt_length").between(min_len, max_len)).withColumn("_key", norm_key(F.col("prompt_text"), 32))
+    s = s.dropDuplicates(["_key"]).withColumn("prompt_id", F.substring("_key", 1, 12)).drop("_key")
     s = L.label_intent_rules(L.with_lower(s, "prompt_text"), out="intent").drop(L.LOWER, "text")
     q = (s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
           .outputMode("append").trigger(availableNow=True).start())
