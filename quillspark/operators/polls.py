@@ -26,26 +26,6 @@ def _epoch(c: Column) -> Column:
     return c.cast("timestamp").cast("double")
 
 
-def hot_keys(df: DataFrame, key: str, parts: int) -> bool:
-    """True when one key holds more than a partition's fair share of rows
-    (one small aggregate with map-side combine; a scalar reaches the driver)."""
-    r = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m"), F.sum("n").alias("t")).first()
-    return bool(r and r["t"] and r["m"] * parts > r["t"])
-
-
-def _plain_runs(df: DataFrame, key: str, order: list[str], value, is_start) -> DataFrame:
-    """Same columns as the range path, with windows over the key (used when
-    no key is hot: one shuffle, no checkpoint)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    x = df.withColumn("_prev", F.lag(value).over(w)).withColumn("_idx", F.row_number().over(w))
-    x = x.withColumn("start", is_start(F.col("_prev")))
-    st = F.struct(F.col("_idx").alias("i"), *[F.col(o) for o in order])
-    x = x.withColumn("_rs", F.last(F.when(F.col("start"), st), ignorenulls=True)
-                     .over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return (x.withColumn("run_rn", F.col("_idx") - F.col("_rs.i") + 1).withColumn("run_start_at", F.col("_rs"))
-             .drop("_idx", "_rs"))
-
-
 def ordered_runs(df: DataFrame, key: str, order: list[str], value, is_start, *, parts: int | None = None) -> DataFrame:
     """Gaps-and-islands per ``key`` in ``order`` that stays balanced when one
     key holds a large share of the rows.
@@ -60,12 +40,9 @@ def ordered_runs(df: DataFrame, key: str, order: list[str], value, is_start, *,
 
     ``value`` is the value compared with the next row; ``is_start(prev)``
     returns the run-start flag given the previous value. Adds _prev, start,
-    run_start_at (index and order of the run's first row), run_rn. When no
-    key is hot, plain windows over the key give the same columns."""
+    run_start_at (index and order of the run's first row), run_rn."""
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if not hot_keys(df, key, parts):
-        return _plain_runs(df, key, order, value, is_start)
     rp = (df.repartitionByRange(parts, key, *order).withColumn("_pid", F.spark_partition_id())
             .withColumn("_val", value).checkpoint())
     g = Window.partitionBy("_pid", key).orderBy(*order)
