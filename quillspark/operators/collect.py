@@ -158,6 +158,16 @@ def retry_queue(attempts: DataFrame, max_attempts: int = 4) -> DataFrame:
                .select("prompt_id", "system", (F.col("attempt") + 1).alias("next_attempt"))
 
 
+def retry_rounds(attempts: DataFrame, max_attempts: int = 4) -> DataFrame:
+    """The queue after every collection round: each blocked attempt with budget
+    left asks for the next one; ``open`` tells that it has not been sent yet.
+    A cell has at most ``max_attempts`` rows."""
+    w = Window.partitionBy("prompt_id", "system").orderBy("attempt")
+    seen = attempts.select("prompt_id", "system", "attempt", "blocked").withColumn("open", F.lead("attempt").over(w).isNull())
+    return (seen.filter(F.col("blocked") & (F.col("attempt") < max_attempts))
+                .select("prompt_id", "system", (F.col("attempt") + 1).alias("next_attempt"), "open"))
+
+
 def _slim(attempts: DataFrame) -> DataFrame:
     """Status computed row-wise first, so the text never crosses a shuffle."""
     return with_status(attempts).select("prompt_id", "system", "attempt", "status", "latency_s")

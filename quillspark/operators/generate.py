@@ -130,19 +130,17 @@ def action_distribution(analysis: DataFrame, top: int = 15) -> DataFrame:
 # -- generation requests ------------------------------------------------------------
 
 def quality_context(df: DataFrame) -> Column:
-    """Usage-context lines: engagement, satisfaction, reliable flag, apology and
-    no-citation rates (non-zero only), tenants."""
-    lines = F.array(
-        F.concat(F.lit("- Reach: "), F.col("pct_users"), F.lit(" of users ("), F.col("user_count"), F.lit(" in all)")),
-        F.when(F.col("sat_rate") != "", F.concat(F.lit("- Satisfaction: "), F.col("sat_rate"))),
-        F.when(F.col("reliable"), F.lit("- Marked reliable")),
-        F.when((F.col("apology_rate") != "") & (F.col("apology_rate") != "0%"),
-               F.concat(F.lit("- Apology rate: "), F.col("apology_rate"))),
-        F.when((F.col("no_citation_rate") != "") & (F.col("no_citation_rate") != "0%"),
-               F.concat(F.lit("- No-citation rate: "), F.col("no_citation_rate"))),
-        F.concat(F.lit("- Seen in "), F.col("tenant_count").cast("string"), F.lit(" tenants")),
-    )
-    return F.array_join(F.array_compact(lines), "\n")
+    """Usage figures as name=value, left out where blank (rates also at 0%)."""
+    def shown(name: str, when: Column | None = None) -> Column:
+        pair = F.concat(F.lit(f"{name}="), F.col(name).cast("string"))
+        return pair if when is None else F.when(when, pair)
+
+    def rate(name: str) -> Column:
+        return shown(name, ~F.col(name).isin("", "0%"))
+
+    return F.array_join(F.array_compact(F.array(
+        shown("user_count"), shown("pct_users"), shown("tenant_count"), shown("reliable", F.col("reliable")),
+        shown("sat_rate", F.col("sat_rate") != ""), rate("apology_rate"), rate("no_citation_rate"))), "; ")
 
 
 def flag_lines(flags: dict[str, bool] | None = None) -> Column:
@@ -214,8 +212,10 @@ def strip_end(c: Column) -> Column:
     return F.regexp_replace(c, r"[.?]+$", "")
 
 
-def generation_base(intents: DataFrame) -> DataFrame:
-    """Clean components, redundancy tests and the source-intent label."""
+def generation_base(intents: DataFrame, *, containment: bool = True) -> DataFrame:
+    """Clean components, redundancy tests and the source-intent label. A subject
+    is redundant when it equals the object or, with ``containment``, when one
+    of the two contains the other."""
     a = F.upper(clean_value(F.col("action")))
     o = clean_value(F.col("object"))
     s = clean_value(F.col("subject"))
@@ -225,7 +225,9 @@ def generation_base(intents: DataFrame) -> DataFrame:
                         a.alias("a"), o.alias("o"), s.alias("s"), out.alias("out"))
     df = df.filter((F.col("a") != "") & (F.col("o") != ""))
     ol, sl = F.lower(F.col("o")), F.lower(F.col("s"))
-    redundant = (F.col("s") == "") | (ol == sl) | sl.contains(ol) | ol.contains(sl)
+    redundant = (F.col("s") == "") | (ol == sl)
+    if containment:
+        redundant = redundant | sl.contains(ol) | ol.contains(sl)
     has_s = (F.col("s") != "") & ~redundant
     has_o = (F.col("out") != "") & (F.upper(F.col("out")) != F.upper(F.col("o")))
     label = F.concat(F.col("a"), F.lit(" + "), F.col("o"),
@@ -396,7 +398,7 @@ def seeded(values, *parts: Column) -> Column:
 
 
 def gen_v3(intents: DataFrame) -> DataFrame:
-    base = generation_base(intents)
+    base = generation_base(intents, containment=False)
     df = base.withColumn("_s", F.explode(_slots())).select("*", "_s.*").drop("_s")
     needs = F.upper(F.col("a")).isin(*TP.ACTIONS_NEEDING_CONTEXT)
     vals = {k: seeded(v, F.col("intent_id"), F.col("slot"), F.lit(k)) for k, v in TP.V3_VALUES.items()}

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 DEFAULT_SYSTEMS = ["sys_a", "sys_b", "sys_c", "sys_retired"]
 ALLOWED = ["sys_a", "sys_b", "sys_c"]
-PREVIEW = 40
 MIN_PROMPT = 15
 
 OUT_SCHEMA = "prompt_id long, system string, response string, error string"
@@ -23,7 +22,7 @@ def echo_responder(prompt: str, system: str) -> str:
     """Deterministic local responder used in tests (no network client ships)."""
     if prompt is None or len(prompt) < MIN_PROMPT:
         raise ValueError("prompt too short")
-    return f"{system}: {prompt[:PREVIEW]}"
+    return f"{system}: {prompt}"
 
 
 def _apply(fn: Callable[[str, str], str]):

@@ -35,11 +35,8 @@ def q_latest_attempt(spark, sf):
     return CO.latest_status(a)
 
 
-ROUNDS_DONE = 1  # queue as it stands after the first collection round
-
-
 def q_retry_queue(spark, sf):
-    return CO.retry_queue(FX.attempts(spark, sf).filter(F.col("attempt") <= ROUNDS_DONE))
+    return CO.retry_rounds(FX.attempts(spark, sf))
 
 
 def q_system_success(spark, sf):
@@ -191,9 +188,9 @@ ORACLE = {
     "response_extract": extract_sql(),
     "block_pages": block_sql(),
     "latest_attempt": f"WITH {LATEST} SELECT prompt_id, system, attempt, status, latency_s FROM lat",
-    "retry_queue": f"""WITH {ATT}, lat AS (SELECT * FROM att WHERE attempt <= {ROUNDS_DONE}
-  QUALIFY row_number() OVER (PARTITION BY prompt_id, system ORDER BY attempt DESC) = 1)
-SELECT prompt_id, system, attempt + 1 AS next_attempt FROM lat WHERE blocked AND attempt < 4""",
+    "retry_queue": f"""WITH {ATT}, top AS (SELECT prompt_id, system, max(attempt) AS last FROM att GROUP BY prompt_id, system)
+SELECT prompt_id, system, attempt + 1 AS next_attempt, attempt = last AS open
+FROM att JOIN top USING (prompt_id, system) WHERE blocked AND attempt < 4""",
     "system_success": f"WITH {LATEST} SELECT system, count(*) FILTER (WHERE status = 'ok')::BIGINT AS ok, count(*)::BIGINT AS cells FROM lat GROUP BY system",
     "attempt_stats": f"""WITH {LATEST},
 a AS (SELECT *, {status_sql()} AS status FROM att),

@@ -177,7 +177,7 @@ SELECT system, round(avg(sd), 6) AS robustness, count(*)::BIGINT AS families FRO
     "rubric_check": f"""WITH {RAT} SELECT {round(sum(w for _, w in E.WEIGHTS), 6)}::DOUBLE AS weight_sum, TRUE AS weights_ok,
   count(*)::BIGINT AS ratings, count(*) FILTER (WHERE rating NOT BETWEEN {E.SCALE[0]} AND {E.SCALE[1]})::BIGINT AS out_of_range FROM rat""",
     "batch_responder": f"""SELECT doc_id AS prompt_id, v.system,
-  CASE WHEN length(text) < {R.MIN_PROMPT} THEN NULL ELSE v.system || ': ' || left(text, {R.PREVIEW}) END AS response,
+  CASE WHEN length(text) < {R.MIN_PROMPT} THEN NULL ELSE v.system || ': ' || text END AS response,
   CASE WHEN length(text) < {R.MIN_PROMPT} THEN 'ERROR: prompt too short' END AS error
 FROM documents CROSS JOIN (VALUES {', '.join(f"({q(s)})" for s in R.DEFAULT_SYSTEMS if s in R.ALLOWED)}) AS v(system)""",
 }

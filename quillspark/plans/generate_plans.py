@@ -164,11 +164,12 @@ def cv(x):
     return f"CASE WHEN {s} IN ({', '.join(q(v) for v in TP.PLACEHOLDER_VALUES)}) THEN '' ELSE {s} END"
 
 
-def base_sql() -> str:
+def base_sql(containment: bool = True) -> str:
+    inside = " OR contains(lower(s), lower(o)) OR contains(lower(o), lower(s))" if containment else ""
     return f"""{typed_sql()},
 gb0 AS (SELECT intent_id, action AS input_action, object AS input_object, subject AS input_subject, output AS input_output,
   upper({cv('action')}) AS a, {cv('object')} AS o, {cv('subject')} AS s, {cv('output')} AS out FROM clean),
-gb AS (SELECT *, (s <> '' AND NOT (s = '' OR lower(o) = lower(s) OR contains(lower(s), lower(o)) OR contains(lower(o), lower(s)))) AS has_s,
+gb AS (SELECT *, (s <> '' AND NOT (s = '' OR lower(o) = lower(s){inside})) AS has_s,
   (out <> '' AND upper(out) <> upper(o)) AS has_o FROM gb0 WHERE a <> '' AND o <> ''),
 gbl AS (SELECT *, a || ' + ' || o || CASE WHEN has_s THEN ' (Subject: ' || s || ')' ELSE '' END
   || CASE WHEN has_o THEN ' → ' || out ELSE '' END AS source_intent FROM gb),
@@ -258,7 +259,7 @@ def gen_v3_sql() -> str:
     no_ctx = lst([n for _, _, n in TP.V3_SCENARIOS])
     body = fill(case_map("kind", {k: q(v) for k, v in TP.CONTEXT_BODIES.items()}, "NULL"), {**vals, "obj": "o"})
     text = f"CASE WHEN {needs} THEN {fill(f'{with_ctx}[{i}]', vals)} ELSE {fill(f'{no_ctx}[{i}]', vals)} END"
-    return f"""WITH {base_sql()},
+    return f"""WITH {base_sql(containment=False)},
 k AS (SELECT *, {context_kind_sql('o', 'slot')} AS kind, {needs} AS needs FROM gs),
 t AS (SELECT *, {text} AS t0 FROM k),
 t2 AS (SELECT *, CASE WHEN has_s THEN {strip_end('t0')} || ' Focus on ' || lower(s) || '.' ELSE t0 END AS t1 FROM t),
@@ -372,11 +373,10 @@ def request_sql() -> str:
     def spec(c):
         return f"CASE WHEN {c} <> '' AND {c} <> '?' THEN {c} ELSE 'Not specified' END"
     a = analysis_sql().replace(f"WITH {typed_sql()}\n", "")
-    qc = ("array_to_string(list_filter(['- Reach: ' || pct_users || ' of users (' || user_count || ' in all)', "
-          "CASE WHEN sat_rate <> '' THEN '- Satisfaction: ' || sat_rate END, CASE WHEN reliable THEN '- Marked reliable' END, "
-          "CASE WHEN apology_rate <> '' AND apology_rate <> '0%' THEN '- Apology rate: ' || apology_rate END, "
-          "CASE WHEN no_citation_rate <> '' AND no_citation_rate <> '0%' THEN '- No-citation rate: ' || no_citation_rate END, "
-          "'- Seen in ' || CAST(tenant_count AS VARCHAR) || ' tenants'], lambda x: x IS NOT NULL), chr(10))")
+    rates = ", ".join(f"CASE WHEN {c} NOT IN ('', '0%') THEN '{c}=' || {c} END" for c in ("apology_rate", "no_citation_rate"))
+    qc = ("array_to_string(list_filter(['user_count=' || user_count, 'pct_users=' || pct_users, "
+          "'tenant_count=' || CAST(tenant_count AS VARCHAR), CASE WHEN reliable THEN 'reliable=true' END, "
+          f"CASE WHEN sat_rate <> '' THEN 'sat_rate=' || sat_rate END, {rates}], lambda x: x IS NOT NULL), '; ')")
     flags = q("\n".join(line for _, line in TP.GENERATION_FLAGS if line is not None))
     nl = "chr(10)"
     text = (f"'Write 10 varied test prompts for this intent.' || {nl} || {nl} || 'Intent' || {nl} || '- Action: ' || c.action"

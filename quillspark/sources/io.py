@@ -70,9 +70,9 @@ def write_json_with_manifest(df: DataFrame, path: str, meta: dict) -> None:
 
 
 def write_partitioned(df: DataFrame, path: str, col: str, mode: str = "overwrite") -> None:
-    """One output per value of ``col`` in a single job; repartitioning by the
-    column first keeps one file set per value (no small-file storm)."""
-    _flat(df).repartition(col).write.mode(mode).partitionBy(col).parquet(path)
+    """One output per value of ``col`` in a single job; rebalancing on
+    the column first keeps the files few, and splits a value that holds most rows."""
+    _flat(df).hint("rebalance", F.col(col)).write.mode(mode).partitionBy(col).parquet(path)
 
 
 def write_subset(df: DataFrame, cond, path: str) -> bool:
