@@ -9,8 +9,6 @@ range-partitioned pass) and text dedup (proposal rounds) shuffle.
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -325,7 +323,7 @@ def dedup_proposals(cands: DataFrame, *, stats: dict | None = None) -> DataFrame
     hashes = (cands.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("cand", "h"))).alias("_hs"))
                    .select("seq", F.transform("_hs", lambda x: x["h"]).alias("hs")))
     state = hashes.select("seq", "hs", F.lit(0).alias("p"), F.lit(False).alias("dup")).checkpoint()
-    for rnd in count():  # holders only move down: ends by itself
+    while True:  # holders only move down: ends by itself
         live = state.filter(~F.col("dup")).withColumn("h", F.element_at("hs", (F.col("p") + 1).cast("int")))
         win = live.groupBy("h").agg(F.min("seq").alias("_win"))
         judged = live.join(win, "h").withColumn("_lost", F.col("seq") != F.col("_win"))
@@ -334,9 +332,7 @@ def dedup_proposals(cands: DataFrame, *, stats: dict | None = None) -> DataFrame
                             (F.col("_lost") & (F.col("p") == n_c - 1)).alias("dup"),
                             F.col("_lost").alias("_moved"))
         new = new.unionByName(state.filter(F.col("dup")).select("seq", "hs", "p", "dup", F.lit(False).alias("_moved")))
-        # reliable checkpoint every other round bounds the lineage; in between
-        # the round result is cached (recomputable from the last checkpoint)
-        new = new.checkpoint() if rnd % 2 == 1 else new.cache()
+        new = new.checkpoint()  # shared folder: nothing is held on executors between rounds
         moved = new.filter(F.col("_moved") & ~F.col("dup")).count()
         state = new.drop("_moved")
         if stats is not None:

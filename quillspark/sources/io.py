@@ -34,13 +34,12 @@ def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def newest_file(spark: SparkSession, path: str, fmt: str = "csv", **options) -> DataFrame:
-    """Rows of the most recently modified file under ``path`` (file metadata
-    columns; the choice is an aggregate, the rows are a semi-join)."""
-    df = spark.read.format(fmt).options(**options).load(path)
-    meta = df.select("*", F.col("_metadata.file_path").alias("_file"),
-                     F.col("_metadata.file_modification_time").alias("_mtime"))
-    newest = meta.select("_file", "_mtime").distinct().agg(F.max_by("_file", F.struct("_mtime", "_file")).alias("_file"))
-    return meta.join(newest, "_file", "left_semi").drop("_file", "_mtime")
+    """Rows of the most recently modified file under ``path`` (of equal times, the
+    last name). The choice reads file names and times only; of the data, only
+    the chosen file is read. Without files the result is empty."""
+    files = spark.read.format("binaryFile").load(path).select("path", "modificationTime")
+    newest = files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path")).first()["path"]
+    return spark.read.format(fmt).options(**options).load(newest if newest is not None else path)
 
 
 def _flat(df: DataFrame) -> DataFrame:

@@ -11,9 +11,10 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as E  # noqa: E402
 from conftest import SF001  # noqa: E402
 from oracle_compare import compare, duck  # noqa: E402
+from quillspark.plans import all_oracles, all_queries  # noqa: E402
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = all_queries()
+ORACLES = all_oracles()
 
 
 @pytest.fixture(scope="module")

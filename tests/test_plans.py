@@ -4,18 +4,18 @@ pruning reach the scan."""
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF001
+from quillspark.plans import all_queries
 
 SKIP = {"gen_v2_dedup", "sinks_roundtrip", "latest_file", "stream_harvest", "stream_sessions", "stream_append",
         "stream_stats", "stream_quiescence", "stream_stable_polls", "stream_timeouts"}
 
 
 def plan(spark, key):
-    return E.queries()[key](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    return all_queries()[key](spark, SF001)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(set(E.queries()) - SKIP))
+@pytest.mark.parametrize("key", sorted(set(all_queries()) - SKIP))
 def test_no_pairs_no_row_udf(spark, key):
     p = plan(spark, key)
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
