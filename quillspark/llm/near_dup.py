@@ -7,16 +7,20 @@ are candidates. Inside a band's bucket every member is paired with two hubs
 only (the smallest id, and the least in one of four other orders of the ids,
 by band), never with every other member. Pairs whose signatures agree too little are dropped
 (more than 4.5 standard errors below the threshold), the rest is decided on
-the full sets. Buckets that still hold members of several components get a
-second round: hubs that differ from bucket to bucket, and pairs of bands as
-further keys, which split a crowd that merely shares a passage into buckets
-of its true near-duplicates. Only pairs of different components go on.
+the full sets. The members of all buckets that still hold several components
+meet in a second round without hubs, a prefix-filter join: in one common
+order, rarest first, two sets within the threshold have their first common
+shingle near the front of both. Every pair of different components that can
+reach the threshold by the places of a common shingle goes on; a passage that
+a crowd shares stands behind those places, so the crowd's members don't meet.
 
 Components come from alternating large-star and small-star over the
 confirmed links, each step an aggregate and a join, until nothing changes.
 
 Hot groups: copies collapse in a map-side aggregate; hubs are map-side
 aggregates; joins have a unique side, so that Spark can split the other one.
+In the prefix join the members of a shingle's largest component never meet
+each other.
 Fingerprints, links and components stay in tables.
 
 Defined results: a null, empty or blank text has an empty set and no links;
@@ -42,7 +46,7 @@ WORDS = 5
 ROWS, BANDS = 5, 40
 SLACK = 0.14  # of the signature's estimate: 4.5 standard errors at 200 minima
 TURNS = tuple(int(t) for t in np.random.default_rng(77).integers(1, 1 << 62, 4))  # orders of ids for second hubs
-BAND_PAIRS = 4  # each band is joined with this many next ones in the second round
+COUNT_BITS = 18  # shingles are counted by so many bits of their hash; the counts only set the common order
 
 _rng = np.random.default_rng(20240)
 _A = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
@@ -108,12 +112,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return rows.mapInPandas(run, "id long, n long, same binary, sig binary, bands array<long>")
 
 
-def keyed(rows: DataFrame, keys, turns: tuple[int, ...] = ()) -> DataFrame:
-    """(id, key, turn): one row per key; ``turn`` sets the order in which the second
-    hub is least. Without ``turns`` every key has an order of its own."""
+def keyed(rows: DataFrame, keys, turns: tuple[int, ...]) -> DataFrame:
+    """(id, key, turn): one row per key; ``turn`` sets the order in which the second hub is least."""
     each = rows.select("id", F.posexplode(keys).alias("at", "key"))
-    if not turns:
-        return each.select("id", "key", F.col("key").bitwiseAND((1 << 62) - 1).alias("turn"))
     return each.select("id", "key", F.get(F.array(*[F.lit(t) for t in turns]), F.col("at") % len(turns)).alias("turn"))
 
 
@@ -157,6 +158,79 @@ def confirmed(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFra
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """id, component, s (the shingles as bytes). rows: id, component, t."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at:at + 512]
+                yield part[["id", "component"]].assign(s=[shingle_set(t).tobytes() for t in part["t"]])
+
+    return rows.select("id", "component", "t").mapInPandas(run, "id long, component long, s binary")
+
+
+def _places(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def set_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall on each of 2 ** COUNT_BITS places. sets: s."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                held = np.frombuffer(b"".join(batch["s"].iloc[at:at + 512]), dtype=np.uint64)
+                n += np.bincount(_places(held), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"at": at, "n": n[at]})
+
+    out = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+    for r in sets.select("s").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["at"]] = r["n"]
+    return out
+
+
+def prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a < b) of different components, with all those whose sets have
+    intersection / union >= num / den. sets: id, component, s (the shingles).
+
+    With every set in one order, a pair's common shingles lie at or behind the first
+    of them, so that one leaves num / (num + den) of both sizes in either set."""
+    counts = set_counts(sets)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part, keys, left = batch.iloc[at:at + 256], [], []
+                for held in part["s"]:
+                    s = np.frombuffer(held, dtype=np.uint64)
+                    seen = counts[_places(s)]
+                    front = np.lexsort((s, seen))[:len(s) - -(-len(s) * num // den) + 1]
+                    rest = len(s) - np.arange(len(front))
+                    met = seen[front] > 1  # a place with one shingle is of this set alone
+                    keys.append(s[front][met].view(np.int64))
+                    left.append(rest[met])
+                times = [len(k) for k in keys]
+                size = part["s"].map(len).to_numpy() // 8
+                yield pd.DataFrame({"key": np.concatenate(keys), "id": np.repeat(part["id"].to_numpy(), times),
+                                    "component": np.repeat(part["component"].to_numpy(), times),
+                                    "n": np.repeat(size, times), "left": np.concatenate(left)})
+
+    fronts = written(sets.select("id", "component", "s").mapInPandas(run, "key long, id long, component long, n long, left long"), "fronts")
+    shared = (fronts.groupBy("key", "component").agg(F.count("*").alias("m"))
+              .groupBy("key").agg(F.max_by("component", "m").alias("big"), F.count("*").alias("m")).where("m > 1").select("key", "big"))
+    met = written(fronts.join(shared, "key").withColumn("other", F.col("component") != F.col("big")).drop("big"), "met")
+    # side 0: the others with all; side 1: the largest component with the others
+    small = (met.where(F.col("left") * (num + den) >= 2 * num * F.col("n"))
+             .select("key", F.when(F.col("other"), 0).otherwise(1).alias("side"), F.col("id").alias("x"),
+                     F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx")))
+    large = met.select("key", F.explode(F.when(F.col("other"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("side"),
+                       F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("left").alias("ly"))
+    pairs = small.join(large, ["key", "side"]).where(
+        f"cx <> cy and (nx < ny or nx = ny and x < y) and least(lx, ly) * {num + den} >= {num} * (nx + ny)")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of all nodes of ``edges`` (a, b): the smallest id of each
     connected component, by alternating large-star and small-star."""
@@ -194,24 +268,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
                      .groupBy("id").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "firsts")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").cast("binary").alias("t")).where("id is not null")
     banded = keyed(firsts, F.col("bands"), TURNS)
-    tried = written(star_pairs(banded), "tried")
-    pairs = written(likely(tried, firsts, num / den), "pairs")
+    pairs = written(likely(star_pairs(banded), firsts, num / den), "pairs")
     links = written(confirmed(pairs, texts, num, den), "links")
     parts = written(components(links), "parts")
 
-    # buckets with members of several components: a second round, on pairs of bands
+    # buckets with members of several components: all their members meet without hubs
     where = banded.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = (where.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
              .where("lo < hi and n > 2").select("key"))
-    crowd = written(where.join(mixed, "key").select("id").distinct(), "crowd")
-    both = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.transform(
-        F.sequence(F.lit(1), F.lit(BAND_PAIRS)),
-        lambda k: F.xxhash64(F.get("bands", i), F.get("bands", (i + k) % BANDS), k))))
-    finer = keyed(firsts.join(crowd, "id"), F.concat("bands", both))
-    apart = (star_pairs(finer).join(tried, ["a", "b"], "left_anti")
-             .join(parts.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-             .join(parts.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-             .where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
+    crowd = written(where.join(mixed, "key").select("id", "component").distinct(), "crowd")
+    sets = written(shingle_sets(texts.join(crowd, "id")), "sets")
+    apart = prefix_pairs(sets, num, den)
     more = written(confirmed(written(likely(apart, firsts, num / den), "pairs2"), texts, num, den), "links2")
     if not more.isEmpty():
         parts = written(components(more.unionByName(parts.where("id <> component").select(
