@@ -1,22 +1,19 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH on item-sized windows, exact edit check.
+"""Benchmark decontamination: piece filter over the diagonals of a text, exact edit check.
 
 Texts and items are normalised: lower case, runs of anything but letters and
 digits as one space. An item leaks if some stretch of a text is within
 ``max_share`` of the item's length in edit distance.
 
-1. Windows. An item of m characters is cut into m // PIECE pieces of PIECE
-   characters. Within k edits at least m // PIECE - k of them stay whole and
-   nearly in place, so only windows that hold that many of an item's pieces
-   on near diagonals can leak. The pieces of all items are looked up at every
-   position of a text at once (numpy), which leaves few windows. None that
-   can leak is lost; an item too short for a piece bound is tried at every
-   place where one of its pieces occurs.
-2. LSH. A CGK random walk maps a window and its item to strings whose Hamming
-   distance reflects the edit distance. Per repetition, a walk of its own and
-   ``BITS`` sampled places give a key; a window is kept if any repetition's
-   keys agree. The number of repetitions follows from ``recall``.
-3. Check. The exact edit distance of the item to the best stretch of the
-   window, widened by k on both sides (bit-parallel dynamic programme).
+1. Diagonals. An item of m characters is cut into m // PIECE pieces of PIECE
+   characters. Within k edits at least m // PIECE - k of them stay whole, on
+   diagonals at most k apart, so only diagonals that hold that many of an
+   item's pieces so near to each other can leak. The pieces of all items are
+   looked up at every position of a text at once (numpy), which leaves few
+   diagonals. None that can leak is lost; an item too short for a piece bound
+   is tried at every place where one of its pieces occurs.
+2. Check. The exact edit distance of the item to the best stretch around every
+   run of such diagonals, widened by k on both sides (bit-parallel dynamic
+   programme). Nothing is sampled between the two steps.
 
 Items are read in blocks of at most ``BLOCK`` rows; a block is a stated query
 set sent to the executors, and every text meets every block where it lies,
@@ -32,7 +29,6 @@ repeated in the input give repeated results; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
 
 import numpy as np
 import pandas as pd
@@ -40,11 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECE = 8
-BITS = 3
-AGREE = 0.55  # lower bound of a sampled place's agreement for texts within the distance
 BLOCK = 20_000
 SLICE = 1 << 20
-WINDOWS = 2048
 
 
 class _Plain(dict):
@@ -76,39 +69,6 @@ def _grams(c: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(g).view("<u8").ravel() * np.uint64(0x9E3779B97F4A7C15)
 
 
-def repetitions(recall: float) -> int:
-    return ceil(log(1 - recall) / log(1 - AGREE ** BITS))
-
-
-class Walks:
-    """Random walks of the CGK embedding and the places sampled from each."""
-
-    def __init__(self, longest: int, repeat: int, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        self.repeat = repeat
-        self.moves = rng.integers(0, 2, (repeat, 3 * longest + 1, 256), dtype=np.uint8)
-        self.places = rng.random((repeat, BITS))
-
-    def keys(self, windows: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-        """Sampled characters of each window's embedding for an item of the size
-        given with it: (window, repetition, BITS); 0 past the end."""
-        width = max(len(w) for w in windows)
-        held = np.zeros((len(windows), width + 1), dtype=np.uint8)
-        for i, w in enumerate(windows):
-            held[i, :len(w)] = w
-        reps = np.arange(self.repeat)
-        # places in the first 2 * size steps: the walk is still inside the item by then, mostly
-        at = (self.places[None] * (2 * sizes)[:, None, None]).astype(np.int32)
-        out = np.zeros(at.shape, dtype=np.uint8)
-        pos = np.zeros((len(windows), self.repeat), dtype=np.int64)
-        for j in range(int(at.max()) + 1):
-            here = np.take_along_axis(held, np.minimum(pos, width), axis=1)
-            hit = at == j
-            out[hit] = np.broadcast_to(here[:, :, None], at.shape)[hit]
-            pos += self.moves[reps[None, :], j, here]
-        return out
-
-
 def edit_distance(item: str, stretch: str) -> tuple[int, int]:
     """Least edit distance of ``item`` to any part of ``stretch``, and where that part ends (the first of equals)."""
     masks: dict[str, int] = {}
@@ -133,9 +93,9 @@ def edit_distance(item: str, stretch: str) -> tuple[int, int]:
 
 
 class Items:
-    """A block of items, their pieces and their LSH keys."""
+    """A block of items and their pieces."""
 
-    def __init__(self, rows: list[tuple[int, str]], max_share: float, recall: float, min_chars: int):
+    def __init__(self, rows: list[tuple[int, str]], max_share: float, min_chars: int):
         self.rows = [(i, t) for i, t in ((i, normalise(t)) for i, t in rows) if len(t) >= max(min_chars, PIECE)]
         self.k = [int(max_share * len(t)) for _, t in self.rows]
         self.need = [max(1, len(t) // PIECE - k) for (_, t), k in zip(self.rows, self.k)]
@@ -150,29 +110,21 @@ class Items:
         self.grams = np.array(grams, dtype=np.uint64)[order]
         self.owner, self.place = np.array(owner, dtype=np.int64)[order], np.array(place, dtype=np.int64)[order]
         self._index()
-        self.shape = max((len(t) for _, t in self.rows), default=1), repetitions(recall)
-        self.walks = Walks(*self.shape)
-        self.keys = np.concatenate([self._keys([(n, codes(t)) for n, (_, t) in enumerate(self.rows)][i:i + WINDOWS])
-                                    for i in range(0, len(self.rows), WINDOWS)]) if self.rows else None
 
-    def __getstate__(self) -> dict:  # the walks are drawn again where they are used
-        return {k: v for k, v in self.__dict__.items() if k not in ("walks", "seen")}
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "seen"}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self.walks = Walks(*self.shape)
         self._index()
 
     def _index(self) -> None:
         self.seen = np.zeros(1 << 22, dtype=bool)
         self.seen[(self.grams >> np.uint64(42)).astype(np.int64)] = True
 
-    def _keys(self, windows: list[tuple[int, np.ndarray]]) -> np.ndarray:
-        return self.walks.keys([w for _, w in windows], np.array([len(self.rows[n][1]) for n, _ in windows]))
-
-    def starts(self, c: np.ndarray) -> dict[int, list[int]]:
-        """For each item that can leak, the window starts that its pieces point to."""
-        found: dict[int, list[int]] = {}
+    def spans(self, c: np.ndarray) -> dict[int, list[list[int]]]:
+        """For each item that can leak, the runs of diagonals (first, last) on which it can."""
+        found: dict[int, list[list[int]]] = {}
         hits_at, lo, hi = [], [], []
         for at in range(0, max(1, len(c)), SLICE):
             g = _grams(c[at:at + SLICE + PIECE - 1])
@@ -198,54 +150,48 @@ class Items:
             if b - a < need:
                 continue
             s, p = start[a:b], piece[a:b]
-            stop = np.searchsorted(s, s + 2 * k, "right")
-            i = 0
-            while i < len(s):
-                if stop[i] - i >= need and len(np.unique(p[i:stop[i]])) >= need:
-                    values, count = np.unique(s[i:stop[i]], return_counts=True)
-                    found.setdefault(n, []).append(int(values[np.argmax(count)]))
-                    i = int(np.searchsorted(s, values[np.argmax(count)], "right"))
-                else:
-                    i += 1
+            stop = np.searchsorted(s, s + k, "right")
+            for i in np.flatnonzero(stop - np.arange(len(s)) >= need).tolist():
+                runs = found.get(n)
+                if runs and s[stop[i] - 1] <= runs[-1][1]:
+                    continue
+                if need == 1 or len(np.unique(p[i:stop[i]])) >= need:
+                    first, last = int(s[i]), int(s[stop[i] - 1])
+                    if runs and first <= runs[-1][1] + k:
+                        runs[-1][1] = last
+                    else:
+                        found.setdefault(n, []).append([first, last])
         return found
 
     def leaks(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(index of the text, item id, distance, start, end) in the normalised
         text, one row per text and item."""
-        plain = [normalise(t) for t in texts]
-        spots = []
-        for x, text in enumerate(plain):
-            c = codes(text)
-            for n, starts in self.starts(c).items():
-                m = len(self.rows[n][1])
-                # windows start where the pieces point, and a little around it
-                for s in sorted({min(max(0, s + d), max(0, len(c) - 1)) for s in starts for d in (-2, -1, 0, 1, 2)}):
-                    spots.append((x, n, s, c[s:s + m]))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for i in range(0, len(spots), WINDOWS):
-            part = spots[i:i + WINDOWS]
-            met = self._keys([(n, w) for _, n, _, w in part]) == self.keys[[n for _, n, _, _ in part]]
-            for (x, n, s, _), ok in zip(part, met.all(axis=2).any(axis=1)):
-                if not ok or best.get((x, n), (1,))[0] == 0:
-                    continue
-                item, k = self.rows[n][1], self.k[n]
-                first = max(0, s - k)
-                d, end = edit_distance(item, plain[x][first:s + len(item) + k])
-                if d <= k and d < best.get((x, n), (k + 1,))[0]:
-                    best[x, n] = (d, max(0, first + end - len(item)), first + end)
-        return [(x, self.rows[n][0], *found) for (x, n), found in best.items()]
+        out = []
+        for x, text in enumerate(map(normalise, texts)):
+            for n, runs in self.spans(codes(text)).items():
+                (i, item), k = self.rows[n], self.k[n]
+                m, best = len(item), None
+                for lo, hi in runs:
+                    first = max(0, lo - k)
+                    d, end = edit_distance(item, text[first:max(0, hi + m + k)])
+                    if d <= k and (best is None or d < best[0]):
+                        best = (d, max(0, first + end - m), first + end)
+                if best:
+                    out.append((x, i, *best))
+        return out
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                item_text: str = "text", max_share: float = 0.1, recall: float = 0.9999, min_chars: int = 40) -> DataFrame:
     """One row per text and item that leaks into it: key, item key, ``distance``,
-    ``span_start`` and ``span_end`` in the normalised text."""
+    ``span_start`` and ``span_end`` in the normalised text. Every leak is found, so
+    that any ``recall`` is met; callers may still name one."""
     named = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     schema = f"`{key}` long, `{item_key}` long, distance long, span_start long, span_end long"
 
     def against(block: list[tuple[int, str]]) -> DataFrame:
-        held = Items(block, max_share, recall, min_chars)
+        held = Items(block, max_share, min_chars)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:

@@ -221,6 +221,26 @@ def test_decontamination(spark, odd):
     assert decontaminate.find_leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_one_sided(spark):
+    """Insert-only and delete-only edits up to the distance lose no item."""
+    rng = random.Random(51)
+    items = [(i, prose(rng, 120, 4000)[:n].strip()) for i, n in enumerate([200, 224, 300, 380, 400] * 8)]
+    docs, want = [], {}
+    for d, (i, item) in enumerate(items + items):
+        body, k = list(item), int(0.1 * len(item))
+        for at in sorted(rng.sample(range(1, len(body) - 1), k), reverse=True):
+            if d < len(items):
+                body.insert(at, rng.choice("abcdeinorst"))
+            else:
+                del body[at]
+        docs.append((d, " ".join([prose(rng, 60, 4000), "".join(body), prose(rng, 60, 4000)])))
+        want[d, i] = brute_distance(item, decontaminate.normalise(docs[-1][1]))
+        assert want[d, i] <= k
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                                   spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.distance for r in got} == want
+
+
 def test_codec(spark, odd, pieces):
     back = sp_codec.decode(sp_codec.encode(odd, pieces), pieces).collect()
     assert all(r.decoded == (r.text or "") for r in back) and len(back) == len(ODD)
