@@ -14,6 +14,9 @@ digits as one space. An item leaks if some stretch of a text is within
 2. Check. The exact edit distance of the item to the best stretch around every
    run of such diagonals, widened by k on both sides (bit-parallel dynamic
    programme). Nothing is sampled between the two steps.
+3. Short items. An item of fewer than ``min_chars`` characters (or PIECE) has no
+   distance: it leaks where its words stand in a row in a text. Every run of as
+   many words as a short item has is looked up.
 
 Items are read in blocks of at most ``BLOCK`` rows; a block is a stated query
 set sent to the executors, and every text meets every block where it lies,
@@ -21,7 +24,7 @@ without a shuffle.
 
 Defined results: a null or empty text or item (also one without letters or
 digits) matches nothing; items shorter than ``min_chars`` after
-normalisation are not used; an item that repeats in a text counts once, with
+normalisation match whole words only, at distance 0; an item that repeats in a text counts once, with
 its nearest stretch (the first of equals); equal items each match; rows
 repeated in the input give repeated results; other columns are ignored.
 """
@@ -96,7 +99,12 @@ class Items:
     """A block of items and their pieces."""
 
     def __init__(self, rows: list[tuple[int, str]], max_share: float, min_chars: int):
-        self.rows = [(i, t) for i, t in ((i, normalise(t)) for i, t in rows) if len(t) >= max(min_chars, PIECE)]
+        plain = [(i, normalise(t)) for i, t in rows]
+        self.rows = [(i, t) for i, t in plain if len(t) >= max(min_chars, PIECE)]
+        self.short: dict[int, dict[str, list[int]]] = {}  # by number of words
+        for i, t in plain:
+            if 0 < len(t) < max(min_chars, PIECE):
+                self.short.setdefault(t.count(" ") + 1, {}).setdefault(t, []).append(i)
         self.k = [int(max_share * len(t)) for _, t in self.rows]
         self.need = [max(1, len(t) // PIECE - k) for (_, t), k in zip(self.rows, self.k)]
         grams, owner, place = [], [], []
@@ -163,6 +171,20 @@ class Items:
                         found.setdefault(n, []).append([first, last])
         return found
 
+    def exact(self, text: str) -> dict[str, int]:
+        """The short items in a normalised text, and where each first starts."""
+        found: dict[str, int] = {}
+        if not self.short or not text:
+            return found
+        spaces = [at for at, ch in enumerate(text) if ch == " "]
+        first, last = [0, *(at + 1 for at in spaces)], [*spaces, len(text)]
+        for n, items in self.short.items():
+            for a, b in zip(first, last[n - 1:]):
+                t = text[a:b]
+                if t in items:
+                    found.setdefault(t, a)
+        return found
+
     def leaks(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(index of the text, item id, distance, start, end) in the normalised
         text, one row per text and item."""
@@ -178,6 +200,8 @@ class Items:
                         best = (d, max(0, first + end - m), first + end)
                 if best:
                     out.append((x, i, *best))
+            for t, a in self.exact(text).items():
+                out += [(x, i, 0, a, a + len(t)) for i in self.short[t.count(" ") + 1][t]]
         return out
 
 

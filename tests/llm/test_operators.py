@@ -241,6 +241,16 @@ def test_decontamination_one_sided(spark):
     assert {(r.doc_id, r.item_id): r.distance for r in got} == want
 
 
+def test_decontamination_short_items(spark):
+    """Items below min_chars match whole words exactly."""
+    items = [(1, "Who is it?"), (2, "is it"), (3, "who"), (4, "who is it"), (5, "t is"), (6, "..."), (7, None)]
+    docs = [(1, "he said: who is  it, who is it"), (2, "whois it"), (3, "it is"), (4, None), (5, "WHO!")]
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                                   spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance, r.span_start, r.span_end) for r in got) == [
+        (1, 1, 0, 8, 17), (1, 2, 0, 12, 17), (1, 3, 0, 8, 11), (1, 4, 0, 8, 17), (5, 3, 0, 0, 3)]
+
+
 def test_codec(spark, odd, pieces):
     back = sp_codec.decode(sp_codec.encode(odd, pieces), pieces).collect()
     assert all(r.decoded == (r.text or "") for r in back) and len(back) == len(ODD)
