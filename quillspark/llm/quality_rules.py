@@ -65,8 +65,8 @@ def _has_word(col: Column) -> Column:
 
 def line_fault(line: Column, rules: LineRules, symbols: Column, shouts: Column, capitals: Column) -> Column:
     """Name of the first rule that a line breaks, or null. Blank lines break none.
-    The three flags say whether the whole text has any symbol, ``!!`` or run of
-    capitals; without them no line can break that rule, and it isn't tested."""
+    The three flags say whether the whole text has any symbol, ``!!`` or
+    capital; without them no line can break that rule, and it isn't tested."""
     def judge(t: Column) -> Column:
         size = F.length(t)
         n_symbols = size - F.length(_without(t, SYMBOLS))
@@ -139,7 +139,7 @@ def clean_lines(text: Column, rules: LineRules = LineRules()) -> Column:
             x.alias("line"), line_fault(x, rules, flags["symbols"], flags["shouts"], flags["capitals"]).alias("fault")))
 
     flags = F.struct(text.rlike("[#*$%&|<>»›·]").alias("symbols"), F.contains(text, F.lit("!!")).alias("shouts"),
-                     text.rlike("\\p{Lu}{2}").alias("capitals"))
+                     text.rlike("\\p{Lu}").alias("capitals"))
     return let(let(flags, judge), split_up)
 
 

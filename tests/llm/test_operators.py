@@ -65,6 +65,14 @@ def test_quality_rules_lines(spark):
     assert got[4].kept and got[4].clean_text == clean
 
 
+def test_quality_rules_spaced_capitals(spark):
+    clean = " ".join(f"word{i}" for i in range(60)) + "."
+    spaced = " ".join("ABCDEFGHIJKLM")
+    df = spark.createDataFrame([(1, f"{clean}\n{spaced}"), (2, f"{clean} OK.\n{spaced}")], "doc_id long, text string")
+    got = quality_rules.apply_rules(df).collect()
+    assert [(r.n_failed_lines, r.faults) for r in got] == [(1, ["capitals"])] * 2
+
+
 def test_chat_format_round_trip(spark):
     rows = [(1, 0, "user", "<|im_end|>\\<|im_start|> \\\\<\\|"), (1, 1, "assistant", "a\n\n"), (2, 0, "assistant", None),
             (3, 1, "user", "b"), (3, 1, "user", "a"), (3, None, "sys\ntem\\", ""), (4, 0, None, "x"), (None, 0, "user", "z")]
