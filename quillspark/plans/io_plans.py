@@ -39,14 +39,14 @@ def q_sinks_roundtrip(spark, sf):
 
 
 def q_latest_file(spark, sf):
-    """Two CSV exports of the intents; the newest file is read and typed."""
+    """Two CSV exports of the intents, a folder of files each; the newest is read and typed."""
     base = run_dir(spark, "latest")
     raw = FX.intents_text(spark, sf)
     older = raw.withColumn("action", F.lower("action"))
-    IO.write_csv(older.coalesce(1), f"{base}/exports", mode="append")
+    IO.write_csv(older, f"{base}/exports/1")
     time.sleep(1.1)
-    IO.write_csv(raw.coalesce(1), f"{base}/exports", mode="append")
-    newest = IO.newest_file(spark, f"{base}/exports", "csv", header=True)
+    IO.write_csv(raw, f"{base}/exports/2")
+    newest = IO.newest_folder(spark, f"{base}/exports", "csv", header=True)
     typed = IO.typed_intents(newest.select(F.col("intent_id").cast("bigint").alias("intent_id"),
                                            *[c for c in IO.INTENT_CSV_COLUMNS if c != "intent_id"]))
     return typed.filter(F.col("_reject").isNull()).select(*GP.TYPED_COLS)

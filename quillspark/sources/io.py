@@ -42,6 +42,16 @@ def newest_file(spark: SparkSession, path: str, fmt: str = "csv", **options) ->
     return spark.read.format(fmt).options(**options).load(newest if newest is not None else path)
 
 
+def newest_folder(spark: SparkSession, path: str, fmt: str = "csv", **options) -> DataFrame:
+    """Rows of the folder under ``path`` that holds the most recently modified file (of
+    equal times, the last name), all its files in parallel. The choice reads file names
+    and times only. Without files the result is empty."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+             .select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "modificationTime"))
+    newest = files.agg(F.max_by("folder", F.struct("modificationTime", "folder")).alias("folder")).first()["folder"]
+    return spark.read.format(fmt).options(**options).load(newest if newest is not None else path)
+
+
 def _flat(df: DataFrame) -> DataFrame:
     """Arrays and maps as JSON text for text sinks."""
     out = []

@@ -44,6 +44,19 @@ def test_newest_file(spark):
     assert got == ["new", "new"]
 
 
+def test_latest_file_exports_in_parallel(spark, monkeypatch):
+    from quillspark.plans import io_plans
+    base = run_dir(spark, "t-latest")
+    monkeypatch.setattr(io_plans, "run_dir", lambda *_: base)
+    got = io_plans.q_latest_file(spark, SF001)
+    folder = f"{base}/exports".removeprefix("file:")
+    parts = [d for d, _, names in os.walk(folder) for n in names if n.startswith("part-")]
+    assert len(parts) == 2 * FX.intents_text(spark, SF001).rdd.getNumPartitions() > 2 and len(set(parts)) == 2
+    raw = IO.typed_intents(FX.intents_text(spark, SF001).withColumn("intent_id", F.col("intent_id").cast("bigint")))
+    want = raw.filter(F.col("_reject").isNull()).select(*got.columns)
+    assert got.count() == want.count() and got.select("action").exceptAll(want.select("action")).isEmpty()
+
+
 def test_partitioned_and_dynamic_overwrite(spark):
     base = run_dir(spark, "t-part")
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id long, k string")
