@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, lattice_lm, near_dup, quality_mil, quality_rules, sharding, sp_codec, token_rollup, url_filter
-from .common import scratch_path, table, written
+from . import (chat_format, decontaminate, langid, lattice_lm, near_dup, periodic_runs, quality_mil, quality_rules, sharding, sp_codec,
+               token_rollup, turn_repair, url_filter)
+from .common import let, scratch_path, table, words, written
 from .pieces import Pieces
 
 #: Folder of the public tokenizers' files.
@@ -109,7 +110,64 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_failed_lines", "loss")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sp_codec, op3_quality_mil, op4_token_counts, op5_lattice_lm, op6_url_filter, op7_near_dup, op8_sharding, op9_chat_format, op10_quality_rules)}
+def planted_periods(df: DataFrame) -> DataFrame:
+    """``df`` with a tail of period p repeated from word a on, in the texts whose id's crc32 ends in 0."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(crc / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        spot = F.struct((g % n).alias("a"), (1 + F.floor((n - g % n) / (3 + g % 8))).alias("p"))
+        word = lambda v: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, F.when(i < v["a"], i).otherwise(v["a"] + (i - v["a"]) % v["p"]).cast("int")))
+        return F.when(n > 0, let(spot, lambda v: F.array_join(word(v), " "))).otherwise("")
+
+    return df.withColumn("text", F.when(crc % 10 == 0, let(words(F.coalesce("text", F.lit(""))), repeated)).otherwise(F.col("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longer = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    best = found.withColumn("best", F.aggregate("runs", none, lambda best, r: F.when(longer(best, r), r).otherwise(best)))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                       F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                       F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+                       F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words")
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """``turns`` with rows dropped, emptied, cut off, repeated or given to the user, by the crc32 of their place."""
+    place = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    text = F.coalesce("text", F.lit(" "))
+    rows = turns.withColumn("fate", F.crc32(place.cast("binary")) % 20).where("fate <> 0").select(
+        "conv_id", "turn", F.when(F.col("fate") == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.when(F.col("fate") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+    return rows.drop("copy")
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = turn_repair.repair(damaged_turns(turns))
+    lines = F.array_join(F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"])), "\n")
+    all_ids = turns.select(F.col("conv_id").alias("id")).distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return all_ids.join(fixed, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce(lines, F.lit("")).cast("binary"), 256).alias("repaired_sha256"))
+
+
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = Pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.fit(docs.where(~out), pieces)
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_sp_codec, op3_quality_mil, op4_token_counts, op5_lattice_lm, op6_url_filter, op7_near_dup, op8_sharding, op9_chat_format, op10_quality_rules,
+                                   op11_periodic_runs, op12_turn_repair, op13_langid)}
 
 _CONVERSATIONS = f"""
 with t as (
