@@ -1,4 +1,8 @@
-"""Corpus pipeline: documents through the operators of quillspark.llm, stage by stage."""
+"""Corpus pipeline: documents through the operators of quillspark.llm, stage by stage.
+
+A stage returns the columns of documents (``COLUMNS``); what else its input holds is dropped,
+since a column that a stage doesn't know might no longer fit the text it has changed.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, near_dup, quality_mil, quality_rules, sp_codec
-from quillspark.llm.common import scratch_path, table
+from quillspark.llm.common import free_name, scratch_path, table
 from quillspark.llm.pieces import Pieces
 from quillspark.llm.queries import TOKENIZERS
 
@@ -36,11 +40,16 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates: of each group the document with the smallest id stays, and one of
-    the rows that share an id; rows without an id are left alone."""
-    kept = near_dup.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _documents(named).unionByName(_documents(docs.where("doc_id is null")))
+    """Near duplicates: of each group one document stays, that of the smallest id (and least
+    digest of the text, where several texts share it); of rows equal in id and text the one
+    whose other columns come first. Rows without an id are left alone."""
+    mark = free_name(docs, "mark")
+    marked = docs.where("doc_id is not null").withColumn(mark, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    kept = near_dup.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id", F.col("mark").alias(mark)).distinct()
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = (marked.join(kept, ["doc_id", mark], "left_semi").groupBy("doc_id", mark)
+           .agg(F.max("text").alias("text"), F.min(F.struct(*rest)).alias("rest")).select("doc_id", "text", "rest.*"))
+    return _documents(one).unionByName(_documents(docs.where("doc_id is null")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +61,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of what is left, decoded again to tell whether they give the text back."""
     pieces = Pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model")
-    both = sp_codec.decode(sp_codec.encode(_documents(docs), pieces), pieces)
-    return both.select(*COLUMNS, "ids", F.size("ids").cast("long").alias("n_ids"),
-                       (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+    both = sp_codec.encode(_documents(docs), pieces, check="round_trip")
+    return both.select(*COLUMNS, "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip")
 
 
 STAGES = [

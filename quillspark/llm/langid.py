@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name
-from .lattice import Lattice, Trie, parts
+from .lattice import Trie, expected_pieces, log_probabilities, parts
 from .pieces import Pieces
 
 GROUP_CHARS = 12_000_000
@@ -65,50 +65,19 @@ def numbered(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
     return [" " + w for w in known], own
 
 
-def expected_pieces(runs: list[str], times: np.ndarray, trie: Trie) -> np.ndarray:
-    """Expected count of every piece and byte piece (by id) in ``times`` copies (strings x
-    languages) of the strings: ids x languages."""
-    total = np.zeros((int(max(trie.ids.max(initial=0), trie.byte_ids.max(initial=0))) + 1, times.shape[1]))
-    for a, b in parts(runs):
-        lattice = Lattice(runs[a:b], trie)
-        share = lattice.expected(lattice.weights(trie.logp, trie.byte_logp))
-        of = np.searchsorted(lattice.last, lattice.start)  # the edge's string
-        plain = lattice.piece < len(trie.ids)
-        for k in range(times.shape[1]):
-            mass = share * times[a:b, k][of]
-            total[:, k] += np.bincount(trie.ids[lattice.piece[plain]], weights=mass[plain], minlength=len(total))
-            spelled = np.bincount(lattice.piece[~plain] - len(trie.ids), weights=mass[~plain], minlength=len(lattice.spelled))
-            for c in np.flatnonzero(spelled):
-                np.add.at(total[:, k], trie.byte_ids[lattice.bytes_of(c)], spelled[c])
-    return total
-
-
 @dataclass
 class Model:
     """Log-probability of every piece (rank in the trie) and byte per language."""
 
     langs: list[str]
-    pieces: Pieces
+    trie: Trie
     logp: np.ndarray
     byte_logp: np.ndarray
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "trie"}
-
-    def _trie(self) -> Trie:
-        if "trie" not in self.__dict__:
-            self.__dict__["trie"] = Trie(self.pieces)
-        return self.__dict__["trie"]
-
     def word_logps(self, runs: list[str]) -> np.ndarray:
         """Log-probability of each string in each language."""
-        out = np.zeros((len(runs), len(self.langs)))
-        for a, b in parts(runs):
-            lattice = Lattice(runs[a:b], self._trie())
-            for k in range(len(self.langs)):
-                weight = lattice.weights(np.ascontiguousarray(self.logp[:, k]), np.ascontiguousarray(self.byte_logp[:, k]))
-                out[a:b, k] = lattice.forward(weight)[lattice.last]
-        return out
+        return log_probabilities(runs, self.trie, [(np.ascontiguousarray(p), np.ascontiguousarray(q))
+                                                   for p, q in zip(self.logp.T, self.byte_logp.T)])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         runs, own = numbered(texts)
@@ -132,8 +101,9 @@ def fit(texts: DataFrame, pieces: Pieces, lang: str = "lang", text: str = "text"
     if len(langs) * len(pieces.spell) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS // len(pieces.spell)} languages: the model would have over {MAX_CELLS} cells")
 
+    trie, place = Trie(pieces), {name: k for k, name in enumerate(langs)}
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie, place = Trie(pieces), {name: k for k, name in enumerate(langs)}
         total = 0
         for batch in batches:
             of = batch["lang"].map(place).to_numpy()
@@ -157,8 +127,7 @@ def fit(texts: DataFrame, pieces: Pieces, lang: str = "lang", text: str = "text"
         mass[r["piece"], r["k"]] += float(r["n"]) / UNIT
     with np.errstate(divide="ignore"):
         logp = np.log(mass / mass.sum(axis=0, keepdims=True))
-    trie = Trie(pieces)
-    return Model(langs, pieces, logp[trie.ids], logp[trie.byte_ids])
+    return Model(langs, trie, logp[trie.ids], logp[trie.byte_ids])
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -13,12 +13,13 @@ Memory is linear in the characters of a batch; callers bound it (``parts``).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 
 from .pieces import Pieces
 
-PART_CHARS = 1 << 20
+PART_CHARS = 1 << 18
 SLOT_BITS = 18
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)  # odd, for hashing
 
@@ -30,6 +31,7 @@ class Trie:
         named = sorted((p, v) for p, v in pieces.table.items() if v)
         self.ids = np.array([v[0] for _, v in named], dtype=np.int32)
         self.logp = np.array([v[1] for _, v in named])
+        self.longest = pieces.longest
         self.byte_ids = np.array([i for i, _ in pieces.bytes_], dtype=np.int32)
         self.byte_logp = np.array([p for _, p in pieces.bytes_])
         points = sorted({ord(c) for p, _ in named for c in p})
@@ -129,19 +131,21 @@ class Lattice:
         return list(chr(self.spelled[k]).encode("utf-8", "surrogatepass"))
 
     def weights(self, logp: np.ndarray, byte_logp: np.ndarray) -> np.ndarray:
-        """``logp`` (pieces, ...) with a row for each spelled character."""
-        rows = [byte_logp[self.bytes_of(k)].sum(axis=0) for k in range(len(self.spelled))]
-        return np.concatenate([logp, np.array(rows).reshape(len(rows), *logp.shape[1:])])
+        """``logp`` and the weight of each spelled character."""
+        return np.concatenate([logp, [byte_logp[self.bytes_of(k)].sum() for k in range(len(self.spelled))]])
 
     def steps(self) -> Iterator[slice]:
         for a, b in zip(self.cuts, [*self.cuts[1:], len(self.start)]):
             yield slice(a, b)
 
-    def forward(self, weight: np.ndarray) -> np.ndarray:
-        """Log-probability of every prefix, over all its segmentations."""
-        alpha = np.full((self.size, *weight.shape[1:]), -np.inf)
+    def forward(self, weight: np.ndarray, head: np.ndarray | None = None, ranks: int | None = None) -> np.ndarray:
+        """Log-probability of every prefix, over all its segmentations. A single string may
+        go on from what is known of its first places (``head``), for so many ranks."""
+        alpha = np.full(self.size, -np.inf)
         alpha[self.first] = 0.0
-        for s in self.steps():
+        if head is not None:
+            alpha[:len(head)] = head
+        for s in islice(self.steps(), ranks):
             end = self.end[s]
             alpha[end] = np.logaddexp(alpha[end], alpha[self.start[s]] + weight[self.piece[s]])
         return alpha
@@ -185,6 +189,31 @@ class Lattice:
         return back[used], marks[self.last + 1] - marks[self.first]
 
 
+def log_probabilities(runs: list[str], trie: Trie, by: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Log-probability of each string over all its segmentations, for each of several
+    weightings (pieces' and bytes' log-probabilities)."""
+    out = np.zeros((len(runs), len(by)))
+    for a, b in parts(runs):
+        if b - a == 1 and len(runs[a]) > PART_CHARS:
+            out[a] = [_long_forward(runs[a], trie, *w) for w in by]
+            continue
+        lattice = Lattice(runs[a:b], trie)
+        for k, w in enumerate(by):
+            out[a:b, k] = lattice.forward(lattice.weights(*w))[lattice.last]
+    return out
+
+
+def _long_forward(run: str, trie: Trie, logp: np.ndarray, byte_logp: np.ndarray, step: int = PART_CHARS) -> float:
+    """Stretch by stretch: only the places that the next stretch's pieces can start from are kept."""
+    head = np.zeros(1)
+    for at in range(0, len(run), step):
+        lattice = Lattice([run[at:at + step + trie.longest]], trie)
+        rest = len(run) - at
+        alpha = lattice.forward(lattice.weights(logp, byte_logp), head, min(step, rest))
+        head = alpha[step:step + trie.longest]
+    return float(alpha[rest])
+
+
 def parts(runs: list[str], limit: int = PART_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive parts of ``runs`` of about ``limit`` characters."""
     if not runs:
@@ -195,3 +224,26 @@ def parts(runs: list[str], limit: int = PART_CHARS) -> Iterator[tuple[int, int]]
         b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + limit, "right")))
         yield a, b
         a = b
+
+
+def expected_pieces(runs: list[str], times: np.ndarray, trie: Trie) -> np.ndarray:
+    """Expected count of every piece and byte piece (by id) in ``times`` copies (strings x
+    columns) of the strings: ids x columns. A string beyond ``PART_CHARS`` characters counts
+    in stretches of that length."""
+    if any(len(run) > PART_CHARS for run in runs):
+        cut = [[run[at:at + PART_CHARS] for at in range(0, max(1, len(run)), PART_CHARS)] for run in runs]
+        times = np.repeat(times, list(map(len, cut)), axis=0)
+        runs = [part for some in cut for part in some]
+    total = np.zeros((int(max(trie.ids.max(initial=0), trie.byte_ids.max(initial=0))) + 1, times.shape[1]))
+    for a, b in parts(runs):
+        lattice = Lattice(runs[a:b], trie)
+        share = lattice.expected(lattice.weights(trie.logp, trie.byte_logp))
+        of = np.searchsorted(lattice.last, lattice.start)  # the edge's string
+        plain = lattice.piece < len(trie.ids)
+        for k in range(times.shape[1]):
+            mass = share * times[a:b, k][of]
+            total[:, k] += np.bincount(trie.ids[lattice.piece[plain]], weights=mass[plain], minlength=len(total))
+            spelled = np.bincount(lattice.piece[~plain] - len(trie.ids), weights=mass[~plain], minlength=len(lattice.spelled))
+            for c in np.flatnonzero(spelled):
+                np.add.at(total[:, k], trie.byte_ids[lattice.bytes_of(c)], spelled[c])
+    return total

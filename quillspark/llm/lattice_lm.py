@@ -1,24 +1,26 @@
 """LM scoring: marginal probability of a text over all its segmentations into subword pieces.
 
 The vocabulary's own unigram scores weight the lattice of a word's
-segmentations; a forward recursion in log space sums them all. The weights
-are first fitted to the training texts: the expected count of every piece
-over all segmentations (forward and backward recursion under the
-vocabulary's scores) replaces its weight, smoothed by the score it had. A
-word seen in training adds one edge over the whole word, weighted by its
-count less a discount; the discounts' mass is what the pieces' paths share,
-so all probabilities still sum to at most one. A document's probability is
-the product over its words and an end symbol.
+segmentations; a forward recursion in log space sums them all. A document's
+probability (``score``) is the product over its words and an end symbol,
+whose probability is its share of the training tokens.
+
+``fitted_score`` is the same sum under weights learned from the training
+texts: one step of expectation maximisation over all training words, smoothed
+by the vocabulary's scores, which are worth ``PRIOR`` pieces.
 
 Words repeat, so no word is scored twice: tasks turn blocks of documents into
 local word numbers and one row per word of the block, words are counted and
-scored once in the whole corpus, and the scores go back to the blocks. What
-is shuffled is the block vocabularies, a hot word being one row per block.
+scored once in the whole corpus (many at once, ``lattice.py``), and the scores
+go back to the blocks. What is shuffled is the block vocabularies, a hot word
+being one row per block.
 
 Defined results: a null, empty or blank text is the end symbol alone; a null
 id is scored and counts as training; without training texts, no token is
-known, counts are zero and the vocabulary's scores stand; rows are kept one
-by one, repeated ones included.
+known, counts are zero, the vocabulary's scores stand and the end symbol is
+one of as many symbols as the vocabulary has; rows are kept one by one,
+repeated ones included; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,9 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .lattice import Trie, expected_pieces, log_probabilities
 from .pieces import Pieces
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+WORDS_A_TASK = 150_000
 SMOOTH = 0.1  # of a base count
 PRIOR = 1000.0  # expected pieces that the vocabulary's scores are worth
 
@@ -66,34 +70,6 @@ def marginal(word: str, pieces: Pieces) -> float:
     return forward(" " + word, pieces)[0][-1]
 
 
-def expected(word: str, weight: float, pieces: Pieces, into: np.ndarray) -> None:
-    """Add the expected count of each piece in ``weight`` copies of a word."""
-    run = " " + word
-    alpha, edges = forward(run, pieces)
-    beta: list = [None] * len(run) + [0.0]
-    for at in range(len(run) - 1, -1, -1):
-        out = [p + beta[end] for end, p, _ in edges[at] if beta[end] is not None]
-        beta[at] = _logsum(out) if out else None
-    for at, out in enumerate(edges):
-        for end, p, ids in out:
-            if beta[end] is not None:
-                share = weight * exp(alpha[at] + p + beta[end] - alpha[-1])
-                for i in ids:
-                    into[i] += share
-
-
-def discount(once: int, twice: int) -> float:
-    """What a seen word's count gives away (from the words seen once and twice)."""
-    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-
-
-def word_logp(word: str, c: int, pieces: Pieces, n: int, give: float, spread: float) -> float:
-    """Natural log-probability of a word: the paths through pieces, which share
-    ``spread``, and the whole-word edge of a word seen ``c`` times in ``n`` tokens."""
-    paths = marginal(word, pieces) + log(spread)
-    return _logsum([paths, log((c - give) / n)]) if c > give else paths
-
-
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     part, seq = TaskContext.get().partitionId(), 0
     numbers: dict[bytes, int] = {}
@@ -131,16 +107,15 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 COLUMNS = ["block", "id", "train", "n", "data", "word", "number", "c"]
 
 
-def fit_pieces(words: DataFrame, pieces: Pieces) -> Pieces:
-    """Pieces with weights fitted to the distinct training words of ``words`` (word,
-    c). Each counts once: the pieces' paths are needed for words not seen."""
+def fit_pieces(words: DataFrame, pieces: Pieces, trie: Trie) -> Pieces:
+    """Pieces with weights fitted to the training words of ``words`` (word, c)."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(pieces.spell))
+        total = 0
         for batch in batches:
-            for word in batch["word"]:
-                expected(word.decode("utf-8", "replace"), 1.0, pieces, total)
-        hit = np.flatnonzero(total)
-        yield pd.DataFrame({"piece": hit, "n": total[hit]})
+            total = total + expected_pieces(_runs(batch["word"]), batch[["c"]].to_numpy(dtype=float), trie)[:, 0]
+        if np.ndim(total):
+            hit = np.flatnonzero(total)
+            yield pd.DataFrame({"piece": hit, "n": total[hit]})
 
     counted = words.where("c > 0").mapInPandas(count, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
     learnt = {r["piece"]: r["n"] for r in counted.collect()}  # at most the vocabulary
@@ -149,50 +124,51 @@ def fit_pieces(words: DataFrame, pieces: Pieces) -> Pieces:
     return pieces.reweighted({i: log(m / total) for i, m in mass.items()})
 
 
+def _runs(words: pd.Series) -> list[str]:
+    return [" " + w.decode("utf-8", "replace") for w in words]
+
+
 def score_documents(docs: DataFrame, train: F.Column, pieces: Pieces, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: key, n_tokens, n_known, train_tokens,
-    base_score, score. ``train`` tells the rows to learn from."""
+    """One row per row of ``docs``: key, train, n_tokens, n_known, train_tokens,
+    base_score, score, fitted_score. ``train`` tells the rows to learn from."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(train, F.lit(True)).alias("train"),
                        F.col(text).cast("string").cast("binary").alias("t"))
     blocks = written(rows.mapInPandas(_blocks, "block string, id long, train boolean, n long, data binary, "
                                                "word binary, number int, c long"), "blocks")
     listed = blocks.where("word is not null").select("block", "number", "word", "c")
     words = written(listed.groupBy("word").agg(F.sum("c").alias("c")), "words")
-    sums = words.agg(F.sum("c").alias("n"), *[F.count(F.when(F.col("c").between(lo, hi), 1)).alias(name) for name, lo, hi in (
-        ("v", 1, 1 << 62), ("once", 1, 1), ("twice", 2, 2))]).first()
+    sums = words.agg(F.sum("c").alias("n"), F.count("*").alias("all"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     ends = blocks.where("data is not null and train").count()
     n, v = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
-    model = fit_pieces(words, pieces)
-    end_logp = log(ends / n) if ends else -log(len(pieces.spell))
+    spread = words.repartition(-(-sums["all"] // WORDS_A_TASK) or 1, "word")  # by words, not by the files' splits
+    trie = Trie(pieces)
+    fitted = Trie(fit_pieces(spread, pieces, trie))
+    end_logp = log10(ends / n) if ends else -log10(len(pieces.spell))
     floor = n + SMOOTH * (v + 1)
-    give = discount(sums["once"], sums["twice"])
-    spread = give * sums["v"] / n if sums["v"] else 1.0  # without training words the pieces have it all
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            lattice = [word_logp(w.decode("utf-8", "replace"), c, model, n, give, spread) / log(10)
-                       for w, c in zip(batch["word"], batch["c"])]
-            yield batch.assign(base=np.log10((batch["c"] + SMOOTH) / floor), lattice=lattice)
+            got = log_probabilities(_runs(batch["word"]), trie, [(t.logp, t.byte_logp) for t in (trie, fitted)]) / log(10)
+            yield batch.assign(own=got[:, 0], learnt=got[:, 1])
 
-    scored = words.mapInPandas(weigh, "word binary, c long, base double, lattice double")
-    back = listed.select("block", "number", "word").join(scored, "word").select(
-        F.col("block").alias("of"), "number", (F.col("c") > 0).alias("known"), "base", "lattice")
+    scored = spread.mapInPandas(weigh, "word binary, c long, own double, learnt double")
+    back = listed.select("block", "number", "word").join(scored, "word").select(F.col("block").alias("of"), "number", "c", "own", "learnt")
 
     def add_up(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         size = int(two["number"].max()) + 1 if len(two) else 0
-        value = np.zeros((3, size))
-        value[:, two["number"].to_numpy(dtype=np.int64)] = two[["known", "base", "lattice"]].to_numpy(dtype=float).T
+        value, c = np.zeros((4, size)), two["c"].to_numpy(dtype=float)
+        value[:, two["number"].to_numpy(dtype=np.int64)] = [c > 0, np.log10((c + SMOOTH) / floor), two["own"], two["learnt"]]
         sums = []
         for data in one["data"]:
             got = np.frombuffer(data, dtype="<u4").reshape(2, -1)
             sums.append(value[:, got[0]] @ got[1])
-        sums = np.array(sums).reshape(-1, 3)
+        sums = np.array(sums).reshape(-1, 4)
         return pd.DataFrame({
             key: one["id"].astype("Int64"), "train": one["train"], "n_tokens": one["n"].astype("int64") + 1,
             "n_known": np.rint(sums[:, 0]).astype("int64") + (ends > 0), "train_tokens": n,
-            "base_score": sums[:, 1] + log10((ends + SMOOTH) / floor), "score": sums[:, 2] + end_logp / log(10)})
+            "base_score": sums[:, 1] + log10((ends + SMOOTH) / floor), "score": sums[:, 2] + end_logp, "fitted_score": sums[:, 3] + end_logp})
 
     return (blocks.where("data is not null").select("block", "id", "train", "n", "data").groupBy("block")
             .cogroup(back.groupBy("of"))
             .applyInPandas(add_up, f"`{key}` long, train boolean, n_tokens long, n_known long, train_tokens long, "
-                                   "base_score double, score double"))
+                                   "base_score double, score double, fitted_score double"))

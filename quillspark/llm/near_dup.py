@@ -1,7 +1,7 @@
 """Near-duplicate groups: universal-hash minima, bands, signature check, exact check, star contraction.
 
 A text's set holds its distinct five-word shingles. Texts with equal sets
-collapse to the smallest id before anything else. For the others, 200
+are one node from the start. For the others, 200
 universal hash minima are cut into 40 bands of five; texts that share a band
 are candidates. Inside a band's bucket every member is paired with two hubs
 only (the smallest id, and the least in one of four other orders of the ids,
@@ -18,7 +18,9 @@ Components come from alternating large-star and small-star over the
 confirmed links, each step an aggregate and a join, until nothing changes.
 
 Hot groups: copies collapse in a map-side aggregate; hubs are map-side
-aggregates; joins have a unique side, so that Spark can split the other one.
+aggregates; a hub with many partners is sent to several tasks, each with at
+most ``HUB_PAIRS`` of them on average, and the partners' texts travel once per
+pair; other joins have a unique side, so that Spark can split the other one.
 In the prefix join the members of a shingle's largest component never meet
 each other.
 Fingerprints, links and components stay in tables.
@@ -26,7 +28,10 @@ Fingerprints, links and components stay in tables.
 Defined results: a null, empty or blank text has an empty set and no links;
 a text with fewer than five words is one shingle; rows without an id link
 with nothing and have no component; repeated rows share their component;
-other columns are ignored; an empty table gives no rows.
+different texts that share an id are different nodes: each has the component
+of its own text, named by the smallest id in it, and of several texts of that
+id the one with the least digest is kept; other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +52,8 @@ WORDS = 5
 ROWS, BANDS = 5, 40
 SLACK = 0.14  # of the signature's estimate: 4.5 standard errors at 200 minima
 TURNS = tuple(int(t) for t in np.random.default_rng(77).integers(1, 1 << 62, 4))  # orders of ids for second hubs
-COUNT_BITS = 18  # shingles are counted by so many bits of their hash; the counts only set the common order
+COUNT_BITS = (10, 22)  # shingles are counted by so many bits of their hash, by their number; the counts only set the common order
+HUB_PAIRS = 2000
 
 _rng = np.random.default_rng(20240)
 _A = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
@@ -92,7 +99,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n (set size), same (digest of the set), sig (a byte of each minimum), bands."""
+    """id, mark (digest of the text), n (set size), same (digest of the set), sig (a byte of each minimum), bands."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 512):
@@ -106,10 +113,15 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                     else:
                         rows.append((0, None, None, None))
                 n, same, sig, bands = map(list, zip(*rows))
-                yield pd.DataFrame({"id": part["id"].astype("Int64").to_numpy(), "n": n, "same": same, "sig": sig, "bands": bands})
+                yield pd.DataFrame({"id": part["id"].astype("Int64").to_numpy(), "mark": part["mark"].to_numpy(), "n": n, "same": same, "sig": sig, "bands": bands})
 
+    return identified(docs, key, text).mapInPandas(run, "id long, mark string, n long, same binary, sig binary, bands array<long>")
+
+
+def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, t (the text's bytes) and mark (their digest)."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").cast("binary").alias("t"))
-    return rows.mapInPandas(run, "id long, n long, same binary, sig binary, bands array<long>")
+    return rows.withColumn("mark", F.md5(F.coalesce("t", F.lit(b""))))
 
 
 def keyed(rows: DataFrame, keys, turns: tuple[int, ...]) -> DataFrame:
@@ -127,6 +139,17 @@ def star_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
+def paired(pairs: DataFrame, rows: DataFrame, what: str) -> DataFrame:
+    """Pairs (a, b) with ``what`` of both, from ``rows`` (id, what). The ``a`` side is a hub:
+    it is sent to as many tasks as its pairs need, the ``b`` side goes along with its pair."""
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("spots"))
+    placed = pairs.join(hubs, "a").withColumn("spot", F.pmod(F.xxhash64("b"), F.col("spots")).cast("int"))
+    far = placed.join(rows.select(F.col("id").alias("b"), F.col(what).alias("xb")), "b").select("a", "spot", "b", "xb")
+    near = hubs.join(rows.select(F.col("id").alias("a"), F.col(what).alias("xa")), "a").select(
+        "a", "xa", F.explode(F.sequence(F.lit(0), F.col("spots") - 1)).alias("spot"))
+    return far.join(near, ["a", "spot"]).select("a", "b", "xa", "xb")
+
+
 def likely(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose signatures agree on enough minima."""
     @F.pandas_udf("double")
@@ -135,27 +158,25 @@ def likely(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
         two = np.frombuffer(b"".join(y), dtype=np.uint8).reshape(len(y), -1)
         return pd.Series((one == two).mean(axis=1))
 
-    one, two = (sigs.select(F.col("id").alias(k), F.col("sig").alias(f"s{k}")) for k in "ab")
-    return pairs.join(one, "a").join(two, "b").where(agreement("sa", "sb") >= threshold - SLACK).select("a", "b")
+    return paired(pairs, sigs, "sig").where(agreement("xa", "xb") >= threshold - SLACK).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose full sets have intersection / union >= num / den. texts: id, t."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cached = lru_cache(maxsize=64)(shingle_set)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["ta"], batch["tb"]):
-                one, two = cached(x), cached(y)
+            keep, xa, xb = [], batch.column("xa"), batch.column("xb")
+            for i in range(len(batch)):
+                one, two = cached(xa[i].as_py()), cached(xb[i].as_py())
                 if min(len(one), len(two)) * den < max(len(one), len(two)) * num:
                     keep.append(False)
                     continue
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(den * both >= num * (len(one) + len(two) - both))
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    one, two = (texts.select(F.col("id").alias(k), F.col("t").alias(f"t{k}")) for k in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+    return paired(pairs, texts, "t").mapInArrow(run, "a long, b long")
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -169,24 +190,31 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.select("id", "component", "t").mapInPandas(run, "id long, component long, s binary")
 
 
-def _places(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+def _places(shingles: np.ndarray, bits: int) -> np.ndarray:
+    return (shingles >> np.uint64(64 - bits)).astype(np.int64)
+
 
+def count_bits(n_shingles: int) -> int:
+    """Enough counters that a place holds one shingle or so by chance, between two bounds."""
+    return min(COUNT_BITS[1], max(COUNT_BITS[0], int(n_shingles).bit_length()))
 
-def set_counts(sets: DataFrame) -> np.ndarray:
-    """How many shingles of all sets fall on each of 2 ** COUNT_BITS places. sets: s."""
+
+def set_counts(sets: DataFrame, bits: int) -> np.ndarray:
+    """How many shingles of all sets fall on each of 2 ** bits places. sets: s."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+        n = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 held = np.frombuffer(b"".join(batch["s"].iloc[at:at + 512]), dtype=np.uint64)
-                n += np.bincount(_places(held), minlength=len(n))
-        at = np.flatnonzero(n)
+                np.add.at(n, _places(held, bits), 1)
+        at = np.flatnonzero(n > 0)
         yield pd.DataFrame({"at": at, "n": n[at]})
 
-    out = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-    for r in sets.select("s").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["at"]] = r["n"]
+    # a count says how many there are at least: what only one shingle holds stays 0
+    crowded = sets.select("s").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where("n > 1")
+    got = crowded.select("at", F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
+    out = np.zeros(1 << bits, dtype=np.int32)
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
@@ -196,7 +224,9 @@ def prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
 
     With every set in one order, a pair's common shingles lie at or behind the first
     of them, so that one leaves num / (num + den) of both sizes in either set."""
-    counts = set_counts(sets)
+    total = sets.agg(F.sum(F.octet_length("s"))).first()[0] or 0
+    bits = count_bits(total // 8)
+    counts = set_counts(sets, bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -204,7 +234,7 @@ def prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
                 part, keys, left = batch.iloc[at:at + 256], [], []
                 for held in part["s"]:
                     s = np.frombuffer(held, dtype=np.uint64)
-                    seen = counts[_places(s)]
+                    seen = counts[_places(s, bits)]
                     front = np.lexsort((s, seen))[:len(s) - -(-len(s) * num // den) + 1]
                     rest = len(s) - np.arange(len(front))
                     met = seen[front] > 1  # a place with one shingle is of this set alone
@@ -260,16 +290,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 75, den: int = 100) -> DataFrame:
-    """One row per row of ``docs``: key, n_shingles, component_id, kept."""
+    """One row per row of ``docs``: key, n_shingles, component_id, kept, mark (md5 of the text)."""
     prints = written(fingerprints(docs, key, text), "prints")
-    # one id stands for all texts with the same set
-    alike = prints.where("n > 0 and id is not null").groupBy("same").agg(F.min("id").alias("id"))
-    firsts = written(prints.select("id", "same", "sig", "bands").join(alike, ["id", "same"])
-                     .groupBy("id").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "firsts")
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").cast("binary").alias("t")).where("id is not null")
+    # a node stands for all texts with the same set; its row is the one of the smallest id
+    alike = written(prints.where("n > 0 and id is not null").groupBy("same").agg(F.min(F.struct("id", "mark")).alias("row"))
+                    .select("same", F.col("row.id").alias("doc"), F.col("row.mark").alias("mark"), F.monotonically_increasing_id().alias("id")), "nodes")
+    row = prints.select(F.col("id").alias("doc"), "mark", "sig", "bands").join(alike.select("doc", "mark", "id"), ["doc", "mark"])
+    firsts = written(row.groupBy("id").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "firsts")
+    rows = identified(docs, key, text).withColumnRenamed("id", "doc")
+
+    def texts(ids: DataFrame) -> DataFrame:  # ids: distinct
+        wanted = alike.join(ids, "id").select("doc", "mark", "id")
+        return rows.join(wanted, ["doc", "mark"]).groupBy("id").agg(F.first("t").alias("t"))  # repeated rows once
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        met = written(likely(pairs, firsts, num / den), f"pairs-{name}")
+        ends = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
+        return written(confirmed(met, written(texts(ends), f"texts-{name}"), num, den), f"links-{name}")
+
     banded = keyed(firsts, F.col("bands"), TURNS)
-    pairs = written(likely(star_pairs(banded), firsts, num / den), "pairs")
-    links = written(confirmed(pairs, texts, num, den), "links")
+    links = checked(star_pairs(banded), "hubs")
     parts = written(components(links), "parts")
 
     # buckets with members of several components: all their members meet without hubs
@@ -277,14 +317,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     mixed = (where.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
              .where("lo < hi and n > 2").select("key"))
     crowd = written(where.join(mixed, "key").select("id", "component").distinct(), "crowd")
-    sets = written(shingle_sets(texts.join(crowd, "id")), "sets")
-    apart = prefix_pairs(sets, num, den)
-    more = written(confirmed(written(likely(apart, firsts, num / den), "pairs2"), texts, num, den), "links2")
+    sets = written(shingle_sets(texts(crowd.select("id")).join(crowd, "id")), "sets")
+    more = checked(prefix_pairs(sets, num, den), "crowd")
     if not more.isEmpty():
         parts = written(components(more.unionByName(parts.where("id <> component").select(
             F.col("component").alias("a"), F.col("id").alias("b")))), "parts2")
-    named = alike.join(parts, "id", "left").select("same", F.coalesce("component", "id").alias("component_id"))
-    return (prints.select("id", "n", "same").join(named, "same", "left")
-            .select(F.col("id").alias(key), F.col("n").alias("n_shingles"),
-                    F.coalesce(F.when(F.col("id").isNotNull(), F.col("component_id")), "id").alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True))))
+    placed = alike.select("id", "same", F.struct("doc", "mark").alias("row")).join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = placed.groupBy("component").agg(F.min("row").alias("stays"))
+    named = placed.join(least, "component").select("same", "stays")
+    judged = prints.select("id", "n", "same", "mark").join(named, "same", "left")
+    stays = F.when(F.col("id").isNotNull(), F.col("stays"))
+    return judged.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce(stays["doc"], "id").alias("component_id"),
+                         F.coalesce((F.col("id") == stays["doc"]) & (F.col("mark") == stays["mark"]), F.lit(True)).alias("kept"), "mark")

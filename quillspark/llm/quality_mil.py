@@ -10,9 +10,10 @@ the attention finds the passages that decide.
 Texts are encoded where they lie (``mapInPandas``): nothing is shuffled for
 scoring. Long texts are encoded piece by piece; the attention's running sums
 join the pieces, so memory does not grow with a text. Learning takes a
-bounded sample of labelled documents, at most ``max_docs`` (those with the
-smallest hash of the id) and of each at most ``MAX_TRAIN_PASSAGES`` evenly
-spread passages, fitted in numpy on the driver. Scoring takes every passage.
+bounded sample of labelled rows: in the order of the hash of the id, at most
+``max_docs`` documents and at most ``max_passages`` passages in all; a document
+is taken with all of its passages or not at all. The sample is fitted in numpy
+on the driver. Scoring takes every passage.
 
 Defined results: a null, empty or blank text is one passage without any
 class, which gets a score like others; labels other than 0 and 1 are ignored;
@@ -32,9 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 PASSAGE_WORDS = 64
 PIECE_BYTES = 1 << 20
-MAX_TRAIN_PASSAGES = 64
 HIDDEN, GATE = 24, 12
 
 _GROUPS = [b" ", b"\n\r", b"\t\x0b\x0c", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789",
@@ -190,27 +192,39 @@ def fit_bags(x: np.ndarray, own: np.ndarray, y: np.ndarray, epochs: int = 60, ra
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text",
-        max_docs: int = 6000) -> Model:
-    """Learn from the documents that ``labels`` (key, label) names, at most ``max_docs``."""
+        max_docs: int = 6000, max_passages: int = 60_000) -> Model:
+    """Learn from the documents that ``labels`` (key, label) names, within the two bounds."""
     named = (labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
              .groupBy(F.col(key).alias("k")).agg(F.max(F.col(label)).cast("int").alias("y"))
-             .orderBy(F.xxhash64("k"), "k").limit(max_docs))
+             .withColumn("turn", F.xxhash64("k")).orderBy("turn", "k").limit(max_docs))
     sample = (docs.select(F.col(key).alias("k"), F.col(text).cast("string").cast("binary").alias("t"))
               .join(F.broadcast(named), "k"))  # at most max_docs rows
+    # repeated ids: one text each, the first by its digest
+    sample = sample.groupBy("k", "turn", "y").agg(F.min_by("t", F.coalesce(F.md5("t"), F.lit(""))).alias("t"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for k, y, t in zip(batch["k"], batch["y"], batch["t"]):
-                x = np.concatenate([f for f, _ in encoded([t])])
-                if len(x) > MAX_TRAIN_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, MAX_TRAIN_PASSAGES).astype(int)]
-                yield pd.DataFrame({"k": [k], "y": [y], "x": [x.tobytes()]})
-
-    kind = T.StructType([sample.schema["k"], T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())])
-    got = sample.mapInPandas(features, kind).toPandas().drop_duplicates("k").sort_values("k")
-    bags = [np.frombuffer(b, dtype=np.float32).reshape(-1, N_FEATURES) for b in got["x"]]
+            for k, turn, y, t in zip(batch["k"], batch["turn"], batch["y"], batch["t"]):
+                rows, n = [], 0
+                for f, _ in encoded([t]):
+                    n += len(f)
+                    rows = [*rows, f] if n <= max_passages else []
+                yield pd.DataFrame({"k": [k], "turn": [turn], "y": [y], "n": [n],
+                                    "x": [np.concatenate(rows).tobytes() if n <= max_passages else None]})
+
+    kind = T.StructType([sample.schema["k"], T.StructField("turn", T.LongType()), T.StructField("y", T.IntegerType()),
+                         T.StructField("n", T.LongType()), T.StructField("x", T.BinaryType())])
+    feats = written(sample.mapInPandas(features, kind), "bags")
+    total, last = 0, None
+    for r in sorted(feats.where("x is not null").select("turn", "k", "n").collect()):  # at most max_docs rows
+        if total + r["n"] > max_passages:
+            break
+        total, last = total + r["n"], r
+    chosen = feats.where("x is not null").where((F.col("turn") < last["turn"]) | (F.col("turn") == last["turn"]) & (F.col("k") <= last["k"])) if last else feats.limit(0)
+    got = sorted(chosen.select("k", "y", "x").collect(), key=lambda r: r["k"])
+    bags = [np.frombuffer(r["x"], dtype=np.float32).reshape(-1, N_FEATURES) for r in got]
     own = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    return fit_bags(np.concatenate(bags) if bags else np.zeros((0, N_FEATURES)), own, got["y"].to_numpy(dtype=float))
+    return fit_bags(np.concatenate(bags) if bags else np.zeros((0, N_FEATURES)), own, np.array([r["y"] for r in got], dtype=float))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", result: str = "score") -> DataFrame:

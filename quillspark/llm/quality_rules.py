@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_RUN, let, text_or_empty, words
+from .common import WHITE_RUN, free_name, let, text_or_empty, words
 
 SYMBOLS = "#*$%&|<>"
 FEW = 16  # repeated windows of a text that are looked up one by one
@@ -149,17 +149,19 @@ def apply_rules(df: DataFrame, text_col: str = "text", lines: LineRules = LineRu
     ``faults``, ``loss`` (share of word characters in failing lines),
     ``base_failed`` and ``kept``."""
     text = text_or_empty(F.col(text_col))
-    out = df.withColumn("__m", let(text, measures)).withColumn("__c", let(text, lambda t: clean_lines(t, lines)))
-    base = (F.col("__m.w.n_words") < doc.min_words) | (
-        100 * F.col("__m.w.n_repeat_words") > doc.max_repeat_pct * F.col("__m.w.n_words"))
-    chars = F.col("__m.w.chars")
-    left = F.length(F.regexp_replace(F.col("__c.text"), WHITE_RUN, ""))
-    loss = F.when((F.col("__c.n_failed_lines") > 0) & (chars > 0), 1 - left / chars).otherwise(F.lit(0.0))
-    out = out.withColumns({"__base": base, "__loss": loss})
+    m, c = free_name(df, "_counts"), free_name(df, "_cleaned")
+    base_col, loss_col = free_name(df, "_base_failed"), free_name(df, "_loss")
+    out = df.withColumn(m, let(text, measures)).withColumn(c, let(text, lambda t: clean_lines(t, lines)))
+    counts, cleaned = F.col(m), F.col(c)
+    n_words, chars = counts["w"]["n_words"], counts["w"]["chars"]
+    base = (n_words < doc.min_words) | (100 * counts["w"]["n_repeat_words"] > doc.max_repeat_pct * n_words)
+    left = F.length(F.regexp_replace(cleaned["text"], WHITE_RUN, ""))
+    loss = F.when((cleaned["n_failed_lines"] > 0) & (chars > 0), 1 - left / chars).otherwise(F.lit(0.0))
+    out = out.withColumns({base_col: base, loss_col: loss})
     return out.withColumns({
-        "n_words": F.col("__m.w.n_words"), "word_chars": F.col("__m.w.chars"), "n_symbols": F.col("__m.n_symbols"),
-        "n_dup_lines": F.col("__m.n_dup_lines"), "n_repeat_words": F.col("__m.w.n_repeat_words"),
-        "clean_text": F.col("__c.text"), "n_failed_lines": F.col("__c.n_failed_lines"), "faults": F.col("__c.faults"),
-        "loss": F.col("__loss"), "base_failed": F.col("__base"),
-        "kept": ~F.col("__base") & (F.col("__loss") <= doc.max_loss),
-    }).drop("__m", "__c", "__base", "__loss")
+        "n_words": n_words, "word_chars": chars, "n_symbols": counts["n_symbols"],
+        "n_dup_lines": counts["n_dup_lines"], "n_repeat_words": counts["w"]["n_repeat_words"],
+        "clean_text": cleaned["text"], "n_failed_lines": cleaned["n_failed_lines"], "faults": cleaned["faults"],
+        "loss": F.col(loss_col), "base_failed": F.col(base_col),
+        "kept": ~F.col(base_col) & (F.col(loss_col) <= doc.max_loss),
+    }).drop(m, c, base_col, loss_col)

@@ -40,8 +40,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches over all documents: load them; withdraw every exact copy but
-    the first; recount the texts that repeat lines without the repetitions.
-    The second is sent twice and counts once."""
+    the first; recount the texts that repeat lines without the repetitions. The
+    first two are folded into a snapshot; the second is sent twice and counts once."""
     versions = {"bpe50k": f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "multi50k": f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"}
     lines = F.split("text", "\n", -1)
     docs = (table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
@@ -56,6 +56,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.commit("load", token_rollup.signed(ledger, names, 1))
     withdrawn = token_rollup.signed(copies.where("doc_id > first"), names, -1)
     store.commit("withdraw", withdrawn)
+    store.compact()
     store.commit("recount", token_rollup.signed(copies.where("doc_id = first and repeats"), names, -1)
                  .unionByName(token_rollup.signed(fresh, names, 1)))
     store.commit("withdraw", withdrawn)
@@ -66,9 +67,7 @@ def op2_sp_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it."""
     pieces = Pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = sp_codec.decode(sp_codec.encode(docs, pieces), pieces)
-    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"),
-                       (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+    return sp_codec.encode(docs, pieces, check="round_trip").select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip")
 
 
 def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +75,7 @@ def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = lattice_lm.score_documents(docs, ~quality_mil.held_out(F.col("doc_id"), 10), pieces)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
-                         "base_score", "score")
+                         "base_score", "score", "fitted_score")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +85,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("mark")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

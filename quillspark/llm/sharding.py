@@ -12,8 +12,9 @@ than a shard, so that no shard is one task.
 
 Defined results: a null text has no bytes and groups with other nulls; a
 null id sorts first; rows that tie on everything go to the same or the next
-shard in any order, each with its own slot; an empty table gives no rows;
-columns other than the named ones pass through.
+shard in any order, each with its own slot; a text of any length is one row
+whose bytes are counted, never read in Python; an empty table gives no rows;
+columns other than the named ones pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 BITS = 62  # of a group's hash
 FIRST_PROBES, PROBES = 1024, 64
@@ -118,23 +119,24 @@ def assign(df: DataFrame, n_shards: int, group: str, size: str, tie: str, tolera
     each shard). ``group`` is the hash of what should stay together, ``size``
     the bytes to balance, ``tie`` an integer id. Input columns of these two
     names are replaced."""
-    keep = [c for c in df.columns if c not in ("shard", "slot")]
-    rows = written(df.select(*keep, F.shiftrightunsigned(F.col(group), 64 - BITS).alias("__h"),
-                             F.coalesce(F.col(tie), F.lit(-(1 << 62))).cast("long").alias("__tie"),
-                             F.col(size).cast("long").alias("__size")), "shard")
-    narrow = rows.select(F.col("__h").alias("h"), F.col("__tie").alias("tie"), F.col("__size").alias("size"))
+    keep = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    h, at, weight, hb, tb, n, start, rank = (free_name(df, c) for c in ("_h", "_tie", "_size", "_hb", "_tb", "_n", "_start", "_rank"))
+    rows = written(df.select(*keep, F.shiftrightunsigned(F.col(group), 64 - BITS).alias(h),
+                             F.coalesce(F.col(tie), F.lit(-(1 << 62))).cast("long").alias(at),
+                             F.col(size).cast("long").alias(weight)), "shard")
+    narrow = rows.select(F.col(h).alias("h"), F.col(at).alias("tie"), F.col(weight).alias("size"))
     splitters = find_splitters(narrow, n_shards, tolerance)
-    celled = (rows.withColumn("shard", shard_of(F.col("__h"), F.col("__tie"), splitters))
-              .withColumn("__hb", F.shiftright(F.col("__h"), BITS - CELL_BITS).cast("int"))
-              .withColumn("__tb", F.pmod(F.xxhash64("__tie"), F.lit(TIE_CELLS)).cast("int")))
+    celled = (rows.withColumn("shard", shard_of(F.col(h), F.col(at), splitters))
+              .withColumn(hb, F.shiftright(F.col(h), BITS - CELL_BITS).cast("int"))
+              .withColumn(tb, F.pmod(F.xxhash64(at), F.lit(TIE_CELLS)).cast("int")))
     # at most (2 ** CELL_BITS + n_shards) * TIE_CELLS cells, whatever the input
-    cells = celled.groupBy("shard", "__hb", "__tb").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__hb", "__tb").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("shard", "__hb", "__tb", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("shard", "__hb", "__tb").orderBy("__h", "__tie")
-    return (celled.withColumn("__r", F.row_number().over(inside))
-            .join(F.broadcast(starts), ["shard", "__hb", "__tb"])
-            .select(*keep, "shard", (F.col("__start") + F.col("__r") - 1).alias("slot")))
+    cells = celled.groupBy("shard", hb, tb).agg(F.count("*").alias(n))
+    before = Window.partitionBy("shard").orderBy(hb, tb).rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select("shard", hb, tb, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy("shard", hb, tb).orderBy(h, at)
+    return (celled.withColumn(rank, F.row_number().over(inside))
+            .join(F.broadcast(starts), ["shard", hb, tb])
+            .select(*keep, "shard", (F.col(start) + F.col(rank) - 1).alias("slot")))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24, overhead: int = 8, tolerance: float = 0.01) -> DataFrame:
@@ -143,5 +145,5 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, overhead: int = 8, tole
     text = F.col("text").cast("string")
     narrow = docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long").alias("size"),
                          F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-                         F.xxhash64(text).alias("__group"))
-    return assign(narrow, n_shards, "__group", "size", "doc_id", tolerance).drop("__group")
+                         F.xxhash64(text).alias("text_group"))
+    return assign(narrow, n_shards, "text_group", "size", "doc_id", tolerance).drop("text_group")

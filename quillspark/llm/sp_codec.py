@@ -5,8 +5,10 @@ piece is at most ``longest`` characters, so the paths that can still win end
 in the last ``longest`` positions. Walking their back pointers shows where
 they meet; everything before that boundary is the same in all of them, so its
 ids are committed and the window moves on. No piece spans the start of a word
-or a line break, so paths always meet there; words are therefore memoised
-(a bounded table per worker), and memory doesn't grow with a text.
+or a line break, so all paths meet there and the ids of a word are committed
+at its end at the latest. The distinct words of a group of texts (about
+``GROUP_CHARS`` characters) are therefore cut once each, the short ones in
+step (``lattice.py``), those longer than ``BATCH_CHARS`` by the stream.
 
 Decoding joins the pieces' bytes and drops the mark put before the text; it
 gives back every text exactly: characters without a piece, the word mark
@@ -16,12 +18,15 @@ Rows are encoded where they lie (``mapInPandas``), without a shuffle. The
 vocabulary's size is checked before it is sent along.
 
 Defined results: a null text counts as empty; an empty text has no ids; an
-invalid byte sequence in decoding becomes U+FFFD; other columns pass through,
-result names that exist already are replaced.
+invalid byte sequence in decoding becomes U+FFFD; of equal paths the one with
+the longest last piece wins; repeated rows are encoded each; an empty table
+gives no rows; other columns pass through, result names that exist already
+are replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .lattice import Lattice, Trie, parts
 from .pieces import Pieces
 
-MEMO_WORDS = 200_000
-MEMO_CHARS = 48
+GROUP_CHARS = 4_000_000
+BATCH_CHARS = 48  # longer words are streamed
 CHECK_EVERY = 32
 
 
@@ -91,64 +97,86 @@ def stream_ids(text: str, pieces: Pieces) -> Iterator[tuple[int, ...]]:
         yield path(n)
 
 
+def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All places of the stretches (start, length), one stretch behind the other."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
 class Codec:
-    """Encoder and decoder with a bounded memo of words."""
+    """Encoder of many texts at once: every distinct word of a group is cut once."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.memo = pieces, {}
-        self.line_break = next(stream_ids("\n", pieces))
-        self.marked_break = any("\n" in p and p != "\n" for p in pieces.table)
-
-    def _run(self, run: str) -> tuple[int, ...]:
-        ids = self.memo.get(run)
-        if ids is None:
-            ids = tuple(i for part in stream_ids(run, self.pieces) for i in part)
-            if len(run) <= MEMO_CHARS:
-                if len(self.memo) >= MEMO_WORDS:
-                    self.memo.clear()
-                self.memo[run] = ids
-        return ids
+        self.pieces, self.trie = pieces, Trie(pieces)
+        marked_break = any("\n" in p and p != "\n" for p in pieces.table)
+        self.pattern = r" [^ ]*|[^ ]+" if marked_break else r"\n| [^ \n]*|[^ \n]+"
+
+    def _short(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the runs, one behind the other, and how many each has."""
+        trie = self.trie
+        lattice = Lattice(runs, trie)
+        edges, count = lattice.best(lattice.weights(trie.logp, trie.byte_logp))
+        spelled = [trie.byte_ids[lattice.bytes_of(k)] for k in range(len(lattice.spelled))]
+        size = np.concatenate([np.ones(len(trie.ids), dtype=np.int64), [len(x) for x in spelled]]).astype(np.int64)
+        piece = lattice.piece[edges]
+        ids = np.concatenate([trie.ids, *spelled])[_spread((np.cumsum(size) - size)[piece], size[piece])]
+        ends = np.concatenate([[0], np.cumsum(size[piece])])
+        last = np.cumsum(count)
+        return ids, ends[last] - ends[last - count]
+
+    def _ids(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, count = [], []
+        for a, b in parts(runs):
+            part = runs[a:b]
+            far = [k for k, run in enumerate(part) if len(run) > BATCH_CHARS]
+            short = [k for k, run in enumerate(part) if len(run) <= BATCH_CHARS]
+            got, n = self._short([part[k] for k in short])
+            if far:
+                each = dict(zip(short, np.split(got, np.cumsum(n)[:-1]))) if short else {}
+                for k in far:
+                    each[k] = np.array([i for run in stream_ids(part[k], self.pieces) for i in run], dtype=np.int32)
+                got, n = np.concatenate([each[k] for k in range(len(part))]), np.array([len(each[k]) for k in range(len(part))])
+            ids.append(got)
+            count.append(n)
+        return np.concatenate(ids), np.concatenate(count)
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        cut, known = re.compile(self.pattern).findall, {}
+        own = [np.fromiter([known.setdefault(run, len(known)) for run in cut(" " + t)] if t else (), dtype=np.int64) for t in texts]
+        if not known:
+            return [np.zeros(0, dtype=np.int32) for _ in texts]
+        ids, count = self._ids(list(known))
+        first = np.cumsum(count) - count
+        return [ids[_spread(first[runs], count[runs])] for runs in own]
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        if not text:
-            return out
-        memo, extend = self.memo.get, out.extend
-        lines = [text] if self.marked_break else text.split("\n")
-        for k, line in enumerate(lines):
-            if k:
-                out.extend(self.line_break)
-            first, *rest = line.split(" ")
-            if not k:
-                first = " " + first
-            if first:
-                out.extend(self._run(first))
-            for word in rest:
-                word = " " + word
-                extend(memo(word) or self._run(word))
-        return out
-
-    def decode(self, ids) -> str:
-        spell = self.pieces.spell
-        return b"".join([spell[i] for i in ids])[1:].decode("utf-8", "replace")
-
-
-def encode(df: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with the ids of each text."""
-    plain = df.drop(ids)
-    schema = T.StructType([*plain.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+        return self.encode_all([text])[0].tolist()
+
+
+def encode(df: DataFrame, pieces: Pieces, text: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:
+    """``df`` with the ids of each text and, if ``check`` names a column, whether they decode to it."""
+    plain = df.drop(ids, *([check] if check else []))
+    schema = T.StructType([*plain.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())),
+                           *([T.StructField(check, T.BooleanType())] if check else [])])
+
+    codec = Codec(pieces)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(pieces)
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at:at + 1000].copy()
-                part[ids] = [np.array(codec.encode(t or ""), dtype=np.int32) for t in part[text]]
+            for a, b in parts([t or "" for t in batch[text]], GROUP_CHARS):
+                part = batch.iloc[a:b].copy()
+                part[ids] = codec.encode_all(part[text].tolist())
+                if check:
+                    part[check] = [spelled(i, pieces.spell) == (t or "") for i, t in zip(part[ids], part[text])]
                 yield part
 
     return plain.mapInPandas(run, schema)
 
 
+def spelled(ids: np.ndarray, spell: tuple[bytes, ...]) -> str:
+    """The text of some ids, without the mark put before it."""
+    return b"".join([spell[i] for i in ids.tolist()])[1:].decode("utf-8", "replace")
+
+
 def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the text of each row's ids (null ids: empty)."""
     plain = df.drop(text)
@@ -156,7 +184,6 @@ def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "decoded
 
     @F.pandas_udf("string")
     def joined(column: pd.Series) -> pd.Series:
-        return pd.Series(["" if i is None else b"".join([spell[k] for k in i.tolist()])[1:].decode("utf-8", "replace")
-                          for i in column])
+        return pd.Series(["" if i is None else spelled(i, spell) for i in column])
 
     return plain.withColumn(text, joined(F.col(ids)))

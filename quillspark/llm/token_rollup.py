@@ -5,10 +5,14 @@ delete takes the same counts away, a revision takes the old and adds the new.
 Counts are additive, so a batch is reduced to one row per rollup key before
 anything is exchanged, and totals are the sum over the batches committed.
 
-``Rollup`` keeps one folder per batch in a shared folder: the batch's deltas,
-written first, and a commit mark, written last. A batch that was committed is
-never applied again; one that broke off before its mark does not count and
-is written anew when it is retried. Reading sums the committed batches only.
+``Rollup`` maintains the totals in a shared folder. Every try of a commit
+writes its deltas to a folder of its own (``tries``); a mark named like the
+batch, whose content names the winning try, is put in place by a rename that
+does not replace (``marks``). So a batch counts once, whoever is late: a second
+writer's deltas lie in a try that no mark names, and a try that broke off
+leaves nothing behind that is read. ``compact`` folds the totals and the names
+of the batches counted so far into a snapshot, published the same way; totals
+are the last snapshot and the deltas of the marks that it doesn't hold.
 
 Tokens are counted where the text lies, with a public byte-pair vocabulary
 whose file goes to the executors with ``addFile``.
@@ -16,23 +20,30 @@ whose file goes to the executors with ``addFile``.
 Defined results: a null text has no tokens and no characters; null source or
 language is a key of its own; repeated rows count each time; keys whose
 documents were all deleted stay with zeros; an empty batch commits and
-changes nothing; other columns are ignored.
+changes nothing, an empty store has no totals (an empty table); long texts are
+counted whole, one at a time; other columns are ignored by the rollup and pass
+through the count, whose result names replace input columns.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
+
 KEYS = ("source", "lang", "version")
 MEASURES = ("n_docs", "n_tokens", "n_chars")
+SCHEMA = ", ".join([*(f"{k} string" for k in KEYS), *(f"{m} long" for m in MEASURES)])
 
 
 def count_tokens(df: DataFrame, versions: dict[str, str], pattern: str, text: str = "text") -> DataFrame:
@@ -41,9 +52,10 @@ def count_tokens(df: DataFrame, versions: dict[str, str], pattern: str, text: st
     context = df.sparkSession.sparkContext
     for path in versions.values():
         context.addFile(path)
-    plain = df.withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit(""))).drop(text, "n_chars")
     names = {f"tokens_{v}": os.path.basename(p) for v, p in versions.items()}
-    schema = T.StructType([*(f for f in plain.schema.fields if f.name != "__t"), T.StructField("n_chars", T.LongType()),
+    read = free_name(df, "text_read")
+    plain = df.withColumn(read, F.coalesce(F.col(text).cast("string"), F.lit(""))).drop(text, "n_chars", *names)
+    schema = T.StructType([*(f for f in plain.schema.fields if f.name != read), T.StructField("n_chars", T.LongType()),
                            *(T.StructField(n, T.LongType()) for n in names)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,7 +67,7 @@ def count_tokens(df: DataFrame, versions: dict[str, str], pattern: str, text: st
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             coders[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
-            texts = batch.pop("__t")
+            texts = batch.pop(read)
             batch["n_chars"] = texts.str.len().astype("int64")
             for name, coder in coders.items():
                 batch[name] = [len(coder.encode_ordinary(t)) for t in texts]
@@ -77,34 +89,97 @@ def summed(deltas: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a shared folder, changed by idempotent batches."""
+    """Totals in a shared folder, changed by idempotent batches. The folder's file system
+    must have a rename that fails where the target exists."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _batches(self) -> list[str]:
-        fs, at = self._fs(self.folder)
-        if not fs.exists(at):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(at)]
-        return sorted(n[:-len(".committed")] for n in names if n.endswith(".committed"))
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+
+    def _path(self, name: str):
+        return self._hadoop.Path(f"{self.folder}/{name}")
+
+    def _fs(self):
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, kind: str) -> list[str]:
+        fs, at = self._fs(), self._path(kind)
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def _publish(self, name: str, content: str) -> bool:
+        """Put a small file in place unless one is there; it appears whole or not at all."""
+        fs, draft, target = self._fs(), self._path(f"drafts/{uuid.uuid4().hex}"), self._path(name)
+        fs.mkdirs(target.getParent())
+        out = fs.create(draft)
+        out.write(content.encode())
+        out.close()
+        kind = getattr(self._hadoop, "Options$Rename")
+        none = self.spark._sc._gateway.new_array(kind, 0)
+        context = self._hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(draft, target, none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            fs.delete(draft, False)
+            return False
+        return True
+
+    def _content(self, name: str) -> str:
+        source = self._fs().open(self._path(name))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
+
+    def _snapshot(self) -> tuple[int, str | None]:
+        """Number and try of the last snapshot."""
+        last = max(self._names("snapshots"), default=None)
+        return (0, None) if last is None else (int(last), self._content(f"snapshots/{last}"))
+
+    def _folded(self, at: str | None, batches: list[str]) -> set[str]:
+        """Which of ``batches`` a snapshot holds."""
+        if at is None or not batches:
+            return set()
+        held = self.spark.read.parquet(f"{self.folder}/tries/{at}/batches")
+        return {r["batch"] for r in held.where(F.col("batch").isin(batches)).collect()}
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Apply a batch; false if it was applied before."""
         if not batch or not all(c.isalnum() or c in "-_" for c in batch):
             raise ValueError(f"not a batch name: {batch!r}")
-        if batch in self._batches():
+        if batch in self._names("marks") or self._folded(self._snapshot()[1], [batch]):
             return False
-        summed(deltas).write.mode("overwrite").parquet(f"{self.folder}/{batch}.deltas")
-        fs, mark = self._fs(f"{self.folder}/{batch}.committed")
-        return bool(fs.createNewFile(mark))  # atomic: one of two writers gets it
+        own = uuid.uuid4().hex
+        summed(deltas).write.parquet(f"{self.folder}/tries/{own}/deltas")
+        # a mark put where a snapshot holds the batch already is not counted by totals()
+        return self._publish(f"marks/{batch}", own) and not self._folded(self._snapshot()[1], [batch])
+
+    def _open(self) -> tuple[int, str | None, list[str]]:
+        number, snapshot = self._snapshot()
+        marks = self._names("marks")
+        folded = self._folded(snapshot, marks)
+        return number, snapshot, [m for m in marks if m not in folded]
+
+    def _sum(self, snapshot: str | None, marks: list[str]) -> DataFrame:
+        paths = [f"{self.folder}/tries/{self._content(f'marks/{m}')}/deltas" for m in marks]
+        paths += [f"{self.folder}/tries/{snapshot}/totals"] if snapshot else []
+        return summed(self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA))
 
     def totals(self) -> DataFrame:
-        done = self._batches()
-        if not done:
-            raise ValueError("no batch is committed")
-        return summed(self.spark.read.parquet(*[f"{self.folder}/{b}.deltas" for b in done]))
+        _, snapshot, marks = self._open()
+        return self._sum(snapshot, marks)
+
+    def compact(self) -> bool:
+        """Fold all that is committed into a new snapshot; false if there was nothing to
+        fold or another writer was faster."""
+        number, snapshot, marks = self._open()
+        if not marks:
+            return False
+        own = uuid.uuid4().hex
+        self._sum(snapshot, marks).write.parquet(f"{self.folder}/tries/{own}/totals")
+        names = self.spark.createDataFrame([(m,) for m in marks], "batch string")
+        if snapshot:
+            names = names.unionByName(self.spark.read.parquet(f"{self.folder}/tries/{snapshot}/batches"))
+        names.write.parquet(f"{self.folder}/tries/{own}/batches")
+        return self._publish(f"snapshots/{number + 1:08d}", own)

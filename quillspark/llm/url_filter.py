@@ -141,8 +141,8 @@ def build_index(spark: SparkSession, entries: Iterable[tuple[str, str]], max_ent
 def judge_urls(df: DataFrame, index: str, url: str = "url", default: str = "allow") -> DataFrame:
     """``df`` with ``host``, ``path``, ``rule`` (null if none fits) and ``verdict``."""
     host, path = url_parts(F.col(url))
-    parted = df.withColumns({"__host": host, "__path": path}).drop("host", "path", "rule", "verdict")
-    parted = parted.withColumnsRenamed({"__host": "host", "__path": "path"})
+    keep = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    parted = df.select(*[F.col(f"`{c}`") for c in keep], host.alias("host"), path.alias("path"))
     schema = T.StructType([*parted.schema.fields, T.StructField("rule", T.StringType()),
                            T.StructField("verdict", T.StringType())])
 
@@ -159,8 +159,8 @@ def judge_urls(df: DataFrame, index: str, url: str = "url", default: str = "allo
 
 def judge_by_join(df: DataFrame, rules: DataFrame, key: str, url: str = "url", default: str = "allow") -> DataFrame:
     """The same verdicts for lists of any size: ``rules`` (rule, verdict) is joined
-    with the URLs' candidate rules; ``key`` names a unique column of ``df``.
-    Returns key, host, path, rule, verdict."""
+    with the candidate rules of every distinct host and path, which decide. Returns
+    key (any column of ``df``, null or repeated too), host, path, rule, verdict."""
     host, path = url_parts(F.col(url))
     listed = (rules.withColumn("rule", F.concat(lower_ascii(F.substring_index("rule", "/", 1)),
                                                 F.expr("substring(rule, instr(rule, '/'))")))
@@ -173,10 +173,11 @@ def judge_by_join(df: DataFrame, rules: DataFrame, key: str, url: str = "url", d
                            lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
     prefixes = F.array_compact(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]))
     options = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    probes = parted.where("host <> '' and path like '/%'").select(key, F.explode(F.array_distinct(options)).alias("rule"))
+    places = parted.where("host <> '' and path like '/%'").select("host", "path").distinct()
+    probes = places.select("host", "path", F.explode(F.array_distinct(options)).alias("rule"))
     hits = probes.withColumn("digest", F.xxhash64("rule")).join(listed, ["digest", "rule"])
     rank = F.struct(F.length("rule").alias("n"), F.instr("rule", "/").alias("h"), F.col("rule"), F.col("verdict"))
-    best = hits.groupBy(key).agg(F.max(rank).alias("b"))
-    return (parted.join(best, key, "left")
+    best = hits.groupBy("host", "path").agg(F.max(rank).alias("b"))
+    return (parted.join(best, ["host", "path"], "left")
             .select(key, "host", "path", F.col("b.rule").alias("rule"),
                     F.coalesce("b.verdict", F.lit(default)).alias("verdict")))

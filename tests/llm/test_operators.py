@@ -314,7 +314,7 @@ def test_token_rollup(spark):
     gone = counted.where("doc_id = 1")
     assert store.commit("b", token_rollup.signed(gone, ["v1"], -1)) and not store.commit("b", token_rollup.signed(gone, ["v1"], -1))
     # deltas of a batch that broke off before its mark don't count
-    token_rollup.summed(token_rollup.signed(counted, ["v1"], 1)).write.parquet(f"{store.folder}/c.deltas")
+    token_rollup.summed(token_rollup.signed(counted, ["v1"], 1)).write.parquet(f"{store.folder}/tries/broken/deltas")
     left = {(r.source, r.n_docs, r.n_tokens) for r in store.totals().collect()}
     assert ("s", 1, 0) in left
     assert store.commit("d", token_rollup.signed(counted.limit(0), ["v1"], 1)) and store.commit("c", token_rollup.signed(counted, ["v1"], 1))

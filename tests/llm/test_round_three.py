@@ -208,6 +208,47 @@ def test_lattice_equals_single_strings(pieces):
         assert ids == [i for part in sp_codec.stream_ids(run, pieces) for i in part]
 
 
+def test_long_strings_go_by_stretches(pieces):
+    rng = random.Random(4)
+    trie = lattice.Trie(pieces)
+    run = "".join(rng.choice("etaoin shrdlu日😀") for _ in range(1000))
+    for step in (16, 100, 999, 1000, 5000):
+        assert abs(lattice._long_forward(run, trie, trie.logp, trie.byte_logp, step) - lattice_lm.forward(run, pieces)[0][-1]) < 1e-7
+
+
+def test_lm_document_scores(spark, pieces):
+    """Whole texts against the sum over all segmentations of every word."""
+    texts = ["The cat", "cat 日x", None, "a", "held out cat"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in lattice_lm.score_documents(docs, F.col("doc_id") < 4, pieces).collect()}
+    train = [w for t in texts[:4] for w in (t or "").lower().split()]
+    n = len(train) + 4
+    mass = {i: lattice_lm.PRIOR * np.exp(p) for i, p in pieces.logps().items()}
+    for w in train:
+        ways = every_segmentation(" " + w, pieces)
+        for p, ids in ways:
+            for i in ids:
+                mass[i] += p / sum(q for q, _ in ways)
+    fitted = pieces.reweighted({i: np.log(m / sum(mass.values())) for i, m in mass.items()})
+    for k, t in enumerate(texts):
+        for by, name in ((pieces, "score"), (fitted, "fitted_score")):
+            want = sum(np.log10(sum(p for p, _ in every_segmentation(" " + w, by))) for w in (t or "").lower().split()) + np.log10(4 / n)
+            assert abs(getattr(got[k], name) - want) < 1e-6
+        assert got[k].train_tokens == n and got[k].n_tokens == len((t or "").split()) + 1
+        assert got[k].n_known == 1 + sum(w in train for w in (t or "").lower().split())
+
+
+def test_codec_long_words_and_equal_runs(spark, pieces):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abeé日o\n▁") for _ in range(rng.choice([1, 5, 49, 200]))) for _ in range(30)) for _ in range(20)] + [" ", "\n\n", None, ""]
+    codec = sp_codec.Codec(pieces)
+    for text, ids in zip(texts, codec.encode_all(texts)):
+        assert ids.tolist() == ([i for part in sp_codec.stream_ids(" " + text, pieces) for i in part] if text else [])
+    df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
+    assert all(r.decoded == (r.text or "") for r in sp_codec.decode(sp_codec.encode(df, pieces), pieces).collect())
+    assert sp_codec.encode(df.limit(0), pieces).count() == 0
+
+
 def every_segmentation(run, pieces):
     """(probability, pieces) of all ways to cut a string."""
     if not run:
