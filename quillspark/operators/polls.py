@@ -3,9 +3,11 @@
 Batch form of the polling loops: a change flag from the previous poll, runs
 (gaps and islands) with their start and row number, and per-run measures; the
 first completing poll per cell is picked with a grouped ``min(struct)``.
-Order is (ts, seq) so equal timestamps are deterministic. Runs are computed
-on range partitions of (cell, ts, seq) with carry-in summaries, so a cell
-holding a large share of all polls is split over many tasks.
+Order is (ts, seq), which names a poll of a cell. Runs are a segmented scan:
+ranges of (cell, ts, seq) are scanned on their own, one summary row per range
+and cell is combined once, and its result is what a range carries in. A cell
+holding a large share of all polls is split over many tasks. Texts are told
+by their md5; the text itself is fetched last, for the polls that are returned.
 """
 
 from __future__ import annotations
@@ -26,64 +28,75 @@ def _epoch(c: Column) -> Column:
     return c.cast("timestamp").cast("double")
 
 
-def ordered_runs(df: DataFrame, key: str, order: list[str], value, is_start, *, parts: int | None = None) -> DataFrame:
-    """Gaps-and-islands per ``key`` in ``order`` that stays balanced when one
-    key holds a large share of the rows.
-
-    Rows are range-partitioned on (key, order) - a hot key spans several
-    ranges - and checkpointed so range ids stay fixed. Within a range the
-    previous value, row numbers and the last run start come from windows over
-    (range, key); across ranges each (range, key) group takes its carry-in
-    (previous group's last value, rows before it, last run start before it)
-    from one summary row per group, computed with windows over the summary
-    (at most one row per range per key).
-
-    ``value`` is the value compared with the next row; ``is_start(prev)``
-    returns the run-start flag given the previous value. Adds _prev, start,
-    run_start_at (index and order of the run's first row), run_rn."""
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rp = (df.repartitionByRange(parts, key, *order).withColumn("_pid", F.spark_partition_id())
-            .withColumn("_val", value).checkpoint())
-    g = Window.partitionBy("_pid", key).orderBy(*order)
-    x = rp.withColumn("_lprev", F.lag("_val").over(g)).withColumn("_lrn", F.row_number().over(g))
-    c = Window.partitionBy(key).orderBy("_pid")
-    s1 = (x.groupBy("_pid", key).agg(F.max_by("_val", F.struct(*order)).alias("_last"), F.count(F.lit(1)).alias("_n"))
-           .withColumn("_prev_in", F.lag("_last").over(c))
-           .withColumn("_before", F.coalesce(F.sum("_n").over(c.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    x = x.join(s1.select("_pid", key, "_prev_in", "_before"), ["_pid", key])
-    prev = F.when(F.col("_lrn") == 1, F.col("_prev_in")).otherwise(F.col("_lprev"))
-    x = x.withColumn("_prev", prev).withColumn("start", is_start(F.col("_prev")))
-    x = x.withColumn("_idx", F.col("_lrn") + F.col("_before"))
-    st = F.struct(F.col("_idx").alias("i"), *[F.col(o) for o in order])
-    upto = g.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("_ls", F.last(F.when(F.col("start"), st), ignorenulls=True).over(upto))
-    s2 = (x.groupBy("_pid", key).agg(F.max(F.when(F.col("start"), st)).alias("_gs"))
-           .withColumn("_carry", F.last("_gs", ignorenulls=True).over(c.rowsBetween(Window.unboundedPreceding, -1))))
-    x = x.join(s2.select("_pid", key, "_carry"), ["_pid", key])
-    x = x.withColumn("_rs", F.coalesce(F.col("_ls"), F.col("_carry")))
-    return (x.withColumn("run_rn", F.col("_idx") - F.col("_rs.i") + 1)
-             .withColumn("run_start_at", F.col("_rs"))
-             .drop("_pid", "_val", "_lprev", "_lrn", "_prev_in", "_before", "_idx", "_ls", "_carry", "_rs"))
+def _as_repeat(val: Column, repeats: Column, before: Column) -> Column:
+    return F.coalesce(repeats & (val == before), F.lit(False))
+
+
+def scan_runs(rows: DataFrame, *, parts: int | None = None) -> DataFrame:
+    """Runs of equal values per cell. ``rows``: cell, t, seq, val (the value that is
+    compared), size (its length), repeats (it may continue a run), counts (other rows
+    only tell when the cell began). Returns the counting rows with change (a run starts
+    here), run_start (time of the run's first row), run_rn (number in the run),
+    prev_size (of the value before, 0 without one) and start (time of the cell's first row).
+
+    Range partitions of (cell, t, seq) are kept in the checkpoint folder, so that
+    ranges stay what they are. Within a range, windows over (range, cell) find all
+    run starts but the first row's, which depends on the value carried in. Summaries
+    (a row per range and cell) hold the first and last value, the last run start found,
+    the number of rows and the earliest time; in the order of a cell's ranges they
+    compose to what each range carries in."""
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = (rows.select("cell", "t", "seq", "val", "size", "repeats", "counts").repartitionByRange(parts, "cell", "t", "seq")
+             .withColumn("_range", F.spark_partition_id()).checkpoint())
+    w = Window.partitionBy("_range", "cell").orderBy("t", "seq")
+    upto, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    counts = F.col("counts")
+    x = x.withColumns({"_prev": F.last(F.when(counts, F.struct("val", "size")), ignorenulls=True).over(earlier),
+                       "_rn": F.sum(counts.cast("long")).over(upto)})
+    opens = counts & F.col("_prev").isNull()
+    known = counts & F.col("_prev").isNotNull() & ~_as_repeat(F.col("val"), F.col("repeats"), F.col("_prev.val"))
+    x = x.withColumn("_run", F.last(F.when(known, F.struct(F.col("_rn").alias("i"), F.col("t").alias("t"))), ignorenulls=True).over(upto))
+    s = x.groupBy("_range", "cell").agg(
+        F.min("t").alias("_t0"), F.sum(counts.cast("long")).alias("_n"),
+        F.max(F.when(opens, F.struct("val", "repeats", "t"))).alias("_first"),
+        F.max(F.when(counts, F.struct("t", "seq", "val", "size"))).alias("_last"), F.max("_run").alias("_lastrun"))
+    c = Window.partitionBy("cell").orderBy("_range")
+    before = c.rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumns({"_in": F.last("_last", ignorenulls=True).over(before), "_before": F.coalesce(F.sum("_n").over(before), F.lit(0)),
+                       "start": F.min("_t0").over(c.rowsBetween(Window.unboundedPreceding, 0))})
+    starts = F.col("_first").isNotNull() & ~_as_repeat(F.col("_first.val"), F.col("_first.repeats"), F.col("_in.val"))
+    s = s.withColumn("_opens", F.when(starts, F.struct((F.col("_before") + 1).alias("i"), F.col("_first.t").alias("t"))))
+    ends = F.coalesce(F.when(F.col("_lastrun").isNotNull(), F.struct((F.col("_lastrun.i") + F.col("_before")).alias("i"), F.col("_lastrun.t").alias("t"))), "_opens")
+    s = s.withColumn("_carry", F.coalesce("_opens", F.last(ends, ignorenulls=True).over(before)))
+    s = s.select("_range", "cell", "start", "_before", "_in", "_opens", "_carry")
+    own = F.when(F.col("_run").isNotNull(), F.struct((F.col("_run.i") + F.col("_before")).alias("i"), F.col("_run.t").alias("t")))
+    x = x.join(s, ["_range", "cell"]).where("counts").withColumn("_at", F.coalesce(own, "_carry"))
+    return x.select("cell", "t", "seq", "val", "size", "repeats", "start",
+                    (known | opens & F.col("_opens").isNotNull()).alias("change"), F.col("_at.t").alias("run_start"),
+                    (F.col("_rn") + F.col("_before") - F.col("_at.i") + 1).alias("run_rn"),
+                    F.coalesce("_prev.size", "_in.size", F.lit(0)).alias("prev_size"))
 
 
 def runs(polls: DataFrame, *, min_len: int = MIN_LEN, markers=MARKERS) -> DataFrame:
     """Marker rows reset the remembered text; rows shorter than ``min_len`` are
     ignored; every other row either repeats the remembered text or starts a
-    run. Adds is_marker, change, run_start (epoch s), t (epoch s), run_rn,
-    prev_len."""
-    start = polls.groupBy("cell").agg(F.min(_epoch(F.col("ts"))).alias("start"))
-    is_marker = any_contains(F.col("text"), markers)
-    v = (polls.withColumn("is_marker", is_marker).filter(F.col("is_marker") | (F.length("text") >= min_len))
-              .withColumn("t", _epoch(F.col("ts"))))
-    eff = F.when(F.col("is_marker"), F.lit("")).otherwise(F.col("text"))
-    r = ordered_runs(v, "cell", ["t", "seq"], eff,
-                     lambda prev: F.col("is_marker") | prev.isNull() | (F.col("text") != prev))
-    r = (r.withColumn("change", F.col("start") & ~F.col("is_marker"))
-          .withColumn("run_start", F.col("run_start_at.t"))
-          .withColumn("prev_len", F.length(F.coalesce(F.col("_prev"), F.lit(""))))
-          .drop("_prev", "start", "run_start_at"))
-    return r.join(start, "cell")
+    run. Adds is_marker, change, start and run_start (epoch s), t (epoch s),
+    run_rn, size and prev_size (lengths of the text and the remembered one)."""
+    marker = any_contains(F.col("text"), markers)
+    rows = polls.select("cell", _epoch(F.col("ts")).alias("t"), "seq", marker.alias("m"), F.length("text").alias("n"),
+                        F.unhex(F.md5("text")).alias("h"))
+    rows = rows.select("cell", "t", "seq", F.when(F.col("m"), F.lit(b"")).otherwise(F.col("h")).alias("val"),
+                       F.when(F.col("m"), 0).otherwise(F.col("n")).alias("size"), (~F.col("m")).alias("repeats"),
+                       F.coalesce(F.col("m") | (F.col("n") >= min_len), F.lit(False)).alias("counts"))
+    r = scan_runs(rows).withColumn("is_marker", ~F.col("repeats"))
+    return r.withColumn("change", F.col("change") & ~F.col("is_marker"))
+
+
+def with_text(picked: DataFrame, polls: DataFrame, at: str) -> DataFrame:
+    """``picked`` with the text of the poll that the struct ``at`` (t, seq) names, if it names one."""
+    texts = polls.select(F.col("cell").alias("_c"), _epoch(F.col("ts")).alias("_t"), F.col("seq").alias("_s"), "text")
+    return picked.join(texts, (F.col("cell") == F.col("_c")) & (F.col(f"{at}.t") == F.col("_t")) & (F.col(f"{at}.seq") == F.col("_s")),
+                       "left").drop("_c", "_t", "_s")
 
 
 def quiescence(polls: DataFrame, *, gap_s: float, timeout_s: float) -> DataFrame:
@@ -93,17 +106,16 @@ def quiescence(polls: DataFrame, *, gap_s: float, timeout_s: float) -> DataFrame
     last change - start if it was confirmed by a repeat, else the timeout),
     or an error with latency 0 when nothing usable is remembered."""
     r = runs(polls).filter(F.col("t") - F.col("start") < timeout_s)
-    done = (r.filter(~F.col("is_marker") & (F.col("t") - F.col("run_start") >= gap_s))
-             .groupBy("cell").agg(F.min(F.struct("t", "seq", "text", "run_start", "start")).alias("d")))
-    last = r.groupBy("cell").agg(F.max(F.struct("t", "seq", "is_marker", "text", "run_start", "run_rn", "start")).alias("l"))
-    j = last.join(done, "cell", "left")
+    quiet = ~F.col("is_marker") & (F.col("t") - F.col("run_start") >= gap_s)
+    j = r.groupBy("cell").agg(F.min(F.when(quiet, F.struct("t", "seq", "run_start", "start"))).alias("d"),
+                              F.max(F.struct("t", "seq", "is_marker", "run_start", "run_rn", "start")).alias("l"))
     complete = F.col("d").isNotNull()
     partial = ~complete & ~F.col("l.is_marker")
-    return j.select(
+    j = j.withColumn("at", F.when(complete, F.struct("d.t", "d.seq")).when(partial, F.struct("l.t", "l.seq")))
+    return with_text(j, polls, "at").select(
         "cell",
         F.when(complete, F.lit("complete")).when(partial, F.lit("partial")).otherwise(F.lit("error")).alias("status"),
-        F.when(complete, F.col("d.text")).when(partial, F.col("l.text"))
-         .otherwise(F.lit("ERROR: Timeout waiting for response")).alias("response"),
+        F.when(complete | partial, F.col("text")).otherwise(F.lit("ERROR: Timeout waiting for response")).alias("response"),
         F.when(complete, F.col("d.run_start") - F.col("d.start"))
          .when(partial, F.when(F.col("l.run_rn") > 1, F.col("l.run_start") - F.col("l.start")).otherwise(F.lit(float(timeout_s))))
          .otherwise(F.lit(0.0)).alias("latency_s"),
@@ -113,21 +125,17 @@ def quiescence(polls: DataFrame, *, gap_s: float, timeout_s: float) -> DataFrame
 def growth(polls: DataFrame) -> DataFrame:
     """Length growth at every change of the remembered text."""
     r = runs(polls).filter(F.col("change"))
-    return r.select("cell", "seq", F.col("t").alias("at"),
-                    (F.length("text") - F.col("prev_len")).cast("bigint").alias("growth"))
+    return r.select("cell", "seq", F.col("t").alias("at"), (F.col("size") - F.col("prev_size")).cast("bigint").alias("growth"))
 
 
 def stable_polls(polls: DataFrame, *, n: int = STABLE_POLLS, min_len: int = STABLE_MIN_LEN) -> DataFrame:
     """Complete at the poll where the same text (longer than ``min_len``) has
     been seen ``n`` more times in a row; else the last text seen."""
-    p = polls.withColumn("t", _epoch(F.col("ts")))
-    p = ordered_runs(p, "cell", ["t", "seq"], F.col("text"),
-                     lambda prev: ~F.coalesce((F.col("text") == prev) & (F.length("text") > min_len), F.lit(False)))
-    done = p.filter(F.col("run_rn") > n).groupBy("cell").agg(F.min(F.struct("t", "seq", "text")).alias("d"))
-    last = p.groupBy("cell").agg(F.max(F.struct("t", "seq", "text")).alias("l"))
-    j = last.join(done, "cell", "left")
+    rows = polls.select("cell", _epoch(F.col("ts")).alias("t"), "seq", F.unhex(F.md5("text")).alias("val"), F.length("text").alias("size"),
+                        F.coalesce(F.length("text") > min_len, F.lit(False)).alias("repeats"), F.lit(True).alias("counts"))
+    j = scan_runs(rows).groupBy("cell").agg(F.min(F.when(F.col("run_rn") > n, F.struct("t", "seq"))).alias("d"),
+                                            F.max(F.struct("t", "seq")).alias("l"))
     complete = F.col("d").isNotNull()
-    return j.select("cell",
-                    F.when(complete, F.lit("complete")).otherwise(F.lit("timeout")).alias("status"),
-                    F.when(complete, F.col("d.text")).otherwise(F.col("l.text")).alias("response"),
-                    F.when(complete, F.col("d.seq")).alias("done_seq"))
+    j = with_text(j.withColumn("at", F.coalesce("d", "l")), polls, "at")
+    return j.select("cell", F.when(complete, F.lit("complete")).otherwise(F.lit("timeout")).alias("status"),
+                    F.col("text").alias("response"), F.when(complete, F.col("d.seq")).alias("done_seq"))
