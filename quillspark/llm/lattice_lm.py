@@ -9,11 +9,10 @@ whose probability is its share of the training tokens.
 texts: one step of expectation maximisation over all training words, smoothed
 by the vocabulary's scores, which are worth ``PRIOR`` pieces.
 
-Words repeat, so no word is scored twice: tasks turn blocks of documents into
-local word numbers and one row per word of the block, words are counted and
-scored once in the whole corpus (many at once, ``lattice.py``), and the scores
-go back to the blocks. What is shuffled is the block vocabularies, a hot word
-being one row per block.
+Words repeat, so tasks turn blocks of documents into local word numbers and one
+row per word of the block. These rows meet by word, once, where a word is
+counted and scored (many at once, ``lattice.py``), and go back to the blocks.
+What is shuffled is the block vocabularies, a hot word being one row per block.
 
 Defined results: a null, empty or blank text is the end symbol alone; a null
 id is scored and counts as training; without training texts, no token is
@@ -31,15 +30,14 @@ from math import exp, log, log10
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 from .lattice import Trie, expected_pieces, log_probabilities
 from .pieces import Pieces
 
-BLOCK_BYTES = 8 << 20
-WORDS_A_TASK = 150_000
+BLOCK_BYTES = 16 << 20
 SMOOTH = 0.1  # of a base count
 PRIOR = 1000.0  # expected pieces that the vocabulary's scores are worth
 
@@ -124,7 +122,7 @@ def fit_pieces(words: DataFrame, pieces: Pieces, trie: Trie) -> Pieces:
     return pieces.reweighted({i: log(m / total) for i, m in mass.items()})
 
 
-def _runs(words: pd.Series) -> list[str]:
+def _runs(words) -> list[str]:
     return [" " + w.decode("utf-8", "replace") for w in words]
 
 
@@ -136,23 +134,26 @@ def score_documents(docs: DataFrame, train: F.Column, pieces: Pieces, key: str =
     blocks = written(rows.mapInPandas(_blocks, "block string, id long, train boolean, n long, data binary, "
                                                "word binary, number int, c long"), "blocks")
     listed = blocks.where("word is not null").select("block", "number", "word", "c")
-    words = written(listed.groupBy("word").agg(F.sum("c").alias("c")), "words")
-    sums = words.agg(F.sum("c").alias("n"), F.count("*").alias("all"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    same, one = Window.partitionBy("word"), Window.partitionBy("word").orderBy("block", "number")
+    words = written(listed.withColumn("total", F.sum("c").over(same)).withColumn("first", F.row_number().over(one) == 1)
+                    .select("block", "number", "word", F.col("total").alias("c"), "first"), "words")
+    distinct = words.where("first").select("word", "c")
+    sums = distinct.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     ends = blocks.where("data is not null and train").count()
     n, v = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
-    spread = words.repartition(-(-sums["all"] // WORDS_A_TASK) or 1, "word")  # by words, not by the files' splits
     trie = Trie(pieces)
-    fitted = Trie(fit_pieces(spread, pieces, trie))
+    fitted = Trie(fit_pieces(distinct, pieces, trie))
     end_logp = log10(ends / n) if ends else -log10(len(pieces.spell))
     floor = n + SMOOTH * (v + 1)
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = log_probabilities(_runs(batch["word"]), trie, [(t.logp, t.byte_logp) for t in (trie, fitted)]) / log(10)
-            yield batch.assign(own=got[:, 0], learnt=got[:, 1])
+        by = [(t.logp, t.byte_logp) for t in (trie, fitted)]
+        for batch in batches:  # a word's rows stand together
+            which, unique = pd.factorize(batch["word"])
+            got = (log_probabilities(_runs(unique), trie, by) / log(10))[which]
+            yield pd.DataFrame({"of": batch["block"], "number": batch["number"], "c": batch["c"], "own": got[:, 0], "learnt": got[:, 1]})
 
-    scored = spread.mapInPandas(weigh, "word binary, c long, own double, learnt double")
-    back = listed.select("block", "number", "word").join(scored, "word").select(F.col("block").alias("of"), "number", "c", "own", "learnt")
+    back = words.select("block", "number", "word", "c").mapInPandas(weigh, "of string, number int, c long, own double, learnt double")
 
     def add_up(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         size = int(two["number"].max()) + 1 if len(two) else 0
