@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 from ..functions.text import norm_key, strip_ws
 from . import label as L
+from .key_index import key_of
 
 ROW_ID = ["source_ord", "seq"]
 FULL = 32  # hex digits of the key that decides which rows are copies
@@ -113,21 +114,34 @@ def first_turn_prompts(conv: DataFrame, *, role: str = "user", min_len: int = 10
                .withColumn("prompt_length", F.length("prompt_text").cast("bigint")))
 
 
-def incremental_append(incoming: DataFrame, loaded: DataFrame, *, min_len: int = 10,
-                       run_date: str = "2026-01-06", source: str = "LMSYS_Arena") -> DataFrame:
-    """Rows to append: stripped prompt longer than ``min_len``, not already
-    loaded, first copy within the batch (by seq). Columns in sink order."""
-    inc = (incoming.select("seq", strip_ws(F.col("text")).alias("Prompt"), F.col("language").alias("Language"))
-                   .filter(F.length("Prompt") > min_len))
-    firsts = inc.groupBy("Prompt").agg(F.min("seq").alias("seq"))
-    have = loaded.select(strip_ws(F.col("text")).alias("Prompt")).distinct()
-    new = firsts.join(have, "Prompt", "left_anti")
-    rows = inc.join(new.select("seq"), "seq", "left_semi")
+def first_copies(incoming: DataFrame, *, min_len: int = 10) -> DataFrame:
+    """(key, seq): the first row of each prompt longer than ``min_len`` in a batch. The
+    prompt itself stays behind; its key is the md5 of the stripped text."""
+    p = strip_ws(F.col("text"))
+    return (incoming.select("seq", p.alias("p")).where(F.length("p") > min_len)
+                    .select("seq", key_of(F.col("p")).alias("key")).groupBy("key").agg(F.min("seq").alias("seq")))
+
+
+def append_rows(incoming: DataFrame, new: DataFrame, *, run_date: str = "2026-01-06", source: str = "LMSYS_Arena") -> DataFrame:
+    """The rows of ``incoming`` that ``new`` (seq) names, labelled, columns in sink order."""
+    rows = (incoming.join(new.select("seq"), "seq", "left_semi")
+                    .select("seq", strip_ws(F.col("text")).alias("Prompt"), F.col("language").alias("Language")))
     rows = L.label_intent_rules(L.with_lower(rows, "Prompt"), out="Intent").drop(L.LOWER)
     return rows.select(F.lit(run_date).alias("Date Added"), F.lit(source).alias("Source"), "Intent", "Prompt",
                        F.coalesce("Language", F.lit("unknown")).alias("Language"), "seq")
 
 
+def incremental_append(incoming: DataFrame, loaded: DataFrame, *, min_len: int = 10,
+                       run_date: str = "2026-01-06", source: str = "LMSYS_Arena") -> DataFrame:
+    """Rows to append: stripped prompt longer than ``min_len``, not already
+    loaded, first copy within the batch (by seq). Only 16-byte keys and row
+    numbers are exchanged before the last join. A load that is repeated keeps
+    its keys in a ``KeyIndex`` instead of reading ``loaded`` again."""
+    have = loaded.select(key_of(strip_ws(F.col("text"))).alias("key"))
+    new = first_copies(incoming, min_len=min_len).join(have, "key", "left_anti")
+    return append_rows(incoming, new, run_date=run_date, source=source)
+
+
 def label_prompts(df: DataFrame, *, mode: str = "full", run_date: str = "2026-01-06") -> DataFrame:
     """All row labels of the harvested record (no shuffle)."""
     full = mode == "full"
