@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 from ..operators import collect as CO
 from ..operators import polls as PO
+from ..operators.rounds import Rounds
 from ..session import table
 from ..sources import fixtures as FX
+from ..streaming.jobs import run_dir
 from . import generate_plans as GP
 from . import sqlgen as S
 from .sqlgen import q
@@ -39,6 +41,16 @@ def q_retry_queue(spark, sf):
     return CO.retry_rounds(FX.attempts(spark, sf))
 
 
+def q_collect_rounds(spark, sf):
+    """Collection rounds over every prompt and system, each committed once; the
+    consolidated latest answers read back."""
+    answers = FX.attempts(spark, sf)
+    cells = FX.documents(spark, sf).select(F.col("doc_id").alias("prompt_id"), F.explode(F.array(*[F.lit(s) for s in FX.SYSTEMS])).alias("system"))
+    rounds = Rounds(spark, run_dir(spark, "rounds"))
+    rounds.run(cells, lambda queue: queue.join(answers, ["prompt_id", "system", "attempt"]))
+    return rounds.latest()
+
+
 def q_system_success(spark, sf):
     return CO.system_success(FX.attempts(spark, sf))
 
@@ -74,6 +86,7 @@ QUERIES = {
     "block_pages": q_block_pages,
     "latest_attempt": q_latest_attempt,
     "retry_queue": q_retry_queue,
+    "collect_rounds": q_collect_rounds,
     "system_success": q_system_success,
     "attempt_stats": q_attempt_stats,
     "completion_progress": q_completion_progress,
@@ -184,6 +197,7 @@ FROM l LEFT JOIN d USING (cell)"""
 
 
 ORACLE = {
+    "collect_rounds": f"WITH {LATEST} SELECT prompt_id, system, attempt, status, latency_s FROM lat",
     "response_parse": parse_sql(),
     "response_extract": extract_sql(),
     "block_pages": block_sql(),

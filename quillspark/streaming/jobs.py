@@ -4,20 +4,26 @@ under the cluster's shared ``spark.checkpoint.dir`` (restartable after an
 executor or driver loss), and writes an idempotent sink; the caller gets the
 sink back as a batch DataFrame.
 
-All jobs use ``trigger(availableNow=True)``: process everything present, then
-stop - the batch-equivalent run of a continuous job.
+Inputs are staged in ranges of their order by one parallel job; every range is
+one run with ``trigger(availableNow=True)``, which goes on from the checkpoint
+of the run before, as a continuous job would after a restart.
 """
 
 from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.text import norm_key, strip_ws
 from ..operators import collect as CO
 from ..operators import label as L
+from ..operators.harvest import append_rows, first_copies
+from ..operators.key_index import KeyIndex, key_of
 from ..session import ensure_checkpoint_dir
 
 
@@ -26,27 +32,41 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage_files(df: DataFrame, path: str, order: str, parts: int) -> None:
-    """Write ``df`` as ``parts`` files in ``order`` ranges, one file per write,
-    so the file source sees them oldest-first in that order."""
+def stage(df: DataFrame, base: str, order: str, parts: int) -> None:
+    """Write ``df`` in ``parts`` ranges of ``order``, several files each, in one job
+    (after one pass over ``order`` alone for the bounds). Rows without an order
+    value come first."""
     bounds = df.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10000).alias("b")).first()["b"]
-    edges = [None, *bounds, None]
-    for i in range(parts):
-        lo, hi = edges[i], edges[i + 1]
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col(order) > lo)
-        if hi is not None:
-            cond = cond & (F.col(order) <= hi)
-        if lo is None:  # rows without an order value come first
-            cond = cond | F.col(order).isNull()
-        df.filter(cond).coalesce(1).write.mode("append").parquet(path)
+    part = F.lit(0)
+    for edge in sorted(set(bounds or [])):
+        part = part + F.coalesce(F.col(order) > edge, F.lit(False)).cast("int")
+    part_of = df.withColumn("_part", part)
+    part_of.repartitionByRange("_part", order).write.partitionBy("_part").parquet(f"{base}/staged")
 
 
-def _await(q) -> None:
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
+def run_in_parts(spark: SparkSession, base: str, start) -> None:
+    """Hand the staged ranges to a stream one after the other: each becomes the input of
+    one run, which goes on from the checkpoint of the run before."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(f"{base}/in"))
+    held = [f.getPath() for f in fs.listStatus(hadoop.Path(f"{base}/staged")) if "=" in f.getPath().getName()]
+    for k, path in enumerate(sorted(held, key=lambda p: int(p.getName().split("=")[1]))):
+        fs.rename(path, hadoop.Path(f"{base}/in/p{k:05d}"))
+        query = start()
+        query.awaitTermination()
+        if query.exception() is not None:
+            raise query.exception()
+
+
+def source(spark: SparkSession, base: str, schema: str) -> DataFrame:
+    return spark.readStream.schema(schema).parquet(f"{base}/in/*")
+
+
+def sink(frame: DataFrame, base: str):
+    """Starts one run into the job's parquet sink."""
+    return lambda: (frame.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
+                    .outputMode("append").trigger(availableNow=True).start())
 
 
 # -- R1: streaming harvest -------------------------------------------------------------
@@ -57,17 +77,14 @@ def stream_harvest(spark: SparkSession, docs: DataFrame, *, parts: int = 4, min_
     labelled and deduplicated on its key against everything seen so far
     (state keyed by prompt_id in the state store), then appended."""
     base = run_dir(spark, "harvest")
-    src, out, ck = f"{base}/in", f"{base}/out", f"{base}/ck"
-    stage_files(docs.select("doc_id", "source", "text"), src, "doc_id", parts)
-    s = spark.readStream.schema("doc_id long, source string, text string").option("maxFilesPerTrigger", 1).parquet(src)
+    stage(docs.select("doc_id", "source", "text"), base, "doc_id", parts)
+    s = source(spark, base, "doc_id long, source string, text string")
     s = s.withColumn("prompt_text", strip_ws(F.col("text"))).withColumn("prompt_length", F.length("prompt_text"))
     s = s.filter(F.col("prompt_length").between(min_len, max_len)).withColumn("_key", norm_key(F.col("prompt_text"), 32))
     s = s.dropDuplicates(["_key"]).withColumn("prompt_id", F.substring("_key", 1, 12)).drop("_key")
     s = L.label_intent_rules(L.with_lower(s, "prompt_text"), out="intent").drop(L.LOWER, "text")
-    q = (s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-          .outputMode("append").trigger(availableNow=True).start())
-    _await(q)
-    return spark.read.parquet(out)
+    run_in_parts(spark, base, sink(s, base))
+    return spark.read.parquet(f"{base}/out")
 
 
 # -- R2: completion sessions -----------------------------------------------------------
@@ -78,46 +95,57 @@ def stream_sessions(spark: SparkSession, polls: DataFrame, *, gap: str = "12 hou
     watermark passes their end; sessions still open at the end of input are
     not emitted (append mode)."""
     base = run_dir(spark, "sessions")
-    src, out, ck = f"{base}/in", f"{base}/out", f"{base}/ck"
-    stage_files(polls.select("cell", "ts", "seq", "text"), src, "ts", parts)
-    s = spark.readStream.schema("cell long, ts timestamp, seq long, text string").option("maxFilesPerTrigger", 1).parquet(src)
+    stage(polls.select("cell", "ts", "seq"), base, "ts", parts)
+    s = source(spark, base, "cell long, ts timestamp, seq long")
     agg = (s.withWatermark("ts", delay).groupBy("cell", F.session_window("ts", gap).alias("w"))
             .agg(F.count(F.lit(1)).alias("polls")))
     agg = agg.select("cell", F.col("w.start").cast("double").alias("session_start"),
                      F.col("w.end").cast("double").alias("session_end"), F.col("polls").cast("bigint").alias("polls"))
-    q = (agg.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-            .outputMode("append").trigger(availableNow=True).start())
-    _await(q)
-    return spark.read.parquet(out)
+    run_in_parts(spark, base, sink(agg, base))
+    return spark.read.parquet(f"{base}/out")
 
 
 # -- R6 / R7: incremental keyed append ---------------------------------------------------
 
-def stream_append(spark: SparkSession, incoming: DataFrame, loaded: DataFrame, *, parts: int = 4,
-                  min_len: int = 10, run_date: str = "2026-01-06") -> DataFrame:
-    """foreachBatch: keep-first inside the batch -> anti-join against the sink
-    table -> append. Each batch writes its own ``batch_id`` partition in
-    dynamic-overwrite mode, so a replayed batch replaces itself (idempotent)."""
-    base = run_dir(spark, "append")
-    src, sink, ck = f"{base}/in", f"{base}/sink", f"{base}/ck"
-    cols = ["Date Added", "Source", "Intent", "Prompt", "Language", "seq"]
-    seed = loaded.select(F.lit(run_date).alias("Date Added"), F.lit("seed").alias("Source"), F.lit("").alias("Intent"),
-                         strip_ws(F.col("text")).alias("Prompt"), F.col("language").alias("Language"), "seq")
-    seed.withColumn("batch_id", F.lit(-1).cast("long")).write.partitionBy("batch_id").parquet(sink)
-    stage_files(incoming.select("seq", "text", "language"), src, "seq", parts)
-    s = spark.readStream.schema("seq long, text string, language string").option("maxFilesPerTrigger", 1).parquet(src)
+def append_job(spark: SparkSession, base: str, *, min_len: int = 10, run_date: str = "2026-01-06"):
+    """What one micro-batch does: keys of the batch (first copies), those that the sink's
+    index holds taken out, the rest labelled and written to the batch's own partition,
+    which a replay overwrites, and their keys added to the index. The sink's rows are not
+    read; a replayed batch looks its keys up in the batches before it."""
+    index = KeyIndex(spark, f"{base}/keys")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        from ..operators.harvest import incremental_append
-        existing = batch.sparkSession.read.parquet(sink).filter(F.col("batch_id") != batch_id) \
-                        .select(F.col("Prompt").alias("text"))
-        new = incremental_append(batch, existing, min_len=min_len, run_date=run_date).select(*cols)
-        (new.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink))
+        firsts = first_copies(batch, min_len=min_len)
+        new = firsts.join(index.known(firsts.select("key"), before=batch_id), "key", "left_anti").checkpoint()
+        rows = append_rows(batch, new, run_date=run_date)
+        (rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{base}/sink"))
+        index.add(new.select("key"), batch_id)
+
+    return per_batch
+
 
-    q = s.writeStream.foreachBatch(per_batch).option("checkpointLocation", ck).trigger(availableNow=True).start()
-    _await(q)
-    return spark.read.parquet(sink).filter(F.col("batch_id") >= 0).drop("batch_id")
+def seed_sink(loaded: DataFrame, base: str, *, run_date: str = "2026-01-06") -> None:
+    """Rows loaded before the stream, and their keys, as batch -1."""
+    rows = loaded.select(F.lit(run_date).alias("Date Added"), F.lit("seed").alias("Source"), F.lit("").alias("Intent"),
+                         strip_ws(F.col("text")).alias("Prompt"), F.col("language").alias("Language"), "seq")
+    rows.withColumn("batch_id", F.lit(-1).cast("long")).write.partitionBy("batch_id").parquet(f"{base}/sink")
+    keys = loaded.select(key_of(strip_ws(F.col("text"))).alias("key")).where("key is not null").distinct()
+    KeyIndex(loaded.sparkSession, f"{base}/keys").add(keys, -1)
+
+
+def stream_append(spark: SparkSession, incoming: DataFrame, loaded: DataFrame, *, parts: int = 4,
+                  min_len: int = 10, run_date: str = "2026-01-06") -> DataFrame:
+    """Keyed append on a stream (foreachBatch): only prompts that neither the sink nor an
+    earlier row holds are added."""
+    base = run_dir(spark, "append")
+    seed_sink(loaded, base, run_date=run_date)
+    stage(incoming.select("seq", "text", "language"), base, "seq", parts)
+    s = source(spark, base, "seq long, text string, language string")
+    job = append_job(spark, base, min_len=min_len, run_date=run_date)
+    run_in_parts(spark, base, lambda: s.writeStream.foreachBatch(job).option("checkpointLocation", f"{base}/ck")
+                 .trigger(availableNow=True).start())
+    return spark.read.parquet(f"{base}/sink").filter(F.col("batch_id") >= 0).drop("batch_id")
 
 
 # -- R9: running statistics --------------------------------------------------------------
@@ -126,11 +154,9 @@ def stream_stats(spark: SparkSession, attempts: DataFrame, *, parts: int = 4) ->
     """Per-system running counts over arriving attempts (complete mode); each
     trigger overwrites the small result table."""
     base = run_dir(spark, "stats")
-    src, out, ck = f"{base}/in", f"{base}/out", f"{base}/ck"
     slim = CO.with_status(attempts).select("prompt_id", "system", "attempt", "status", "latency_s")
-    stage_files(slim, src, "prompt_id", parts)
-    s = spark.readStream.schema("prompt_id long, system string, attempt long, status string, latency_s double") \
-             .option("maxFilesPerTrigger", 1).parquet(src)
+    stage(slim, base, "prompt_id", parts)
+    s = source(spark, base, "prompt_id long, system string, attempt long, status string, latency_s double")
     agg = s.groupBy("system").agg(
         F.count(F.lit(1)).cast("bigint").alias("queries"),
         F.count_if(F.col("status") == "ok").cast("bigint").alias("ok"),
@@ -138,196 +164,159 @@ def stream_stats(spark: SparkSession, attempts: DataFrame, *, parts: int = 4) ->
         F.count_if(F.col("status") == "error").cast("bigint").alias("errors"))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    q = (agg.writeStream.outputMode("complete").foreachBatch(per_batch).option("checkpointLocation", ck)
-            .trigger(availableNow=True).start())
-    _await(q)
-    return spark.read.parquet(out)
-
-
-# -- R2 / R3 / R5 exact: per-cell completion state machine --------------------------------
-
-QUIET_OUT = "cell long, status string, response string, latency_s double, done_at double"
-QUIET_STATE = "remembered string, run_start double, start double, done boolean"
-
-
-def _quiet_fn(gap_s: float, timeout_s: float, min_len: int, markers):
-    import pandas as pd
-
-    def fn(key, pdfs, state):
-        if state.exists:
-            rem, run_start, start, done = state.get
-        else:
-            rem, run_start, start, done = None, None, None, False
-        if done:
-            return
-        rows = pd.concat(list(pdfs)).sort_values(["t", "seq"])
-        out = []
-        for t, text in zip(rows["t"], rows["text"]):
-            if start is None:
-                start = t
-            if t - start >= timeout_s:
-                break
-            if any(m in text for m in markers):
-                rem, run_start = "", None
-                continue
-            if len(text) < min_len:
-                continue
-            if rem is not None and rem != "" and text == rem:
-                if t - run_start >= gap_s:
-                    out.append((key[0], "complete", text, run_start - start, t))
-                    done = True
-                    break
-            else:
-                rem, run_start = text, t
-        state.update((rem, run_start, start, done))
-        if out:
-            yield pd.DataFrame(out, columns=["cell", "status", "response", "latency_s", "done_at"])
-    return fn
-
-
-def stream_quiescence(spark: SparkSession, polls: DataFrame, *, gap_s: float, timeout_s: float,
-                      parts: int = 4, min_len: int = 30, markers=("Thinking", "Generating")) -> DataFrame:
-    """Exact completion detection on a stream: the change flag needs the
-    previous poll of the same cell, which a stream can only keep as state
-    (applyInPandasWithState keyed by cell; rows of one cell are ordered by
-    (ts, seq) inside each micro-batch and files arrive in time order).
-    Completed cells are emitted once."""
-    base = run_dir(spark, "quiet")
-    src, out, ck = f"{base}/in", f"{base}/out", f"{base}/ck"
-    stage_files(polls.select("cell", "ts", "seq", "text"), src, "ts", parts)
-    s = spark.readStream.schema("cell long, ts timestamp, seq long, text string").option("maxFilesPerTrigger", 1).parquet(src)
-    s = s.select("cell", "seq", "text", F.col("ts").cast("double").alias("t"))
-    res = s.groupBy("cell").applyInPandasWithState(_quiet_fn(gap_s, timeout_s, min_len, list(markers)),
-                                                   QUIET_OUT, QUIET_STATE, "append", "NoTimeout")
-    q = (res.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-            .outputMode("append").trigger(availableNow=True).start())
-    _await(q)
-    return spark.read.parquet(out)
-
-
-# -- R4: stable polls on a stream ------------------------------------------------------------
-
-STABLE_OUT = "cell long, status string, response string, done_seq long"
-STABLE_STATE = "last string, count long, done boolean"
-
-
-def _stable_fn(n: int, min_len: int):
-    import pandas as pd
-
-    def fn(key, pdfs, state):
-        last, count, done = state.get if state.exists else (None, 0, False)
-        if done:
-            return
-        rows = pd.concat(list(pdfs)).sort_values(["t", "seq"])
-        out = []
-        for seq, text in zip(rows["seq"], rows["text"]):
-            if text == last and len(text) > min_len:
-                count += 1
-                if count >= n:
-                    out.append((key[0], "complete", text, int(seq)))
-                    done = True
-                    break
-            else:
-                last, count = text, 0
-        state.update((last, count, done))
-        if out:
-            yield pd.DataFrame(out, columns=["cell", "status", "response", "done_seq"])
-    return fn
-
-
-def stream_stable_polls(spark: SparkSession, polls: DataFrame, *, n: int = 3, min_len: int = 20,
-                        parts: int = 4) -> DataFrame:
-    """Completion after ``n`` repeats of the same text, kept as per-cell state;
-    completed cells are emitted once."""
-    base = run_dir(spark, "stable")
-    src, out, ck = f"{base}/in", f"{base}/out", f"{base}/ck"
-    stage_files(polls.select("cell", "ts", "seq", "text"), src, "ts", parts)
-    s = spark.readStream.schema("cell long, ts timestamp, seq long, text string").option("maxFilesPerTrigger", 1).parquet(src)
-    s = s.select("cell", "seq", "text", F.col("ts").cast("double").alias("t"))
-    res = s.groupBy("cell").applyInPandasWithState(_stable_fn(n, min_len), STABLE_OUT, STABLE_STATE, "append", "NoTimeout")
-    q = (res.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-            .outputMode("append").trigger(availableNow=True).start())
-    _await(q)
-    return spark.read.parquet(out)
-
-
-# -- R8: timeouts on a stream (event-time state timeout) ---------------------------------------
-
-TIMEOUT_OUT = "cell long, status string, response string, latency_s double"
-TIMEOUT_STATE = "remembered string, run_start double, start double, repeated boolean, last_marker boolean, closed boolean"
-
-
-def _timeout_fn(gap_s: float, timeout_s: float, min_len: int, markers):
-    import pandas as pd
-
-    def verdict(cell, rem, run_start, start, repeated, last_marker):
-        if last_marker or rem is None or rem == "":
-            return (cell, "error", "ERROR: Timeout waiting for response", 0.0)
-        return (cell, "partial", rem, (run_start - start) if repeated else float(timeout_s))
-
-    def fn(key, pdfs, state):
-        cell = key[0]
-        if state.hasTimedOut:
-            rem, run_start, start, repeated, last_marker, closed = state.get
-            state.update((rem, run_start, start, repeated, last_marker, True))  # tombstone: no late restart
-            if not closed:
-                yield pd.DataFrame([verdict(cell, rem, run_start, start, repeated, last_marker)],
-                                   columns=["cell", "status", "response", "latency_s"])
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    run_in_parts(spark, base, lambda: agg.writeStream.outputMode("complete").foreachBatch(per_batch)
+                 .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
+    return spark.read.parquet(f"{base}/out")
+
+
+# -- R2 - R5, R8: completion of cells as keyed state ---------------------------------------
+
+OPEN = "last string, run_start double, start double, repeats long, marker boolean"
+POLLS = "cell long, ts timestamp, seq long, text string"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def advance(state: tuple | None, t: np.ndarray, text: np.ndarray, *, gap_s: float | None, stable: int | None, timeout_s: float,
+            min_len: int, markers: tuple[str, ...]) -> tuple[tuple, int | None, float | None]:
+    """Take a cell's polls, in order, into its state (last text, run start, first poll,
+    repeats in the run, marker seen last). Returns the state, the place of the poll that
+    completes the cell (the same text for ``gap_s`` seconds, or seen ``stable`` more
+    times), and when its run began. Runs are found on whole arrays."""
+    last, run_start, start, repeats, marker = state or (None, None, float(t[0]), 0, False)
+    live = t - start < timeout_s
+    is_marker = np.array([any(m in x for m in markers) for x in text], dtype=bool)
+    size = np.array([len(x) for x in text])
+    keep = np.flatnonzero(live & (is_marker | (size >= min_len)))
+    if not len(keep):
+        return (last, run_start, start, repeats, marker), None, None
+    mark, value, at = is_marker[keep], np.where(is_marker[keep], "", text[keep]).astype(object), t[keep]
+    before = np.concatenate([np.array([last], dtype=object), value[:-1]])
+    same = ~mark & (value == before)
+    if stable is not None:
+        same &= size[keep] > STABLE_MIN
+    place = np.arange(len(keep))
+    opened = np.maximum.accumulate(np.where(same, -1, place))
+    begun = np.where(opened >= 0, at[np.maximum(opened, 0)], np.nan if run_start is None else run_start)
+    times = np.where(opened >= 0, place - opened, place + 1 + repeats)
+    done = np.flatnonzero(same & ((at - begun >= gap_s) if stable is None else (times >= stable)))
+    k = int(done[0]) if len(done) else len(keep) - 1
+    state = (value[k], None if mark[k] else float(begun[k]), start, int(times[k]), bool(mark[k]))
+    return state, (int(keep[k]) if len(done) else None), (float(begun[k]) if len(done) else None)
+
+
+STABLE_MIN = 20
+
+
+class Cells(StatefulProcessor):
+    """One open cell is one state row. A cell that is complete, or whose deadline passes
+    in event time, leaves it; for ``keep_s`` seconds of event time only a mark remains, by
+    which later polls of the cell are passed over, and a timer takes it away."""
+
+    def __init__(self, emit: str, keep_s: float, **rules):
+        self.emit, self.keep_s, self.rules = emit, keep_s, rules
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", OPEN)
+        self.closed = handle.getValueState("closed", "since double")
+
+    def _row(self, key, status: str, text: str, latency: float | None, at: float | None, seq: int | None) -> pd.DataFrame:
+        return pd.DataFrame({"cell": [key[0]], "status": [status], "response": [text], "latency_s": [latency], "done_at": [at],
+                             "done_seq": pd.array([seq], dtype="Int64")})
+
+    def _close(self, at: float) -> None:
+        self.open.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.closed.update((at,))
+        self.handle.registerTimer(int((at + self.keep_s) * 1000))
+
+    def _late(self, key, state: tuple) -> pd.DataFrame:
+        last, run_start, start, repeats, marker = state
+        if marker or not last:
+            return self._row(key, "error", "ERROR: Timeout waiting for response", 0.0, None, None)
+        return self._row(key, "partial", last, run_start - start if repeats else float(self.rules["timeout_s"]), None, None)
+
+    def handleInputRows(self, key, rows, timerValues):
+        polls = pd.concat(list(rows))
+        if self.closed.exists():
             return
-        if state.exists:
-            rem, run_start, start, repeated, last_marker, closed = state.get
-        else:
-            rem, run_start, start, repeated, last_marker, closed = None, None, None, False, False, False
-        if closed:
+        polls = polls.sort_values(["t", "seq"])
+        held = self.open.get() if self.open.exists() else None
+        state, done, begun = advance(held, polls["t"].to_numpy(), polls["text"].to_numpy(dtype=object), **self.rules)
+        deadline = state[2] + self.rules["timeout_s"]
+        if done is not None:
+            poll = polls.iloc[done]
+            self._close(float(poll["t"]))
+            if self.emit == "complete":
+                yield self._row(key, "complete", poll["text"], begun - state[2], float(poll["t"]), int(poll["seq"]))
             return
-        rows = pd.concat(list(pdfs)).sort_values(["t", "seq"])
-        for t, text in zip(rows["t"], rows["text"]):
-            if start is None:
-                start = t
-            if t - start >= timeout_s:
-                break
-            if any(m in text for m in markers):
-                rem, run_start, repeated, last_marker = "", None, False, True
-                continue
-            if len(text) < min_len:
-                continue
-            last_marker = False
-            if rem and text == rem:
-                repeated = True
-                if t - run_start >= gap_s:
-                    closed = True  # completed: not a timeout
-                    break
-            else:
-                rem, run_start, repeated = text, t, False
-        deadline = int((start + timeout_s) * 1000)
-        if not closed and deadline <= state.getCurrentWatermarkMs():
-            # the deadline passed while this cell still had rows in flight
-            state.update((rem, run_start, start, repeated, last_marker, True))
-            yield pd.DataFrame([verdict(cell, rem, run_start, start, repeated, last_marker)],
-                               columns=["cell", "status", "response", "latency_s"])
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if deadline * 1000 <= max(watermark, 0):
+            self._close(deadline)
+            if self.emit == "late":
+                yield self._late(key, state)
             return
-        state.update((rem, run_start, start, repeated, last_marker, closed))
-        if not closed:
-            state.setTimeoutTimestamp(deadline)
-    return fn
-
-
-def stream_timeouts(spark: SparkSession, polls: DataFrame, *, gap_s: float, timeout_s: float,
-                    delay: str = "1 hour", parts: int = 4, min_len: int = 30,
-                    markers=("Thinking", "Generating")) -> DataFrame:
-    """Cells with no completion within ``timeout_s`` of their first poll get a
-    partial or error verdict when the watermark passes the deadline
-    (event-time state timeout); completed cells emit nothing here."""
-    base = run_dir(spark, "timeouts")
-    src, out, ck = f"{base}/in", f"{base}/out", f"{base}/ck"
-    stage_files(polls.select("cell", "ts", "seq", "text"), src, "ts", parts)
-    s = spark.readStream.schema("cell long, ts timestamp, seq long, text string").option("maxFilesPerTrigger", 1).parquet(src)
-    s = s.withWatermark("ts", delay).select("cell", "seq", "text", "ts", F.col("ts").cast("double").alias("t"))
-    res = s.groupBy("cell").applyInPandasWithState(_timeout_fn(gap_s, timeout_s, min_len, list(markers)),
-                                                   TIMEOUT_OUT, TIMEOUT_STATE, "append", "EventTimeTimeout")
-    q = (res.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-            .outputMode("append").trigger(availableNow=True).start())
-    _await(q)
-    return spark.read.parquet(out)
+        self.open.update(state)
+        if held is None and np.isfinite(deadline):
+            self.handle.registerTimer(int(deadline * 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.closed.exists():
+            self.closed.clear()
+        elif self.open.exists():
+            state = self.open.get()
+            self._close(state[2] + self.rules["timeout_s"])
+            if self.emit == "late":
+                yield self._late(key, state)
+
+    def close(self) -> None:
+        pass
+
+
+CELL_ROWS = "cell long, status string, response string, latency_s double, done_at double, done_seq long"
+
+
+def cells(spark: SparkSession, polls: DataFrame, name: str, emit: str, *, delay: str, parts: int, keep_s: float, base: str | None = None, **rules) -> DataFrame:
+    """Completion of cells by keyed state (transformWithState: value state and event-time
+    timers in the RocksDB store). ``emit``: complete cells, or late ones."""
+    base = base or run_dir(spark, name)
+    stage(polls.select("cell", "ts", "seq", F.coalesce("text", F.lit("")).alias("text")), base, "ts", parts)
+    s = source(spark, base, POLLS).withWatermark("ts", delay)
+    s = s.select("cell", "seq", "text", "ts", F.col("ts").cast("double").alias("t"))
+    out = s.groupBy("cell").transformWithStateInPandas(Cells(emit, keep_s, **rules), CELL_ROWS, "append", "EventTime")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        run_in_parts(spark, base, sink(out, base))
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(f"{base}/out")
+
+
+LONG = 10.0 * 365 * 86400  # seconds
+
+
+def stream_quiescence(spark: SparkSession, polls: DataFrame, *, gap_s: float, timeout_s: float, delay: str = "1 hour",
+                      parts: int = 4, min_len: int = 30, markers=("Thinking", "Generating"), keep_s: float = LONG) -> DataFrame:
+    """Completion of a cell: the same text for ``gap_s`` seconds since its last change."""
+    return cells(spark, polls, "quiet", "complete", delay=delay, parts=parts, keep_s=keep_s, gap_s=gap_s, stable=None,
+                 timeout_s=timeout_s, min_len=min_len, markers=tuple(markers)).drop("done_seq")
+
+
+def stream_stable_polls(spark: SparkSession, polls: DataFrame, *, n: int = 3, delay: str = "1 hour",
+                        parts: int = 4, keep_s: float = LONG) -> DataFrame:
+    """Completion after ``n`` repeats of the same text."""
+    return cells(spark, polls, "stable", "complete", delay=delay, parts=parts, keep_s=keep_s, gap_s=None, stable=n,
+                 timeout_s=float("inf"), min_len=0, markers=()).select("cell", "status", "response", "done_seq")
+
+
+def stream_timeouts(spark: SparkSession, polls: DataFrame, *, gap_s: float, timeout_s: float, delay: str = "1 hour",
+                    parts: int = 4, min_len: int = 30, markers=("Thinking", "Generating"), keep_s: float = LONG) -> DataFrame:
+    """Cells with no completion within ``timeout_s`` of their first poll get a partial or
+    error verdict when the watermark passes the deadline; complete cells emit nothing here."""
+    return cells(spark, polls, "timeouts", "late", delay=delay, parts=parts, keep_s=keep_s, gap_s=gap_s, stable=None,
+                 timeout_s=timeout_s, min_len=min_len, markers=tuple(markers)).select("cell", "status", "response", "latency_s")
