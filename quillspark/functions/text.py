@@ -3,9 +3,10 @@ codegen-friendly); none of them is a Python UDF."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode white space as Python's str.split()/str.strip() see it. Java and
@@ -39,17 +40,58 @@ def md5int(c) -> Column:
     return F.conv(F.substring(F.md5(col_(c)), 1, 8), 16, 10).cast("bigint")
 
 
+def keyword_pattern(keywords: Sequence[str]) -> str:
+    """A pattern that finds, at every place of a text, the longest keyword that starts
+    there: the keywords' trie, one branch per next character, longer before shorter."""
+    trie: dict = {}
+    for k in keywords:
+        node = trie
+        for ch in k:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        inner = {ch: sub for ch, sub in node.items() if ch}
+        if not inner:
+            return ""
+        parts = [(ch, re.escape(ch) + pattern(sub)) for ch, sub in sorted(inner.items())]
+        if len(parts) == 1 and "" not in node:
+            return parts[0][1]
+        return either(parts) + ("?" if "" in node else "")
+
+    def either(parts: list[tuple[str, str]]) -> str:  # by halves, so that few branches are tried
+        if len(parts) <= 3:
+            return f"(?:{'|'.join(p for _, p in parts)})"
+        half = len(parts) // 2
+        chars = "".join(re.escape(ch) for ch, _ in parts[:half])
+        return f"(?:(?=[{chars}]){either(parts[:half])}|{either(parts[half:])})"
+
+    return f"(?=({pattern(trie)}))"
+
+
 class KeywordFlags:
-    """Presence of every distinct keyword, tested once per row into one
+    """Presence of every distinct keyword, found in one pass per row into one
     boolean array column; label expressions read array elements instead of
-    scanning the text again for keywords shared between vocabularies."""
+    scanning the text again. The pass collects the longest keyword at every
+    place; a keyword is there if one is found that begins with it."""
 
     def __init__(self, lower_col: str, keywords, out: str = "_kw"):
-        self.lower, self.out = lower_col, out
+        self.lower, self.out, self.found = lower_col, out, f"{out}_found"
         self.pos = {k: i + 1 for i, k in enumerate(dict.fromkeys(keywords))}
 
-    def column(self) -> Column:
-        return F.array(*[F.col(self.lower).contains(k) for k in self.pos])
+    def add_to(self, df: DataFrame) -> DataFrame:
+        """``df`` with the flags."""
+        if not self.pos:
+            return df.withColumn(self.out, F.array().cast("array<boolean>"))
+        found = F.array_distinct(F.regexp_extract_all(F.col(self.lower), F.lit(keyword_pattern(self.pos)), F.lit(1)))
+
+        def flag(k: str) -> Column:
+            longer = [x for x in self.pos if x.startswith(k)]
+            if len(longer) == 1:
+                return F.array_contains(self.found, k)
+            return F.arrays_overlap(self.found, F.array(*[F.lit(x) for x in longer]))
+
+        return df.withColumn(self.found, found).withColumn(self.out, F.array(*[flag(k) for k in self.pos])).drop(self.found)
 
     def has(self, kw: str) -> Column:
         if kw in self.pos:

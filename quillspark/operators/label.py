@@ -36,7 +36,7 @@ def vocabulary_keywords(*vocabs) -> list[str]:
 
 def with_keyword_flags(df: DataFrame, keywords, lower: str = LOWER) -> tuple[DataFrame, KeywordFlags]:
     kw = KeywordFlags(lower, keywords)
-    return df.withColumn(kw.out, kw.column()), kw
+    return kw.add_to(df), kw
 
 
 # -- intent ------------------------------------------------------------------
