@@ -2,10 +2,12 @@
 prompt, attach the best document (or a generated context), count outcomes,
 and build the exact text sent to a system.
 
-The catalogue is a small configuration table. It is merged (later group wins
-on an id clash, first position kept), size-checked, and compiled into one
-literal expression per document, so scoring is a narrow per-row projection:
-no join, no pairs materialised, nothing shuffled.
+The catalogue is merged (later group wins on an id clash, first position kept).
+A small one (``MAX_INLINE_DOCS``) is compiled into one literal expression per
+document, so scoring is a narrow per-row projection: no join, no pairs
+materialised, nothing shuffled. A larger one is matched through an inverted
+index (``match_indexed``): terms and description words meet the texts by their
+first characters, and only documents that some term touches are scored.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.text import WS
 from .generate import fill
 
-MAX_INLINE_DOCS = 2000  # catalogue size bound for the in-expression matcher
+MAX_INLINE_DOCS = 2000  # larger catalogues are matched by the index
 
 # Our catalogue: (group, id, url, description, topics, document_type, industry)
 CATALOG = [
@@ -110,11 +112,10 @@ def merge_catalogs(cat: DataFrame) -> DataFrame:
                .select("ord", "doc_id", "d.*"))
 
 
-def load_catalog(merged: DataFrame) -> list[dict]:
-    """Bring the merged catalogue to the driver only after checking its size."""
-    n = merged.count()
-    if n > MAX_INLINE_DOCS:
-        raise ValueError(f"catalogue has {n} entries; the in-expression matcher is bounded to {MAX_INLINE_DOCS}")
+def load_catalog(merged: DataFrame) -> list[dict] | DataFrame:
+    """A small catalogue as rows on the driver, after checking its size; a larger one as it is."""
+    if merged.limit(MAX_INLINE_DOCS + 1).count() > MAX_INLINE_DOCS:
+        return merged
     return [r.asDict() for r in merged.orderBy("ord").collect()]
 
 
@@ -144,12 +145,14 @@ def doc_score(h: Column, words: Column, action: Column, scenario: Column, d: dic
     return score
 
 
-def match_documents(df: DataFrame, docs: list[dict], *, action="action", obj="object", scenario="scenario",
+def match_documents(df: DataFrame, docs: list[dict] | DataFrame, *, action="action", obj="object", scenario="scenario",
                     prompt="synthetic_prompt") -> DataFrame:
     """Best document per row: highest score, first catalogue entry on ties,
     kept only when the score reaches MIN_SCORE. Adds doc_id, doc_url,
     doc_score (null when nothing qualifies)."""
     h = F.lower(F.concat_ws(" ", F.col(action), F.col(obj), F.col(scenario), F.col(prompt)))
+    if isinstance(docs, DataFrame):
+        return match_indexed(df, docs, h, F.col(action), F.col(scenario))
     df = df.withColumn("_h", h).withColumn("_w", F.filter(F.split(F.col("_h"), WS), lambda w: w != ""))
     cands = [F.struct(doc_score(F.col("_h"), F.col("_w"), F.col(action), F.col(scenario), d).alias("score"),
                       F.lit(-i).alias("neg_ord"), F.lit(d["doc_id"]).alias("doc_id"), F.lit(d["url"]).alias("url"),
@@ -167,11 +170,83 @@ def match_documents(df: DataFrame, docs: list[dict], *, action="action", obj="ob
     }).drop("_best")
 
 
+HEAD, WORD_HEAD = 4, 5  # characters by which terms and description words are looked up
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Distinct stretches of ``n`` characters."""
+    spots = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(spots, lambda i: F.substring(text, i, F.lit(n))))
+
+
+def catalog_terms(docs: DataFrame) -> DataFrame:
+    """Postings (term, ord, points): topics, their longer words and the industry."""
+    topics = F.transform(F.coalesce("topics", F.array().cast("array<string>")), lambda t: F.lower(F.replace(t, F.lit("_"), F.lit(" "))))
+    point = lambda term, n: F.struct(term.alias("term"), F.lit(n).alias("points"))
+    found = F.concat(F.transform(topics, lambda t: point(t, TOPIC_HIT)),
+                     F.flatten(F.transform(topics, lambda t: F.transform(F.filter(F.split(t, WS), lambda w: F.length(w) > 3), lambda w: point(w, TOPIC_WORD)))),
+                     F.array(point(F.lower(F.coalesce("industry", F.lit(""))), INDUSTRY_HIT)))
+    rows = docs.select("ord", F.explode(found).alias("x")).select("ord", "x.term", "x.points")
+    return rows.where("term <> ''").groupBy("term", "ord").agg(F.sum("points").alias("points"))
+
+
+def match_indexed(df: DataFrame, merged: DataFrame, h: Column, action: Column, scenario: Column) -> DataFrame:
+    """``match_documents`` for catalogues of any size.
+
+    A document scores above its untouched score only through a term in the text or a
+    word of the text in its description, so the inverted index names every document
+    that can. Untouched, documents of one type score alike (their type's boosts and
+    what empty topics give), so the best of each type stands for all of them: that is
+    the bound on what the index leaves out. The candidates are scored exactly."""
+    rows = df.withColumns({"_h": h, "_a": F.upper(action), "_s": F.lower(F.coalesce(scenario, F.lit("")))})
+    rows = rows.withColumn("_k", F.md5(F.to_json(F.struct("_h", "_a", "_s"))))
+    texts = rows.select("_k", "_h", "_a", "_s").dropDuplicates(["_k"])
+    docs = merged.select("*", F.lower(F.coalesce("description", F.lit(""))).alias("_desc"), (TOPIC_HIT * F.size(F.filter(
+        F.coalesce("topics", F.array().cast("array<string>")), lambda t: t == ""))).alias("_base"))
+    # terms in the texts, by their first characters
+    postings = catalog_terms(docs)
+    terms = postings.select("term").distinct().withColumn("head", F.left("term", F.lit(HEAD)))
+    sizes = sorted(r[0] for r in terms.select(F.length("head")).distinct().collect())  # at most HEAD numbers
+    heads = F.flatten(F.array(*[_grams(F.col("_h"), n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    met = texts.select("_k", F.explode(heads).alias("head")).join(terms, "head").select("_k", "term")
+    by_term = (met.join(texts.select("_k", "_h"), "_k").where(F.contains("_h", "term")).join(postings, "term")
+                  .select("_k", "ord", "points"))
+    # words of the texts in descriptions
+    words = (texts.select("_k", F.explode(F.filter(F.split("_h", WS), lambda w: F.length(w) >= WORD_HEAD)).alias("word"))
+                  .groupBy("_k", "word").agg(F.count("*").alias("n")))
+    parts = docs.select("ord", F.explode(_grams(F.col("_desc"), WORD_HEAD)).alias("head"))
+    hits = (words.select("word").distinct().withColumn("head", F.left("word", F.lit(WORD_HEAD))).join(parts, "head")
+                 .join(docs.select("ord", "_desc"), "ord").where(F.contains("_desc", "word")).select("word", "ord"))
+    by_word = words.join(hits, "word").select("_k", "ord", (F.col("n") * DESC_WORD).alias("points"))
+    # the best untouched document of each type that some boost names, and of all others
+    named = sorted({t for _, types, _ in ACTION_BOOSTS + SCENARIO_BOOSTS for t in types})
+    kind = F.when(F.col("document_type").isin(named), F.col("document_type")).otherwise("")
+    best = [r["ord"] for r in docs.groupBy(kind.alias("kind")).agg(F.max(F.struct("_base", -F.col("ord"))).alias("b"))
+            .select((-F.col("b.col2")).alias("ord")).collect()]  # at most one per type named
+    rest = texts.select("_k", F.explode(F.array(*[F.lit(o) for o in best]) if best else F.array().cast("array<int>")).alias("ord"), F.lit(0).alias("points"))
+    touched = by_term.unionByName(by_word).unionByName(rest).groupBy("_k", "ord").agg(F.sum("points").alias("points"))
+    boost = F.lit(0)
+    for acts, types, points in ACTION_BOOSTS:
+        boost = boost + F.when(F.col("document_type").isin(types) & F.col("_a").isin(acts), points).otherwise(0)
+    for kws, types, points in SCENARIO_BOOSTS:
+        said = F.lit(False)
+        for k in kws:
+            said = said | F.col("_s").contains(k)
+        boost = boost + F.when(F.col("document_type").isin(types) & said, points).otherwise(0)
+    scored = touched.join(docs.select("ord", "_base", "document_type"), "ord").join(texts.select("_k", "_a", "_s"), "_k")
+    won = (scored.groupBy("_k").agg(F.max(F.struct((F.col("points") + F.col("_base") + boost).alias("score"), (-F.col("ord")).alias("neg_ord"))).alias("_w"))
+                 .where(F.col("_w.score") >= MIN_SCORE).select("_k", F.col("_w.score").alias("score"), (-F.col("_w.neg_ord")).alias("ord")))
+    named_best = won.join(merged, "ord").select("_k", F.struct("score", (-F.col("ord")).alias("neg_ord"), "doc_id", "url", "description",
+                                                               "document_type", "industry").alias("_doc"))
+    return (rows.join(named_best, "_k", "left").drop("_h", "_a", "_s", "_k")
+                .withColumns({"doc_id": F.col("_doc.doc_id"), "doc_url": F.col("_doc.url"), "doc_score": F.col("_doc.score").cast("bigint")}))
+
+
 def _title(c: Column) -> Column:
     return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
 
 
-def enrich(df: DataFrame, docs: list[dict], *, key: str = "synthetic_prompt_id") -> DataFrame:
+def enrich(df: DataFrame, docs: list[dict] | DataFrame, *, key: str = "synthetic_prompt_id") -> DataFrame:
     """Fallback chain: existing long context kept -> public document ->
     generated context -> none required. Adds context_url,
     context_source_type, context_text, has_context_text."""
