@@ -11,6 +11,8 @@ with at least 2 systems judged; win rate = wins / judged prompts.
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,31 +116,60 @@ def blind_labels(pairs: DataFrame, seed: str = "blind") -> DataFrame:
                 .withColumn("label", F.char((F.row_number().over(w) + 64).cast("bigint")))
 
 
+PERCENTILES = (("p50_s", 0.5), ("p90_s", 0.9), ("p95_s", 0.95))
+CELLS = 512  # ranges that an interval is counted into
+
+
+def value_at_ranks(values: DataFrame, group: str, value: str, ranks: dict) -> dict:
+    """{(group, rank): value} for 0-based ranks among each group's ascending values, exactly;
+    ``ranks`` names a few ranks per group.
+
+    Every wanted rank has an interval of values that holds it. A round counts the values of
+    all open intervals into ``CELLS`` ranges each, with the least and greatest value of each
+    range: one aggregate, combined map-side, with at most CELLS rows per interval. The search
+    goes on between the least and greatest value of the range that holds the rank, until they
+    are one. Nothing is sorted, and no task holds a group's values."""
+    spark = values.sparkSession
+    rows = values.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    spans = {r["g"]: (r["lo"], r["hi"]) for r in rows.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    state = {(g, r): (*spans[g], r) for g, rs in ranks.items() for r in rs if g in spans}
+    while open_ := sorted({(k[0], lo, hi) for k, (lo, hi, _) in state.items() if lo < hi}, key=str):
+        number = {x: i for i, x in enumerate(open_)}
+        table = spark.createDataFrame([(i, *x) for x, i in number.items()], f"i int, h {rows.schema['g'].dataType.simpleString()}, lo double, hi double")
+        cell = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") / CELLS - F.col("lo") / CELLS)), F.lit(CELLS - 1).cast("bigint"))
+        met = rows.join(F.broadcast(table), rows["g"].eqNullSafe(table["h"])).where("v >= lo and v <= hi")
+        counted: dict = {}
+        for r in met.groupBy("i", cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect():
+            counted.setdefault(r["i"], []).append((r["cell"], r["n"], r["a"], r["b"]))
+        for key, (lo, hi, left) in state.items():
+            for _, n, a, b in sorted(counted.get(number.get((key[0], lo, hi)), [])):
+                if left < n:
+                    state[key] = (a, b, left)
+                    break
+                left -= n
+    return {key: lo for key, (lo, _, _) in state.items()}
+
+
 def latency_profile(cells: DataFrame) -> DataFrame:
     """Count, mean and exact interpolated percentiles of the usable latencies of
-    each system. Equal latencies are counted first (hash aggregate); a running
-    count then places the percentiles, so no task holds a buffer of all values."""
-    steps = (cells.filter(F.col("status") == "ok").groupBy("system", "latency_s")
-                  .agg(F.count(F.lit(1)).alias("c")))
-    known = F.when(F.col("latency_s").isNotNull(), F.col("c"))
-    totals = steps.groupBy("system").agg(
-        F.sum("c").alias("n"), F.sum(known).alias("seen"),
-        F.round(F.sum(F.col("latency_s") * F.col("c")) / F.sum(known), 4).alias("avg_s"))
-    upto = Window.partitionBy("system").orderBy("latency_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = steps.filter(F.col("latency_s").isNotNull()).withColumn("upto", F.sum("c").over(upto))
-
-    def at(k):
-        return F.min(F.when(F.col("upto") > k, F.col("latency_s")))
-
-    def percentile(p: float):
-        pos = F.lit(p) * (F.col("seen") - 1)
-        part = pos - F.floor(pos)
-        return F.round(at(F.floor(pos)) * (1 - part) + at(F.ceil(pos)) * part, 4)
-
-    return (totals.join(placed.select("system", "latency_s", "upto"), "system", "left")
-            .groupBy("system", "n", "avg_s", "seen")
-            .agg(percentile(0.5).alias("p50_s"), percentile(0.9).alias("p90_s"), percentile(0.95).alias("p95_s"))
-            .select("system", F.col("n").cast("bigint").alias("n"), "avg_s", "p50_s", "p90_s", "p95_s"))
+    each system, the percentiles by repeated range counts. One row per system passes
+    the driver."""
+    ok = cells.filter(F.col("status") == "ok").select("system", "latency_s")
+    totals = ok.groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.count("latency_s").alias("seen"), F.round(F.avg("latency_s"), 4).alias("avg_s")).collect()
+    ranks = {r["system"]: sorted({f(p * (r["seen"] - 1)) for _, p in PERCENTILES for f in (floor, ceil)}) for r in totals if r["seen"]}
+    at = value_at_ranks(ok, "system", "latency_s", ranks)
+    names = [n for n, _ in PERCENTILES]
+    rows = []
+    for r in totals:
+        found = []
+        for _, p in PERCENTILES:
+            place = p * (r["seen"] - 1)
+            ends = (at[r["system"], floor(place)], at[r["system"], ceil(place)]) if r["seen"] else (None, None)
+            found += [*ends, place - floor(place)]
+        rows.append((r["system"], r["n"], r["avg_s"], *found))
+    kind = ", ".join(f"{n}_{x} double" for n in names for x in ("lo", "hi", "part"))
+    out = cells.sparkSession.createDataFrame(rows, f"system string, n bigint, avg_s double, {kind}")
+    return out.select("system", "n", "avg_s", *[F.round(F.col(f"{n}_lo") * (1 - F.col(f"{n}_part")) + F.col(f"{n}_hi") * F.col(f"{n}_part"), 4).alias(n) for n in names])
 
 
 def robustness(sc: DataFrame, family: DataFrame) -> DataFrame:
