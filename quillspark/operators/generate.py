@@ -148,27 +148,26 @@ def flag_lines(flags: dict[str, bool] | None = None) -> Column:
     return F.array_join(F.array_compact(F.array(*lines)), "\n")
 
 
+#: FIXED VALUES: keys of a generated item, as the response parser reads them.
+RESPONSE_KEYS = ("prompt", "variant_type", "complexity_level", "expected_response_criteria", "evaluation_dimensions")
+
+
 def request_text(intents: DataFrame, *, n: int = 10, flags: dict[str, bool] | None = None,
                  max_intents: int | None = None) -> DataFrame:
     """One generation request per intent (first ``max_intents`` by id when set),
-    with blank response columns added."""
+    with blank response columns added: lines of what is wanted, of which intent
+    (what it lacks is left out), its class, its usage and the rules to obey."""
     df = intents
     if max_intents is not None:
         df = df.orderBy("intent_id").limit(max_intents)
     an = analyze_intents(df).select("intent_id", "action_category", "object_category", "semantic_signature")
     df = df.join(an, "intent_id")
-    spec = lambda c: F.when((F.col(c) != "") & (F.col(c) != "?"), F.col(c)).otherwise(F.lit("Not specified"))
+    part = lambda c, before: F.when(~F.coalesce(F.col(c), F.lit("")).isin("", "?"), F.concat(F.lit(before), F.col(c))).otherwise("")
     text = F.concat(
-        F.lit(f"Write {n} varied test prompts for this intent.\n\nIntent\n- Action: "), F.col("action"),
-        F.lit("\n- Object: "), spec("object"), F.lit("\n- Subject: "), spec("subject"),
-        F.lit("\n- Output: "), F.when(F.col("output") != "", F.col("output")).otherwise(F.lit("Not specified")),
-        F.lit("\n\nAnalysis\n- Action category: "), F.col("action_category"),
-        F.lit("\n- Object category: "), F.col("object_category"),
-        F.lit("\n- Signature: "), F.col("semantic_signature"),
-        F.lit("\n\nUsage\n"), quality_context(df),
-        F.lit("\n\nRules\n"), flag_lines(flags),
-        F.lit(f"\n\nReturn a JSON array of {n} objects with prompt, variant_type, complexity_level, "
-              "expected_response_criteria and evaluation_dimensions."))
+        F.lit(f"write_prompts count={n} keys={','.join(RESPONSE_KEYS)}\nintent: "), F.col("action"), part("object", " / "),
+        part("subject", " / "), part("output", " -> "),
+        F.lit("\nclass: "), F.col("action_category"), F.lit(" on "), F.col("object_category"), F.lit(", "), F.col("semantic_signature"),
+        F.lit("\nseen: "), quality_context(df), F.lit("\nobey:\n"), flag_lines(flags))
     return df.select("intent_id", text.alias("request"),
                      F.lit(None).cast("string").alias("response"), F.lit(None).cast("string").alias("error"))
 

@@ -370,8 +370,8 @@ UNION ALL SELECT 'action_category', action_category, count(*)::BIGINT FROM a GRO
 
 
 def request_sql() -> str:
-    def spec(c):
-        return f"CASE WHEN {c} <> '' AND {c} <> '?' THEN {c} ELSE 'Not specified' END"
+    def part(c, before):
+        return f"CASE WHEN coalesce({c}, '') NOT IN ('', '?') THEN '{before}' || {c} ELSE '' END"
     a = analysis_sql().replace(f"WITH {typed_sql()}\n", "")
     rates = ", ".join(f"CASE WHEN {c} NOT IN ('', '0%') THEN '{c}=' || {c} END" for c in ("apology_rate", "no_citation_rate"))
     qc = ("array_to_string(list_filter(['user_count=' || user_count, 'pct_users=' || pct_users, "
@@ -379,14 +379,9 @@ def request_sql() -> str:
           f"CASE WHEN sat_rate <> '' THEN 'sat_rate=' || sat_rate END, {rates}], lambda x: x IS NOT NULL), '; ')")
     flags = q("\n".join(line for _, line in TP.GENERATION_FLAGS if line is not None))
     nl = "chr(10)"
-    text = (f"'Write 10 varied test prompts for this intent.' || {nl} || {nl} || 'Intent' || {nl} || '- Action: ' || c.action"
-            f" || {nl} || '- Object: ' || {spec('c.object')} || {nl} || '- Subject: ' || {spec('c.subject')}"
-            f" || {nl} || '- Output: ' || CASE WHEN c.output <> '' THEN c.output ELSE 'Not specified' END"
-            f" || {nl} || {nl} || 'Analysis' || {nl} || '- Action category: ' || an.action_category"
-            f" || {nl} || '- Object category: ' || an.object_category || {nl} || '- Signature: ' || an.semantic_signature"
-            f" || {nl} || {nl} || 'Usage' || {nl} || {qc} || {nl} || {nl} || 'Rules' || {nl} || {flags}"
-            f" || {nl} || {nl} || 'Return a JSON array of 10 objects with prompt, variant_type, complexity_level, "
-            "expected_response_criteria and evaluation_dimensions.'")
+    text = (f"'write_prompts count=10 keys={','.join(G.RESPONSE_KEYS)}' || {nl} || 'intent: ' || c.action || {part('c.object', ' / ')}"
+            f" || {part('c.subject', ' / ')} || {part('c.output', ' -> ')} || {nl} || 'class: ' || an.action_category || ' on ' || an.object_category"
+            f" || ', ' || an.semantic_signature || {nl} || 'seen: ' || {qc} || {nl} || 'obey:' || {nl} || {flags}")
     return f"""WITH {typed_sql()}, an AS ({a})
 SELECT c.intent_id, {text} AS request, NULL::VARCHAR AS response, NULL::VARCHAR AS error
 FROM clean c JOIN an USING (intent_id)"""

@@ -75,36 +75,36 @@ V2_SLOTS = [
 
 # v1: random template pick (seeded), three subject-aware lists
 V1_TEMPLATES = {
-    "direct_request": ["Please {verb} {obj}.", "Can you {verb} {obj}?", "{Action} {obj} now.",
-                       "I need {noun} {obj}.", "Quickly {verb} {obj}."],
-    "contextual": ["For {ctx}, {verb} {obj}.", "Before {ctx}, I have to {verb} {obj}.",
-                   "My manager asked me to {verb} {obj} for {ctx}.", "Help me {verb} {obj} for {ctx}.",
-                   "As part of {ctx}, {verb} {obj}."],
-    "conditional": ["{Action} {obj} if it is ready.", "Only {verb} {obj} when it changed.",
-                    "If possible, {verb} {obj} today.", "{Action} {obj}, unless it is empty.",
-                    "When you can, {verb} {obj}."],
-    "multi_step": ["{Action} {obj}, then share it.", "First {verb} {obj}; next, list actions.",
-                   "{Action} {obj} and then email the team.", "Step one: {verb} {obj}. Step two: review.",
-                   "{Action} {obj} and file it."],
-    "analytical": ["{Action} {obj} and explain the drivers.", "What does {obj} tell us? {Action} it.",
-                   "{Action} {obj} and rank the issues.", "Dig into {obj} and {verb} the key facts.",
-                   "{Action} {obj} with reasons."],
-    "comparative": ["{Action} {obj} versus last time.", "Compare options and {verb} {obj}.",
-                    "{Action} {obj} next to the plan.", "Which {obj} is better? {Action} both.",
-                    "{Action} {obj} side by side."],
-    "hypothetical": ["Imagine a tight deadline: {verb} {obj}.", "What if we had to {verb} {obj} today?",
-                     "Pretend I am new and {verb} {obj}.", "If budgets shrink, how to {verb} {obj}?",
-                     "Assume no help: {verb} {obj}."],
-    "creative": ["{Action} {obj} as a story.", "Make {obj} fun: {verb} it.", "{Action} {obj} in rhyme.",
-                 "Give {obj} a fresh angle and {verb} it.", "{Action} {obj} with a twist."],
+    "direct_request": ["Next on my list: {verb} {obj}.", "{Action} {obj}, nothing else.", "One job for you, {verb} {obj}.",
+                       "Today I want {noun} {obj}.", "{Action} all of {obj}."],
+    "contextual": ["We are in the middle of {ctx}: {verb} {obj}.", "{ctx} is coming up, so {verb} {obj}.",
+                   "{Action} {obj}; it feeds into {ctx}.", "Nobody prepared {obj} for {ctx} yet, {verb} it.",
+                   "{Action} {obj} in the light of {ctx}."],
+    "conditional": ["{Action} {obj} once the numbers are final.", "No change since Monday? Then skip it, else {verb} {obj}.",
+                    "{Action} {obj} provided that it is complete.", "Where {obj} has gaps, name them, then {verb} it.",
+                    "{Action} {obj} as long as it stays under a page."],
+    "multi_step": ["{Action} {obj}, then list who must act.", "Sort {obj} by date, {verb} it, and draft a reply.",
+                   "Three steps: open {obj}, {verb} it, check the totals.", "{Action} {obj}; afterwards write two questions about it.",
+                   "Clean up {obj} first and {verb} it after that."],
+    "analytical": ["{Action} {obj} and weigh the causes.", "Which pattern runs through {obj}? {Action} it.",
+                   "{Action} {obj}, worst problem on top.", "Test the claims in {obj} and {verb} what holds.",
+                   "{Action} {obj}; show how you got there."],
+    "comparative": ["{Action} {obj} beside last quarter's.", "Put two versions of {obj} next to each other and {verb} both.",
+                    "{Action} {obj} and mark every difference to the plan.", "Old or new {obj}: {verb} the stronger one.",
+                    "{Action} {obj} in a table of pros and cons."],
+    "hypothetical": ["Half the team is away: {verb} {obj} anyway.", "Say the launch slips a month; {verb} {obj} for that case.",
+                     "You join us tomorrow. {Action} {obj} to get started.", "With twice the money, how would you {verb} {obj}?",
+                     "No network for a day: {verb} {obj} from memory."],
+    "creative": ["{Action} {obj} as a headline.", "Tell {obj} to a ten-year-old: {verb} it.", "{Action} {obj} in five emoji and a line.",
+                 "A poster about {obj}: {verb} it.", "{Action} {obj} like a weather report."],
 }
 V1_SUBJECT_TEMPLATES = {
-    "direct_request": ["Please {verb} {obj} about {subject}.", "Can you {verb} {obj} on {subject}?",
-                       "{Action} {obj} covering {subject}."],
-    "contextual": ["For {ctx}, {verb} {obj} about {subject}.", "Help me {verb} {obj} on {subject} for {ctx}.",
-                   "Before {ctx}, {verb} {obj} regarding {subject}."],
-    "analytical": ["{Action} {obj} about {subject} and explain why.",
-                   "Break down {obj} on {subject}; {verb} it.", "{Action} {obj} on {subject} with evidence."],
+    "direct_request": ["{Action} the part of {obj} that deals with {subject}.", "{subject} only: {verb} {obj}.",
+                       "Within {obj}, find {subject} and {verb} it."],
+    "contextual": ["{ctx} will turn on {subject}; {verb} {obj}.", "{Action} {obj}, seen from {subject}, ahead of {ctx}.",
+                   "They will ask about {subject} at {ctx}. {Action} {obj}."],
+    "analytical": ["{Action} {obj}: how much of it is due to {subject}?",
+                   "Trace {subject} through {obj} and {verb} it.", "{Action} {obj} and back each point on {subject}."],
 }
 V1_OUTPUT_SUFFIXES = [" Return {output}.", " Format as {output}.", " Use {output} for the answer."]
 
@@ -148,11 +148,11 @@ V3_CONTEXT_RULES = [
 ]
 V3_CONTEXT_DEFAULT = "technical_document"
 CONTEXT_BODIES = {
-    "meeting_notes": "Meeting notes, {project}, with {team}: {Action} discussion for {obj}. Decisions pending.",
-    "email_thread": "Email thread. Subject: {project} - {obj}. Please review the {obj} changes this week.",
-    "project_report": "Status report for {project}: on track, two risks open, next review {deadline}.",
-    "policy_document": "{obj} guidelines: scope, roles, approvals and exceptions for {team}.",
-    "technical_document": "{project} - {obj} technical notes: inputs, outputs, limits and owners.",
+    "meeting_notes": "{project}, Tuesday, 40 minutes. In the room: {team}. Agenda point two, {obj}: {Action} it before we vote.",
+    "email_thread": "> {team} wrote: the numbers on {obj} moved again. > Reply: then {project} needs a new version by {deadline}.",
+    "project_report": "{project} in week nine. Done: six of eight parts. Late: the supplier. {deadline}: next gate.",
+    "policy_document": "Rule 4 on {obj}. Who may sign: {team}. What must be kept: two years of records. Exceptions go to the owner.",
+    "technical_document": "How {obj} works inside {project}: one table in, one table out, nightly, at most 2 GB.",
 }
 # FIXED VALUES: actions that need a context document
 ACTIONS_NEEDING_CONTEXT = ["SUMMARIZE", "EXPLAIN", "REVIEW", "ANALYZE", "ASSESS", "EVALUATE",
