@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from . import (collect_plans, context_plans, evaluate_plans, generate_plans, harvest_plans, io_plans, misc_plans,
-               stream_plans)
+               source_plans, stream_plans)
 
 _MODULES = [harvest_plans, generate_plans, context_plans, collect_plans, evaluate_plans, stream_plans, io_plans,
-            misc_plans]
+            misc_plans, source_plans]
 
 
 def _with_checkpoint_dir(fn):
