@@ -143,7 +143,8 @@ def incremental_append(incoming: DataFrame, loaded: DataFrame, *, min_len: int =
 
 
 def label_prompts(df: DataFrame, *, mode: str = "full", run_date: str = "2026-01-06") -> DataFrame:
-    """All row labels of the harvested record (no shuffle)."""
+    """All row labels of the harvested record (no shuffle). Write the result before
+    filtering on a label: a filter is pushed below the labels and works them out again."""
     full = mode == "full"
     vocabs = ([V.INTENT_FULL, V.DIFFICULTY_FULL, V.PRODUCTS_FULL, V.CAPABILITIES_FULL, V.EXPECTED_RESPONSE_FLAGS]
               if full else [V.INTENT_LITE, V.DIFFICULTY_LITE, V.PRODUCTS_LITE, V.CAPABILITIES_LITE])

@@ -50,6 +50,10 @@ def q_harvest_lite(spark, sf):
     return lab.withColumn("date_harvested", F.date_format("date_harvested", "yyyy-MM-dd")).select(*LITE_COLS)
 
 
+def q_harvest_lite_summary(spark, sf):
+    return HV.harvest_summary(q_harvest_lite(spark, sf), mode="lite")
+
+
 def q_harvest_summary(spark, sf):
     return HV.harvest_summary(harvest_labelled_df(spark, sf))
 
@@ -136,6 +140,7 @@ QUERIES = {
     "harvest_prompts": q_harvest_prompts,
     "harvest_labelled": q_harvest_labelled,
     "harvest_summary": q_harvest_summary,
+    "harvest_lite_summary": q_harvest_lite_summary,
     "intent_full": q_intent_full,
     "intent_lite": q_intent_lite,
     "intent_rules": q_intent_rules,
@@ -181,10 +186,9 @@ l2 AS (SELECT *, {S.intent_struct(lt, V.INTENT_FULL)} AS _intent, {', '.join(S.d
 SELECT {', '.join(cols)} FROM l2""")
 
 
-def _summary_sql() -> str:
+def _summary_sql(body: str, mean_length: str = "round(avg(prompt_length), 0)") -> str:
     caps = [c for c, _ in V.CAPABILITIES_FULL]
-    body = _labelled_sql()
-    return f"""WITH lab AS ({body.replace('WITH raw AS', 'WITH raw AS', 1)}),
+    return f"""WITH lab AS ({body}),
 by_src AS (SELECT 'by_source' AS metric, source AS key, count(*)::DOUBLE AS value FROM lab GROUP BY source),
 by_int AS (SELECT 'by_intent' AS metric, primary_intent AS key, count(*)::DOUBLE AS value FROM lab GROUP BY primary_intent),
 by_lvl AS (SELECT 'by_difficulty' AS metric, difficulty_level AS key, count(*)::DOUBLE AS value FROM lab GROUP BY difficulty_level),
@@ -193,7 +197,7 @@ by_lang AS (SELECT 'by_language' AS metric, language AS key, count(*)::DOUBLE AS
 tot AS (SELECT count(*)::DOUBLE AS total_prompts, sum(is_microsoft_related::INT)::DOUBLE AS microsoft_related_count,
   round(avg(is_microsoft_related::INT) * 100, 2)::DOUBLE AS microsoft_related_percentage,
   {', '.join(f"sum({c}::INT)::DOUBLE AS {c.replace('requires_', 'cap_')}" for c in caps)},
-  round(avg(prompt_length), 0)::DOUBLE AS avg_prompt_length, round(avg(difficulty_score), 2)::DOUBLE AS avg_difficulty_score
+  {mean_length}::DOUBLE AS avg_prompt_length, round(avg(difficulty_score), 2)::DOUBLE AS avg_difficulty_score
   FROM lab),
 scal AS (UNPIVOT tot ON COLUMNS(*) INTO NAME metric VALUE value)
 SELECT * FROM by_src UNION ALL SELECT * FROM by_int UNION ALL SELECT * FROM by_lvl UNION ALL SELECT * FROM by_lang
@@ -263,7 +267,8 @@ ORACLE = {
     "incremental_append": INCREMENTAL_SQL,
     "harvest_prompts": _harvest_sql(PER_SOURCE) + " SELECT prompt_id, source, seq, prompt_text, prompt_length FROM s4",
     "harvest_labelled": _labelled_sql(),
-    "harvest_summary": _summary_sql(),
+    "harvest_summary": _summary_sql(_labelled_sql()),
+    "harvest_lite_summary": _summary_sql(_lite_sql(), "floor(avg(prompt_length))"),
     "intent_full": f"SELECT doc_id, {', '.join(S.intent_cols('_i'))} FROM (SELECT doc_id, {S.intent_struct('lower(text)', V.CORPUS_INTENTS)} AS _i FROM documents)",
     "intent_lite": f"SELECT doc_id, {', '.join(S.intent_cols('_i', subcategory=False))} FROM (SELECT doc_id, {S.intent_struct('lower(text)', V.INTENT_LITE)} AS _i FROM documents)",
     "intent_rules": f"SELECT doc_id, {S.intent_rules('lower(text)')} AS intent FROM documents",

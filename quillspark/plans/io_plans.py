@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import functions as F
 
 from .. import vocab as V
@@ -13,6 +11,7 @@ from ..operators import harvest as HV
 from ..operators import label as L
 from ..sources import fixtures as FX
 from ..sources import io as IO
+from ..sources.exports import Exports
 from ..streaming.jobs import run_dir
 from . import generate_plans as GP
 from . import harvest_plans as HP
@@ -39,12 +38,13 @@ def q_sinks_roundtrip(spark, sf):
 
 
 def q_latest_file(spark, sf):
-    """Two CSV exports of the intents, a folder of files each; the newest is read and typed."""
+    """Two CSV exports of the intents, a folder of files each; the newest is read and typed.
+    The first one's files are dated back, so that times alone tell them apart."""
     base = run_dir(spark, "latest")
     raw = FX.intents_text(spark, sf)
     older = raw.withColumn("action", F.lower("action"))
     IO.write_csv(older, f"{base}/exports/1")
-    time.sleep(1.1)
+    IO.set_times(spark, f"{base}/exports/1", 1_700_000_000_000)
     IO.write_csv(raw, f"{base}/exports/2")
     newest = IO.newest_folder(spark, f"{base}/exports", "csv", header=True)
     typed = IO.typed_intents(newest.select(F.col("intent_id").cast("bigint").alias("intent_id"),
@@ -52,6 +52,69 @@ def q_latest_file(spark, sf):
     return typed.filter(F.col("_reject").isNull()).select(*GP.TYPED_COLS)
 
 
+def _docs(spark, sf):
+    return FX.documents(spark, sf).select("doc_id", "source", "lang", "text")
+
+
+def q_first_rows(spark, sf):
+    """A CSV export of the prompts, read back as strings: its first 100 rows by number."""
+    out = Exports(spark, run_dir(spark, "rows"))
+    out.write("20260106", _docs(spark, sf), "csv")
+    return IO.first_rows(out.latest().withColumn("n", F.col("doc_id").cast("long")), "n", FIRST_ROWS).drop("n")
+
+
+def q_export_manifests(spark, sf):
+    """One run per format; what their manifests say, and the rows read back."""
+    out = Exports(spark, run_dir(spark, "formats"))
+    for k, fmt in enumerate(("csv", "json", "parquet")):
+        out.write(f"2026010{k}", _docs(spark, sf), fmt, source="documents")
+    read = None
+    for run in out.runs():
+        rows = out.read(run).groupBy("source").agg(F.count("*").alias("rows"), F.sum(F.length("text")).cast("long").alias("chars"))
+        part = rows.select(F.lit(out.manifest(run)["format"]).alias("format"), "source", "rows", "chars", F.lit(out.manifest(run)["rows"]).alias("manifest_rows"))
+        read = part if read is None else read.unionByName(part)
+    return read
+
+
+def q_export_as_of(spark, sf):
+    """Two runs of a growing table: what was current after the first, and the latest."""
+    out = Exports(spark, run_dir(spark, "versions"))
+    d = _docs(spark, sf)
+    out.write("20260101_000000", d.where("doc_id % 2 = 0"))
+    out.write("20260201_000000", d)
+    then = out.read(out.as_of("20260115_120000")).withColumn("version", F.lit("then"))
+    return then.unionByName(out.latest().withColumn("version", F.lit("now"))).groupBy("version", "source").agg(
+        F.count("*").alias("rows"), F.sum("doc_id").alias("ids"))
+
+
+def q_export_subset(spark, sf):
+    """The product-related rows of the labelled harvest, written on their own and read back."""
+    base = run_dir(spark, "subset")
+    HP.harvest_labelled_df(spark, sf).write.parquet(f"{base}/labelled")  # labels are worked out once, then filtered
+    IO.write_subset(spark.read.parquet(f"{base}/labelled"), F.col("is_microsoft_related"), f"{base}/rows")
+    return spark.read.parquet(f"{base}/rows").select("prompt_id", "source", "microsoft_products")
+
+
+def q_export_rubric(spark, sf):
+    """Rubric weights with their scale as a table next to the data, read back."""
+    out = Exports(spark, run_dir(spark, "rubric"))
+    scale = E.weights_frame(spark).select("*", F.lit(E.SCALE[0]).alias("lowest"), F.lit(E.SCALE[1]).alias("highest"))
+    out.write("20260106", scale, "json")
+    judged = FX.ratings(spark, sf).groupBy("criterion").agg(F.count("*").alias("ratings"))
+    held = out.latest().select("criterion", F.col("weight").cast("double").alias("weight"), F.col("lowest").cast("int").alias("lowest"), F.col("highest").cast("int").alias("highest"))
+    return held.join(judged, "criterion", "left")
+
+
+def q_export_summary(spark, sf):
+    """The harvest summary as JSON lines, read back."""
+    out = Exports(spark, run_dir(spark, "summary"))
+    out.write("20260106", HV.harvest_summary(HP.harvest_labelled_df(spark, sf)), "json")
+    return out.latest().select("metric", "key", F.col("value").cast("double").alias("value"))
+
+
+FIRST_ROWS = 100
+
+
 def portable(p: str) -> str:
     """Same meaning in Java regex and RE2: ASCII word boundary at a pattern's
     end, explicit white-space and word classes."""
@@ -83,11 +146,27 @@ def patterns_sql():
 QUERIES = {
     "sinks_roundtrip": q_sinks_roundtrip,
     "latest_file": q_latest_file,
+    "first_rows": q_first_rows,
+    "export_manifests": q_export_manifests,
+    "export_as_of": q_export_as_of,
+    "export_subset": q_export_subset,
+    "export_rubric": q_export_rubric,
+    "export_summary": q_export_summary,
     "difficulty_patterns": q_difficulty_patterns,
 }
 
 ORACLE = {
     "sinks_roundtrip": HP.ORACLE["harvest_labelled"],
     "latest_file": GP.ORACLE["intents_clean"],
+    "first_rows": f"SELECT doc_id::VARCHAR AS doc_id, source, lang, text FROM documents ORDER BY documents.doc_id LIMIT {FIRST_ROWS}",
+    "export_manifests": """SELECT format, source, count(*)::BIGINT AS rows, sum(length(text))::BIGINT AS chars, (SELECT count(*) FROM documents)::BIGINT AS manifest_rows
+FROM documents, (VALUES ('csv'), ('json'), ('parquet')) v(format) GROUP BY format, source""",
+    "export_as_of": """SELECT version, source, count(*)::BIGINT AS rows, sum(doc_id)::BIGINT AS ids
+FROM documents, (VALUES ('then'), ('now')) v(version) WHERE version = 'now' OR doc_id % 2 = 0 GROUP BY version, source""",
+    "export_subset": f"SELECT prompt_id, source, microsoft_products FROM ({HP.ORACLE['harvest_labelled']}) WHERE is_microsoft_related",
+    "export_rubric": f"""WITH rat AS ({FX.RATINGS_SQL}) SELECT w.criterion, w.weight, {E.SCALE[0]}::INT AS lowest, {E.SCALE[1]}::INT AS highest, r.ratings
+FROM (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in E.WEIGHTS)}) w(criterion, weight)
+LEFT JOIN (SELECT criterion, count(*)::BIGINT AS ratings FROM rat GROUP BY criterion) r USING (criterion)""",
+    "export_summary": HP.ORACLE["harvest_summary"],
     "difficulty_patterns": patterns_sql(),
 }

@@ -52,6 +52,15 @@ def newest_folder(spark: SparkSession, path: str, fmt: str = "csv", **options) -
     return spark.read.format(fmt).options(**options).load(newest if newest is not None else path)
 
 
+def set_times(spark: SparkSession, path: str, millis: int) -> None:
+    """Date the files of a folder, as a copy that keeps times would."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(folder):
+        fs.setTimes(f.getPath(), millis, -1)
+
+
 def _flat(df: DataFrame) -> DataFrame:
     """Arrays and maps as JSON text for text sinks."""
     out = []
