@@ -88,11 +88,16 @@ def q_export_as_of(spark, sf):
 
 
 def q_export_subset(spark, sf):
-    """The product-related rows of the labelled harvest, written on their own and read back."""
+    """Product-related rows and long prompts of the labelled harvest, each written on its own
+    if there are any, and read back."""
     base = run_dir(spark, "subset")
     HP.harvest_labelled_df(spark, sf).write.parquet(f"{base}/labelled")  # labels are worked out once, then filtered
-    IO.write_subset(spark.read.parquet(f"{base}/labelled"), F.col("is_microsoft_related"), f"{base}/rows")
-    return spark.read.parquet(f"{base}/rows").select("prompt_id", "source", "microsoft_products")
+    lab, out = spark.read.parquet(f"{base}/labelled"), None
+    for name, cond in (("product_related", F.col("is_microsoft_related")), ("long", F.col("prompt_length") > LONG_PROMPT)):
+        if IO.write_subset(lab, cond, f"{base}/{name}"):
+            rows = spark.read.parquet(f"{base}/{name}").select(F.lit(name).alias("subset"), "prompt_id", "source")
+            out = rows if out is None else out.unionByName(rows)
+    return lab.limit(0).select(F.lit("").alias("subset"), "prompt_id", "source") if out is None else out
 
 
 def q_export_rubric(spark, sf):
@@ -113,6 +118,7 @@ def q_export_summary(spark, sf):
 
 
 FIRST_ROWS = 100
+LONG_PROMPT = 2000
 
 
 def portable(p: str) -> str:
@@ -163,7 +169,8 @@ ORACLE = {
 FROM documents, (VALUES ('csv'), ('json'), ('parquet')) v(format) GROUP BY format, source""",
     "export_as_of": """SELECT version, source, count(*)::BIGINT AS rows, sum(doc_id)::BIGINT AS ids
 FROM documents, (VALUES ('then'), ('now')) v(version) WHERE version = 'now' OR doc_id % 2 = 0 GROUP BY version, source""",
-    "export_subset": f"SELECT prompt_id, source, microsoft_products FROM ({HP.ORACLE['harvest_labelled']}) WHERE is_microsoft_related",
+    "export_subset": f"""WITH lab AS ({HP.ORACLE['harvest_labelled']}) SELECT 'product_related' AS subset, prompt_id, source FROM lab WHERE is_microsoft_related
+UNION ALL SELECT 'long', prompt_id, source FROM lab WHERE prompt_length > {LONG_PROMPT}""",
     "export_rubric": f"""WITH rat AS ({FX.RATINGS_SQL}) SELECT w.criterion, w.weight, {E.SCALE[0]}::INT AS lowest, {E.SCALE[1]}::INT AS highest, r.ratings
 FROM (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in E.WEIGHTS)}) w(criterion, weight)
 LEFT JOIN (SELECT criterion, count(*)::BIGINT AS ratings FROM rat GROUP BY criterion) r USING (criterion)""",
