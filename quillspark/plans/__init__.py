@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import (collect_plans, context_plans, evaluate_plans, generate_plans, harvest_plans, io_plans, misc_plans,
+from . import (collect_plans, context_plans, evaluate_plans, generate_plans, harvest_plans, intent_plans, io_plans, misc_plans,
                source_plans, stream_plans)
 
 _MODULES = [harvest_plans, generate_plans, context_plans, collect_plans, evaluate_plans, stream_plans, io_plans,
-            misc_plans, source_plans]
+            misc_plans, source_plans, intent_plans]
 
 
 def _with_checkpoint_dir(fn):
