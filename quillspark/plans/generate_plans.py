@@ -43,6 +43,14 @@ def q_request_text(spark, sf):
     return G.request_text(clean(spark, sf))
 
 
+FIRST_INTENTS = 200
+
+
+def q_request_first(spark, sf):
+    """Requests of the first intents only (the cap is the feature)."""
+    return G.request_text(clean(spark, sf), max_intents=FIRST_INTENTS)
+
+
 def q_gen_v1(spark, sf):
     return G.gen_v1(clean(spark, sf))
 
@@ -93,6 +101,7 @@ QUERIES = {
     "intent_analysis": q_intent_analysis,
     "action_distribution": q_action_distribution,
     "request_text": q_request_text,
+    "request_first": q_request_first,
     "gen_v1": q_gen_v1,
     "gen_v2": q_gen_v2,
     "gen_v2_dedup": q_gen_v2_dedup,
@@ -395,6 +404,7 @@ ORACLE = {
     "intent_analysis": analysis_sql(),
     "action_distribution": action_distribution_sql(),
     "request_text": request_sql(),
+    "request_first": f"SELECT * FROM ({request_sql()}) WHERE intent_id IN (SELECT intent_id FROM (WITH {typed_sql()} SELECT intent_id FROM clean ORDER BY intent_id LIMIT {FIRST_INTENTS}))",
     "gen_v1": gen_v1_sql(),
     "gen_v2": gen_v2_sql() + " SELECT * FROM v2",
     "gen_v3": gen_v3_sql(),
