@@ -453,14 +453,28 @@ def rubric(prompts: DataFrame) -> DataFrame:
         F.when(ua.isin(*TP.CREATIVITY_ACTIONS), F.lit("creativity")),
         F.when(ua.isin(*TP.ACTIONABILITY_ACTIONS), F.lit("actionability")))))
     ctype = F.create_map(*[x for k, v in TP.ACTION_TYPE_CRITERIA.items() for x in (F.lit(k), F.lit(v))])
+    clist = F.create_map(*[x for k, v in TP.ACTION_TYPE_LISTS.items() for x in (F.lit(k), _lit_array(v))])
     return prompts.withColumns({
         "expected_response_criteria": F.to_json(crit),
         "evaluation_dimensions": F.to_json(dims),
         "criteria_count": F.size(crit).cast("bigint"),
         "action_type_criterion": F.coalesce(F.element_at(ctype, ua), F.lit(TP.ACTION_TYPE_DEFAULT)),
+        "action_type_criteria": F.to_json(F.coalesce(F.element_at(clist, ua), _lit_array(TP.ACTION_TYPE_LIST_DEFAULT))),
     })
 
 
+def scenario_rubric(v3: DataFrame) -> DataFrame:
+    """Criteria and dimensions of each scenario row: the scenario's own, then those of the
+    form it has (with or without a context document)."""
+    lists = F.create_map(*[x for k, (v, _) in TP.V3_SCENARIO_RUBRIC.items() for x in (F.lit(k), _lit_array(v))])
+    extra = F.create_map(*[x for k, (_, d) in TP.V3_SCENARIO_RUBRIC.items() for x in (F.lit(k), F.lit(d))])
+    form = F.when(F.col("has_context_text"), F.lit(TP.WITH_CONTEXT_LINE)).otherwise(F.lit(TP.WITHOUT_CONTEXT_LINE))
+    crit = F.concat(F.element_at(lists, F.col("scenario")), F.array(form))
+    dims = F.concat(_lit_array(TP.BASE_DIMENSIONS), F.array(F.element_at(extra, F.col("scenario"))),
+                    F.when(F.col("has_context_text"), F.array(F.lit("grounding"))).otherwise(F.array().cast("array<string>")))
+    return v3.withColumns({"expected_response_criteria": F.to_json(crit), "evaluation_dimensions": F.to_json(dims)})
+
+
 def word_count_col(c: Column) -> Column:
     return F.size(F.filter(F.split(c, WS), lambda w: w != "")).cast("bigint")
 

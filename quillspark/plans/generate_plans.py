@@ -76,7 +76,12 @@ def q_rubric(spark, sf):
     df = base.withColumn("_s", F.explode(G._slots())).select("*", "_s.*").drop("_s") \
              .withColumnRenamed("variant", "prompt_variant_type")
     return G.rubric(df).select("intent_id", "slot", "prompt_variant_type", "expected_response_criteria",
-                               "evaluation_dimensions", "criteria_count", "action_type_criterion")
+                               "evaluation_dimensions", "criteria_count", "action_type_criterion", "action_type_criteria")
+
+
+def q_scenario_rubric(spark, sf):
+    return G.scenario_rubric(G.gen_v3(clean(spark, sf))).select("intent_id", "slot", "scenario", "has_context_text",
+                                                                "expected_response_criteria", "evaluation_dimensions")
 
 
 def q_gen_conformance(spark, sf):
@@ -108,6 +113,7 @@ QUERIES = {
     "gen_v3": q_gen_v3,
     "gen_offline": q_gen_offline,
     "rubric": q_rubric,
+    "scenario_rubric": q_scenario_rubric,
     "gen_conformance": q_gen_conformance,
     "gen_summary": q_gen_summary,
     "variety_pick": q_variety_pick,
@@ -308,10 +314,21 @@ def rubric_sql() -> str:
     dims = (f"list_filter(list_concat({lst(TP.BASE_DIMENSIONS)}, [CASE WHEN upper(a) IN ({', '.join(q(x) for x in TP.CREATIVITY_ACTIONS)}) THEN 'creativity' END, "
             f"CASE WHEN upper(a) IN ({', '.join(q(x) for x in TP.ACTIONABILITY_ACTIONS)}) THEN 'actionability' END]), lambda x: x IS NOT NULL)")
     ctype = case_map("upper(a)", {k: q(v) for k, v in TP.ACTION_TYPE_CRITERIA.items()}, q(TP.ACTION_TYPE_DEFAULT))
+    clist = case_map("upper(a)", {k: lst(v) for k, v in TP.ACTION_TYPE_LISTS.items()}, lst(TP.ACTION_TYPE_LIST_DEFAULT))
     return f"""WITH {base_sql()},
-r AS (SELECT intent_id, slot, variant AS prompt_variant_type, {crit} AS crit, {dims} AS dims, {ctype} AS action_type_criterion FROM gs)
+r AS (SELECT intent_id, slot, variant AS prompt_variant_type, {crit} AS crit, {dims} AS dims, {ctype} AS action_type_criterion, {clist} AS clist FROM gs)
 SELECT intent_id, slot, prompt_variant_type, to_json(crit)::VARCHAR AS expected_response_criteria,
-  to_json(dims)::VARCHAR AS evaluation_dimensions, len(crit)::BIGINT AS criteria_count, action_type_criterion FROM r"""
+  to_json(dims)::VARCHAR AS evaluation_dimensions, len(crit)::BIGINT AS criteria_count, action_type_criterion,
+  to_json(clist)::VARCHAR AS action_type_criteria FROM r"""
+
+
+def scenario_rubric_sql() -> str:
+    crit = case_map("scenario", {k: lst(v) for k, (v, _) in TP.V3_SCENARIO_RUBRIC.items()}, "NULL")
+    extra = case_map("scenario", {k: q(d) for k, (_, d) in TP.V3_SCENARIO_RUBRIC.items()}, "NULL")
+    form = f"CASE WHEN has_context_text THEN {q(TP.WITH_CONTEXT_LINE)} ELSE {q(TP.WITHOUT_CONTEXT_LINE)} END"
+    dims = f"list_concat(list_concat({lst(TP.BASE_DIMENSIONS)}, [{extra}]), CASE WHEN has_context_text THEN ['grounding'] ELSE []::VARCHAR[] END)"
+    return f"""SELECT intent_id, slot, scenario, has_context_text, to_json(list_concat({crit}, [{form}]))::VARCHAR AS expected_response_criteria,
+  to_json({dims})::VARCHAR AS evaluation_dimensions FROM ({gen_v3_sql()})"""
 
 
 def conformance_sql() -> str:
@@ -410,6 +427,7 @@ ORACLE = {
     "gen_v3": gen_v3_sql(),
     "gen_offline": gen_offline_sql(),
     "rubric": rubric_sql(),
+    "scenario_rubric": scenario_rubric_sql(),
     "gen_conformance": conformance_sql(),
     "gen_summary": gen_summary_sql(),
     "variety_pick": variety_sql(),

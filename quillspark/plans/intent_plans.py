@@ -61,7 +61,12 @@ def q_generated_records(spark, sf):
     return I.records(made.select("intent_id", "slot", "synthetic_prompt"), intents)
 
 
-QUERIES = {"intents_modes": q_intents_modes, "generated_records": q_generated_records}
+def q_gen_offline_named(spark, sf):
+    """Offline templates over named intents, whose object may be unknown (a question mark)."""
+    return G.gen_offline(scanned(spark, sf, "named").where("reject is null"))
+
+
+QUERIES = {"gen_offline_named": q_gen_offline_named, "intents_modes": q_intents_modes, "generated_records": q_generated_records}
 
 
 def typed_sql(mode: str) -> str:
@@ -85,6 +90,7 @@ def typed_sql(mode: str) -> str:
 
 
 ORACLE = {
+    "gen_offline_named": GP.ORACLE["gen_offline"].replace(GP.typed_sql(), f"clean AS (SELECT * FROM ({typed_sql('named')}) WHERE reject IS NULL)"),
     "intents_modes": " UNION ALL ".join(typed_sql(m) for m in I.MODES),
     "generated_records": f"""SELECT g.intent_id, g.slot, g.synthetic_prompt, {', '.join('t.' + f.column for f in I.FIELDS)}
 FROM ({GP.ORACLE['gen_v2']}) g JOIN ({typed_sql('known')}) t ON g.intent_id = t.intent_id WHERE t.reject IS NULL""",

@@ -131,6 +131,21 @@ V3_SCENARIOS = [
     ("strategic_initiative", "From the brief below, {verb} {obj} for the {industry} strategy.",
      "{Action} {obj} for our {industry} strategy by {deadline}."),
 ]
+# what a scenario's answer is judged by, and the dimension that it adds (ours)
+V3_SCENARIO_RUBRIC = {
+    "executive_briefing": (["Fits on one page", "The ask is explicit"], "brevity"),
+    "client_meeting_prep": (["Lists three likely questions", "Nothing internal is disclosed"], "tact"),
+    "team_collaboration": (["Says who does what next", "Open points are separate"], "actionability"),
+    "quarterly_review": (["Figures name their quarter", "Misses are not hidden"], "candour"),
+    "project_milestone": (["Done and not done are told apart", "The next date is given"], "timeliness"),
+    "compliance_audit": (["Every finding cites its rule", "Severity is graded"], "traceability"),
+    "training_development": (["Starts with what learners know", "Ends with an exercise"], "teachability"),
+    "vendor_evaluation": (["All vendors face the same list", "Costs cover the whole term"], "fairness"),
+    "budget_planning": (["Totals add up", "Assumptions carry a number"], "arithmetic"),
+    "strategic_initiative": (["Says what will not be done", "Names a measure of success"], "foresight"),
+}
+WITH_CONTEXT_LINE = "Every claim can be found in the document given"
+WITHOUT_CONTEXT_LINE = "Missing facts are asked for, not invented"
 V3_VALUES = {
     "project": ["Atlas", "Beacon", "Cobalt", "Delta", "Ember", "Falcon"],
     "team": ["the data team", "the sales team", "the platform group", "the design crew"],
@@ -211,6 +226,19 @@ ACTION_TYPE_CRITERIA = {
     "ANALYZE": "insight",
 }
 ACTION_TYPE_DEFAULT = "helpfulness"
+# what to look for by action type, as lists (ours), default row
+ACTION_TYPE_LISTS = {
+    "SUMMARIZE": ["The main decision is in the first line", "Names and numbers match the source"],
+    "CREATE": ["Could be sent without edits", "Fits the audience named", "Nothing is left as a placeholder"],
+    "FIND": ["Every hit can be opened", "The newest hit comes first"],
+    "EXPLAIN": ["No term goes undefined", "One example from daily work"],
+    "COMPARE": ["Each side gets the same questions", "Differences come before likenesses"],
+    "PLAN": ["Every step has an owner and a date", "What may slip is marked"],
+    "SCHEDULE": ["No two entries overlap", "Time zones are given"],
+    "LIST": ["Sorted by a stated rule", "The count is right"],
+    "ANALYZE": ["Cause and effect are told apart", "The size of each effect is given"],
+}
+ACTION_TYPE_LIST_DEFAULT = ["Does what was asked, no more", "Says what is uncertain"]
 # extra criteria by capability: the flags are fixed values, the criteria ours
 CAPABILITY_CRITERIA = [
     ("coding", "requires_code_execution", ["Runs as given", "Handles empty input", "Names tell their purpose"]),
