@@ -75,7 +75,7 @@ def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = lattice_lm.score_documents(docs, ~quality_mil.held_out(F.col("doc_id"), 10), pieces)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
-                         "base_score", "score", "fitted_score")
+                         "base_score", F.col("learned_score").alias("score"), "fitted_score", F.col("score").alias("vocabulary_score"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
