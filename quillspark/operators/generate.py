@@ -316,7 +316,9 @@ def dedup_proposals(cands: DataFrame, *, stats: dict | None = None) -> DataFrame
     each hash goes to the lowest proposing seq (hash aggregate + join); the
     others advance. A row that is refused on its last candidate keeps it as a
     duplicate. Holders only ever move to lower seqs, so the result equals the
-    serial one. State is checkpointed each round (cluster checkpoint dir)."""
+    serial one. State is checkpointed each round (cluster checkpoint dir). The
+    joins are sort-merge by hint: a checkpoint is taken to be as large as the
+    compressed scan below it, and one of many times that would be broadcast."""
     n_c = len(TP.CANDIDATE_OFFSETS)
     cands = cands.checkpoint()  # read by every round and by the final pick
     hashes = (cands.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("cand", "h"))).alias("_hs"))
@@ -325,7 +327,7 @@ def dedup_proposals(cands: DataFrame, *, stats: dict | None = None) -> DataFrame
     while True:  # holders only move down: ends by itself
         live = state.filter(~F.col("dup")).withColumn("h", F.element_at("hs", (F.col("p") + 1).cast("int")))
         win = live.groupBy("h").agg(F.min("seq").alias("_win"))
-        judged = live.join(win, "h").withColumn("_lost", F.col("seq") != F.col("_win"))
+        judged = live.join(win.hint("merge"), "h").withColumn("_lost", F.col("seq") != F.col("_win"))
         new = judged.select("seq", "hs",
                             F.when(F.col("_lost") & (F.col("p") < n_c - 1), F.col("p") + 1).otherwise(F.col("p")).alias("p"),
                             (F.col("_lost") & (F.col("p") == n_c - 1)).alias("dup"),
@@ -339,7 +341,7 @@ def dedup_proposals(cands: DataFrame, *, stats: dict | None = None) -> DataFrame
         if moved == 0:
             break
     chosen = state.select("seq", F.col("p").alias("cand"), "dup")
-    return cands.join(chosen, ["seq", "cand"])
+    return cands.join(chosen.hint("merge"), ["seq", "cand"])
 
 
 def gen_v2_dedup(intents: DataFrame) -> DataFrame:

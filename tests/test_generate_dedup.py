@@ -54,3 +54,12 @@ def test_corpus_against_serial(spark):
     got = run(spark, rows)
     assert got == serial(rows)
     assert any(d for _, d in got.values()) or any(c > 0 for c, _ in got.values())
+
+
+def test_rounds_broadcast_nothing(spark):
+    """A checkpoint is taken to be as small as the scan below it; its join must not rely on that."""
+    base = spark.range(50).select(F.col("id").alias("seq"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("cand"))
+    out = G.dedup_proposals(base.withColumn("h", (F.col("seq") % 20 + F.col("cand")).cast("string")))
+    assert out.count() == 50
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
