@@ -108,7 +108,8 @@ def scan(raw: DataFrame, mode: str = "known", keep: tuple[str, ...] = ()) -> Dat
 
 
 def records(generated: DataFrame, intents: DataFrame, key: str = "intent_id") -> DataFrame:
-    """Generated rows with every intent column; a name that both hold is the intent's."""
+    """Generated rows with every intent column; a name that both hold is the intent's. Neither
+    side is broadcast: both grow with the intents, whatever size is guessed for them."""
     names = [f.column for f in FIELDS]
     own = generated.select(*[c for c in generated.columns if c not in names])
-    return own.join(intents.where(F.col("reject").isNull()).select(key, *names), key)
+    return own.hint("merge").join(intents.where(F.col("reject").isNull()).select(key, *names), key)

@@ -38,3 +38,13 @@ def test_records_carry_every_column(spark):
     got = I.records(made, intents).collect()
     assert len(got) == 1 and got[0].action == "FIND" and set(got[0].asDict()) == {"intent_id", "synthetic_prompt", *(f.column for f in I.FIELDS)}
     assert len(I.FIELDS) == 40
+
+
+def test_records_broadcast_no_side(spark):
+    """Both sides grow with the intents: neither may be broadcast for a small guess of its size."""
+    raw = spark.range(30).select("id", *[F.when(F.col("id") % 5 == 0, F.lit(" ")).otherwise(F.lit("7")).alias(f.header) for f in I.FIELDS])
+    made = spark.range(30).select("id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("slot"), F.lit("x").alias("action"))
+    out = I.records(made, I.scan(raw, keep=("id",)), "id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert out.count() == 240 and {r.action for r in out.select("action").distinct().collect()} == {"7"}
