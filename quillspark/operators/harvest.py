@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions.text import norm_key, strip_ws
+from ..session import ensure_checkpoint_dir
 from . import label as L
 from .key_index import key_of
 
@@ -182,8 +183,9 @@ def harvest_summary(labelled: DataFrame, *, mode: str = "full", top_languages: i
     """Whole summary as one long (metric, key, value) table.
 
     One GROUPING SETS aggregate ((source), (intent), (level), (language), ())
-    computes every measure in a single scan; the branches below read its tiny
-    output (the exchange is reused, not recomputed)."""
+    computes every measure in a single scan. Its tiny output is checkpointed for
+    the branches below: their filters on the grouping id would be pushed under the
+    aggregate, so that each of them worked the labels out again."""
     ms = F.col("is_microsoft_related").cast("int")
     aggs = [F.count(F.lit(1)).cast("double").alias("n"),
             F.sum(ms).cast("double").alias("ms_n"),
@@ -194,6 +196,8 @@ def harvest_summary(labelled: DataFrame, *, mode: str = "full", top_languages: i
     dims = ["source", "primary_intent", "difficulty_level", "language"]
     g = (labelled.groupingSets([[d] for d in dims] + [[]], *dims)
                  .agg(*aggs, F.grouping_id().alias("gid")))
+    ensure_checkpoint_dir(labelled.sparkSession)
+    g = g.checkpoint()
     # gid bit i is 1 when dims[i] is rolled up (leftmost column = highest bit)
     def gid_of(d):
         return sum(1 << (len(dims) - 1 - i) for i, x in enumerate(dims) if x != d)
