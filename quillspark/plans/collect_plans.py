@@ -47,7 +47,13 @@ def q_collect_rounds(spark, sf):
     answers = FX.attempts(spark, sf)
     cells = FX.documents(spark, sf).select(F.col("doc_id").alias("prompt_id"), F.explode(F.array(*[F.lit(s) for s in FX.SYSTEMS])).alias("system"))
     rounds = Rounds(spark, run_dir(spark, "rounds"))
-    rounds.run(cells, lambda queue: queue.join(answers, ["prompt_id", "system", "attempt"]))
+
+    def send(queue):
+        # a round asks for few attempts (one, as a rule): only their answers' texts are exchanged
+        asked = [r["attempt"] for r in queue.select("attempt").distinct().collect()]
+        return queue.join(answers.where(F.col("attempt").isin(asked)), ["prompt_id", "system", "attempt"])
+
+    rounds.run(cells, send)
     return rounds.latest()
 
 
