@@ -115,7 +115,7 @@ def append_job(spark: SparkSession, base: str, *, min_len: int = 10, run_date: s
     index = KeyIndex(spark, f"{base}/keys")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        firsts = first_copies(batch, min_len=min_len)
+        firsts = first_copies(batch, min_len=min_len).checkpoint()  # looked up in every generation; the texts are keyed once
         new = firsts.join(index.known(firsts.select("key"), before=batch_id), "key", "left_anti").checkpoint()
         rows = append_rows(batch, new, run_date=run_date)
         (rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
@@ -130,7 +130,7 @@ def seed_sink(loaded: DataFrame, base: str, *, run_date: str = "2026-01-06") ->
     rows = loaded.select(F.lit(run_date).alias("Date Added"), F.lit("seed").alias("Source"), F.lit("").alias("Intent"),
                          strip_ws(F.col("text")).alias("Prompt"), F.col("language").alias("Language"), "seq")
     rows.withColumn("batch_id", F.lit(-1).cast("long")).write.partitionBy("batch_id").parquet(f"{base}/sink")
-    keys = loaded.select(key_of(strip_ws(F.col("text"))).alias("key")).where("key is not null").distinct()
+    keys = loaded.select(key_of(strip_ws(F.col("text"))).alias("key")).where("key is not null").distinct().checkpoint()  # counted, sampled and dealt
     KeyIndex(loaded.sparkSession, f"{base}/keys").add(keys, -1)
 
 
