@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import generate as G
 from ..operators import intent_schema as I
-from ..session import table
+from ..session import balanced, table
 from ..sources import io as IO
 from ..streaming.jobs import run_dir
 from . import generate_plans as GP
@@ -36,7 +36,7 @@ RAW = "SELECT p_partkey AS intent_id, " + ", ".join(f'{column_sql(j, f)} AS c{j}
 
 
 def raw_table(spark, sf):
-    p = table(spark, sf, "part")
+    p = balanced(table(spark, sf, "part"))
     return p.select(F.col("p_partkey").cast("string").alias("intent_id"), *[F.expr(column_sql(j, f)).alias(f.header) for j, f in enumerate(I.FIELDS)])
 
 

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .commit_log import CommitLog
-from .io import _flat, all_string_schema
+from .io import FILE_ROWS, _flat, all_string_schema
 
-FORMATS = {"csv": {"header": True, "quoteAll": True, "escape": '"', "multiLine": True}, "json": {}, "parquet": {}}
+FORMATS = {"csv": {"header": True, "quoteAll": True, "escape": '"', "multiLine": True, "maxRecordsPerFile": FILE_ROWS}, "json": {}, "parquet": {}}
 
 
 class Exports:

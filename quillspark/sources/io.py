@@ -72,9 +72,13 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+#: Rows of a CSV file. With line breaks inside fields a file is read by one task, so files are kept small.
+FILE_ROWS = 20_000
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "overwrite") -> None:
     d = _flat(df.select(*columns) if columns else df)
-    d.write.mode(mode).option("header", True).option("quoteAll", True).csv(path)
+    d.write.mode(mode).option("header", True).option("quoteAll", True).option("maxRecordsPerFile", FILE_ROWS).csv(path)
 
 
 def write_json_with_manifest(df: DataFrame, path: str, meta: dict) -> None:
